@@ -3,9 +3,23 @@
 from __future__ import annotations
 
 from .decontamination import op6_benchmark_decontamination
+from .jaccard_join import op9_ngram_jaccard_join
+from .language_id import op4_language_id
 from .line_dedup import op7_line_dedup
-
-_QUERIES = {f.__name__: f for f in (op6_benchmark_decontamination, op7_line_dedup)}
+from .quality import op8_quality_classifier
+from .vector_search import op10_vector_search
+
+_QUERIES = {
+    f.__name__: f
+    for f in (
+        op4_language_id,
+        op6_benchmark_decontamination,
+        op7_line_dedup,
+        op8_quality_classifier,
+        op9_ngram_jaccard_join,
+        op10_vector_search,
+    )
+}
 
 _SQL: dict[str, str] = {}
 
