@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Rows of a (long, long) table that may be broadcast: about 32 MB as a hash
 #: relation. Larger sides are joined by a shuffle instead.
@@ -68,12 +71,12 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         yield batch.slice(at, step)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, column: str = "text") -> DataFrame:
+def map_batches(
+    df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str | StructType, column: str = "text"
+) -> DataFrame:
     """mapInArrow over slices: fn returns the output columns of a slice by name."""
-    from pyspark.sql.types import _parse_datatype_string
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,7 +87,18 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, kind)
+
+
+def filter_batches(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray], column: str = "text") -> DataFrame:
+    """The rows for which keep's mask of a slice holds, all columns untouched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, column) if batch.num_rows else ():
+                yield piece.filter(pa.array(keep(piece), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def _array(values, kind: pa.DataType) -> pa.Array:

@@ -19,7 +19,7 @@ come; columns other than doc_id and text, or item_id and text, are not read."""
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table, utf8, words_of
+from .common import filter_batches, map_batches, table, utf8, words_of
 
 WINDOW = 10
 #: Benchmark text per automaton. A byte of it becomes some 100 bytes of automaton at most.
@@ -58,7 +58,8 @@ def _automaton(patterns: dict[bytes, list[str]], key: int):
         for text, items in patterns.items():
             # latin-1 maps bytes to characters one to one, so UTF-8 text is matched byte for byte
             machine.add_word(text.decode("latin-1"), (text.count(b" ") - 1, items))
-        machine.make_automaton()
+        if patterns:
+            machine.make_automaton()
         _AUTOMATA.clear()
         _AUTOMATA[key] = machine
     return _AUTOMATA[key]
@@ -74,6 +75,10 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def _plain(words: list[bytes]) -> str:
+    return (b" " + b" ".join(words) + b" ").decode("latin-1")
+
+
 def _scan(patterns, key: int, hits_only: bool):
     """patterns: a broadcast of windows_of()."""
 
@@ -82,8 +87,8 @@ def _scan(patterns, key: int, hits_only: bool):
         docs, counts, items, spans = [], [], [], []
         for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
             words = words_of(text)
-            plain = (b" " + b" ".join(words) + b" ").decode("latin-1")
-            found = list(machine.iter(plain)) if words else []
+            plain = _plain(words)
+            found = list(machine.iter(plain)) if words and len(machine) else []
             if hits_only and not found:
                 continue
             hit: list[tuple[int, int]] = []
@@ -115,16 +120,20 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[int]]:
     return blocks
 
 
+def _patterns(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tuple]:
+    """(broadcast patterns, their key) by block; one block without patterns for an empty benchmark."""
+    context = benchmark.sparkSession.sparkContext
+    for ids in _blocks(benchmark, block_bytes) or [[]]:
+        rows = benchmark.where(F.col("item_id").between(ids[0], ids[-1])).select("item_id", "text").collect() if ids else []
+        patterns = windows_of(((r.item_id, r.text) for r in rows), window)
+        yield context.broadcast(patterns), hash(tuple(patterns))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, items array<string>, spans of hit words, by number from 0) for every document."""
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    passes = []
-    for k, ids in enumerate(_blocks(benchmark, block_bytes) or [[]]):
-        rows = benchmark.where(F.col("item_id").between(ids[0], ids[-1])).select("item_id", "text").collect() if ids else []
-        patterns = windows_of(((r.item_id, r.text) for r in rows), window)
-        key = hash(tuple(patterns))
-        passes.append(map_batches(texts, _scan(spark.sparkContext.broadcast(patterns), key, k > 0), _HITS))
+    blocks = enumerate(_patterns(benchmark, window, block_bytes))
+    passes = [map_batches(texts, _scan(patterns, key, k > 0), _HITS) for k, (patterns, key) in blocks]
     if len(passes) == 1:
         return passes[0]
     # by document: one row from each pass that hit it, the first pass has them all
@@ -137,6 +146,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     return every.withColumn("spans", merge("spans"))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that no window occurs in, with all their columns: one filter per automaton."""
+    at = docs.columns.index("text")
+    for patterns, key in _patterns(benchmark, window, block_bytes):
+
+        def clean(batch: pa.RecordBatch, patterns=patterns, key=key) -> np.ndarray:
+            machine = _automaton(patterns.value, key)
+            return np.array([not (w and len(machine) and any(True for _ in machine.iter(_plain(w)))) for w in map(words_of, utf8(batch.column(at)))], bool)
+
+        docs = filter_batches(docs, clean)
+    return docs
+
+
 def original_spans(text: str | None, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Character ranges of the original text, end exclusive, of ranges of words."""
     import re

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, utf8
+from .common import cut, map_batches, table, utf8
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -198,9 +198,32 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     return map_batches(joined, _apply, "doc_id long, n_lines long, n_dropped long, kept binary")
 
 
-def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import table
+def _replace(names: list[str]):
+    """All columns, with text and n_chars of what is kept; untouched texts stay as they are, null too."""
+    text_at, bits_at = names.index("text"), names.index("__bitmap")
+
+    def run(batch: pa.RecordBatch) -> dict:
+        texts = batch.column(text_at).to_pylist()
+        for i, bitmap in enumerate(batch.column(bits_at).to_pylist()):
+            if bitmap is not None:
+                lines = (texts[i] or "").encode("utf-8", "replace").split(b"\n")
+                texts[i] = b"\n".join(_kept(lines, bitmap)).decode("utf-8")
+        out = {name: batch.column(i) for i, name in enumerate(names)} | {"text": texts}
+        if "n_chars" in names:
+            out["n_chars"] = [None if t is None else len(t) for t in texts]
+        return out
+
+    return run
 
+
+def dedup_documents(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The documents without their dropped lines, with all their columns."""
+    maps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("__doc_id"), F.col("bitmap").alias("__bitmap"))
+    joined = docs.join(maps, docs["doc_id"] == maps["__doc_id"], "left").drop("__doc_id")
+    return map_batches(joined, _replace(joined.columns), docs.schema)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")
     )

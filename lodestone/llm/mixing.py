@@ -35,7 +35,7 @@ ROUNDS = 10
 SEED = "mix-1"
 TEMPER = 0.5
 BYTES_PER_TOKEN = 4
-MARGINS = ("_source", "_lang", "_topic")
+MARGINS = ("__source", "__lang", "__topic")
 
 
 def n_tokens(text: Column) -> Column:
@@ -58,10 +58,10 @@ def _celled(docs: DataFrame, topic_of: Column) -> DataFrame:
     none = F.lit("none")
     return docs.withColumns(
         {
-            "_source": F.coalesce(F.col("source").cast("string"), none),
-            "_lang": F.coalesce(F.col("lang").cast("string"), none),
-            "_topic": F.coalesce(topic_of, none),
-            "_tokens": n_tokens(F.col("text")),
+            "__source": F.coalesce(F.col("source").cast("string"), none),
+            "__lang": F.coalesce(F.col("lang").cast("string"), none),
+            "__topic": F.coalesce(topic_of, none),
+            "__tokens": n_tokens(F.col("text")),
         }
     )
 
@@ -69,7 +69,7 @@ def _celled(docs: DataFrame, topic_of: Column) -> DataFrame:
 def _targets(cells: DataFrame, margin: str, given: dict[str, float] | None, temper: float) -> Column:
     """The share of a cell's category, as a column of cells: given, or tempered by its tokens."""
     if given is None:
-        return F.pow(F.sum("_tokens").over(Window.partitionBy(margin)).cast("double"), F.lit(temper))
+        return F.pow(F.sum("__tokens").over(Window.partitionBy(margin)).cast("double"), F.lit(temper))
     pairs = [x for k, v in given.items() for x in (F.lit(k), F.lit(float(v)))]
     return F.coalesce(F.create_map(*pairs)[F.col(margin)], F.lit(0.0)) if pairs else F.lit(0.0)
 
@@ -87,14 +87,14 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
     whole = Window.partitionBy(F.lit(0))  # all cells
     for m in MARGINS:
         out = out.withColumn(f"goal{m}", F.col(f"goal{m}") / F.sum(f"once{m}").over(whole))
-    share = F.col("_tokens") / F.sum("_tokens").over(whole)
-    out = cut(out.select(*MARGINS, "_tokens", *[f"goal{m}" for m in MARGINS], share.alias("share")))
+    share = F.col("__tokens") / F.sum("__tokens").over(whole)
+    out = cut(out.select(*MARGINS, "__tokens", *[f"goal{m}" for m in MARGINS], share.alias("share")))
     for _ in range(rounds):
         for m in MARGINS:
             held = F.sum("share").over(Window.partitionBy(m))
             out = out.withColumn("share", F.when(held > 0, F.col("share") * F.col(f"goal{m}") / held).otherwise(0.0))
         out = cut(out)
-    return out.select(*MARGINS, "_tokens", "share")
+    return out.select(*MARGINS, "__tokens", "share")
 
 
 def uniform(doc_id: Column, seed: str = SEED) -> Column:
@@ -114,16 +114,16 @@ def mix(
     """The sampled documents, with their columns, `topic`, `n_tokens`, `prob` and `weight`."""
     docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in ("topic", "n_tokens", "prob", "weight")])
     celled = _celled(docs, topic(F.col("text")) if topic_of is None else topic_of)
-    cells = cut(celled.where("_tokens > 0").groupBy(*MARGINS).agg(F.sum("_tokens").alias("_tokens")))
+    cells = cut(celled.where("__tokens > 0").groupBy(*MARGINS).agg(F.sum("__tokens").alias("__tokens")))
     raked = rake(cells, targets, rounds)
-    total = F.sum("_tokens").over(Window.partitionBy(F.lit(0)))  # of cells, not documents
-    rates = cut(raked.select(*MARGINS, (F.lit(budget) * total * F.col("share") / F.col("_tokens")).alias("rate")))
-    joined = celled.where("_tokens > 0").join(small_or_shuffled(rates, rates.count(), 100_000), list(MARGINS))
+    total = F.sum("__tokens").over(Window.partitionBy(F.lit(0)))  # of cells, not documents
+    rates = cut(raked.select(*MARGINS, (F.lit(budget) * total * F.col("share") / F.col("__tokens")).alias("rate")))
+    joined = celled.where("__tokens > 0").join(small_or_shuffled(rates, rates.count(), 100_000), list(MARGINS))
     prob = F.least(F.lit(1.0), F.col("rate"))
     return (
         joined.where(uniform(F.col("doc_id"), seed) < prob)
-        .withColumns({"topic": F.col("_topic"), "n_tokens": F.col("_tokens"), "prob": prob, "weight": F.col("rate") / prob})
-        .drop(*MARGINS, "_tokens", "rate")
+        .withColumns({"topic": F.col("__topic"), "n_tokens": F.col("__tokens"), "prob": prob, "weight": F.col("rate") / prob})
+        .drop(*MARGINS, "__tokens", "rate")
     )
 
 
@@ -142,7 +142,7 @@ def mixing_sql(docs: str = "documents", columns: str = "doc_id, source, lang, _t
   CAST(coalesce(ceil(strlen(text) / {BYTES_PER_TOKEN}.0), 0) AS BIGINT) AS _tokens FROM {docs})""",
         "cells AS MATERIALIZED (SELECT _source, _lang, _topic, CAST(sum(_tokens) AS BIGINT) AS _tokens FROM celled WHERE _tokens > 0 GROUP BY ALL)",
     ]
-    for m in MARGINS:
+    for m in ("_source", "_lang", "_topic"):
         parts.append(
             f"""goal{m} AS MATERIALIZED (SELECT {m}, pow(t, {TEMPER}) / sum(pow(t, {TEMPER})) OVER () AS goal
   FROM (SELECT {m}, CAST(sum(_tokens) AS DOUBLE) AS t FROM cells GROUP BY 1))"""
@@ -150,7 +150,7 @@ def mixing_sql(docs: str = "documents", columns: str = "doc_id, source, lang, _t
     parts.append("r0 AS MATERIALIZED (SELECT *, _tokens / sum(_tokens) OVER () AS share FROM cells)")
     at = 0
     for _ in range(rounds):
-        for m in MARGINS:
+        for m in ("_source", "_lang", "_topic"):
             parts.append(
                 f"""r{at + 1} AS MATERIALIZED (SELECT _source, _lang, _topic, _tokens,
   CASE WHEN sum(share) OVER (PARTITION BY {m}) > 0 THEN share * goal / sum(share) OVER (PARTITION BY {m}) ELSE 0 END AS share

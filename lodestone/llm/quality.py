@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, map_batches, table, utf8
+from .common import filter_batches, held_out, map_batches, table, utf8
 
 TRAIN_DOCS = 2000
 TRAIN_BYTES = 1 << 14
@@ -130,31 +130,27 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     return Model(good, bad, tuple(w), tuple(mean), tuple(scale), prior)
 
 
-def _score(model: Model):
-    def run(batch: pa.RecordBatch) -> dict:
-        texts = utf8(batch.column(batch.schema.get_field_index("text")))
-        if not model.weights:
-            score = np.full(len(texts), model.prior)
-        else:
-            x = _features(np.array([sizes(t, model.good, model.bad) for t in texts]).reshape(-1, 3))
-            z = np.clip(((x - model.mean) / model.scale) @ model.weights[1:] + model.weights[0], -30, 30)
-            score = 1 / (1 + np.exp(-z))
-        return {name: batch.column(i) for i, name in enumerate(batch.schema.names)} | {"score": score}
+def scores(model: Model, texts: list[bytes]) -> np.ndarray:
+    if not model.weights:
+        return np.full(len(texts), model.prior)
+    x = _features(np.array([sizes(t, model.good, model.bad) for t in texts]).reshape(-1, 3))
+    z = np.clip(((x - model.mean) / model.scale) @ model.weights[1:] + model.weights[0], -30, 30)
+    return 1 / (1 + np.exp(-z))
 
-    return run
 
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score) of every document."""
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, keep..., score) of every document."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
+    def run(batch: pa.RecordBatch) -> dict:
+        return {"doc_id": batch.column(0), "score": scores(model, utf8(batch.column(1)))}
 
-    cols = docs.select("doc_id", "text", *[c for c in keep if c not in ("doc_id", "text")])
-    schema = StructType([StructField(f.name, f.dataType) for f in cols.schema] + [StructField("score", DoubleType())])
-    return map_batches(cols, _score(model), _ddl(schema))
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double")
 
 
-def _ddl(schema) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+def keep_good(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
+    """The documents that score the cutoff or more, with all their columns."""
+    text = docs.columns.index("text")
+    return filter_batches(docs, lambda batch: scores(model, utf8(batch.column(text))) >= cutoff)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
