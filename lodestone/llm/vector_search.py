@@ -29,7 +29,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -38,7 +38,7 @@ DIRECTIONS = 8  # even, for the closed form of the chi-square distribution
 SURE = 0.97
 SAMPLE_ROWS = 20_000
 CELL_ROWS = 4096
-LEAF_ROWS = 64
+LEAF_ROWS = 512
 MARGIN = 1e-6
 
 
@@ -141,20 +141,37 @@ class KdTree:
             yield bound[leaf], rows[order], away[order]
 
 
+_REACH = math.sqrt(chi2_quantile(SURE))
+
+
+def _limit(score: float) -> float:
+    """The projected distance beyond which no better one than `score` is expected: the stopping test."""
+    return math.inf if score <= -1 else _REACH * math.sqrt(max(0.0, 2 - 2 * score)) + MARGIN
+
+
 def search(tree: KdTree, units: np.ndarray, ids: np.ndarray, q: np.ndarray, q_unit: np.ndarray, q_id: int, k: int, worst: float) -> list[tuple[float, int]]:
     """The k best (score, vec_id) of a piece; worst: a score that k others are known to reach."""
-    reach, best = math.sqrt(chi2_quantile(SURE)), []
-    limit = math.inf if worst <= -1 else reach * math.sqrt(max(0.0, 2 - 2 * worst)) + MARGIN
+    best_scores, best_ids = np.empty(0), np.empty(0, np.int64)
+    limit = _limit(worst)
     for bound, rows, away in tree.nearest_first(q):
         if bound > limit:
             break
-        rows = rows[away <= limit]
+        rows = rows[: np.searchsorted(away, limit, side="right")]
         rows = rows[ids[rows] != q_id]
         scores = (units[rows] * q_unit).sum(axis=1)
-        best = sorted([*best, *zip(scores.tolist(), ids[rows].tolist())], key=lambda x: (-x[0], x[1]))[:k]
-        if len(best) == k:
-            limit = min(limit, reach * math.sqrt(max(0.0, 2 - 2 * best[-1][0])) + MARGIN)
-    return best
+        if len(best_scores) == k:
+            rows, scores = rows[scores >= best_scores[-1]], scores[scores >= best_scores[-1]]
+        if not len(rows):
+            continue
+        scores, found = np.r_[best_scores, scores], np.r_[best_ids, ids[rows]]
+        if len(scores) > 4 * k:  # all that reach the k-th score, ties too
+            near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            scores, found = scores[near], found[near]
+        order = np.lexsort((found, -scores))[:k]
+        best_scores, best_ids = scores[order], found[order]
+        if len(order) == k:
+            limit = min(limit, _limit(best_scores[-1]))
+    return list(zip(best_scores.tolist(), best_ids.tolist()))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -179,8 +196,6 @@ def _searched(k: int):
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    from pyspark.sql import Window
-
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -234,12 +249,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, cell_rows: int = CELL_ROWS
     known = queries.join(bound, "query_id", "left").withColumn(
         "worst", F.when(F.col("n") == k, F.col("worst")).otherwise(F.lit(-2.0))
     )
-    reach = math.sqrt(chi2_quantile(SURE))
 
     def routed(frames):
         for f in frames:
             met = [
-                cells_met(np.asarray(p), math.inf if w <= -1 else reach * math.sqrt(max(0.0, 2 - 2 * w)) + MARGIN, nodes)
+                cells_met(np.asarray(p), _limit(w), nodes)
                 for p, w in zip(f["point"], f["worst"])
             ]
             yield f.assign(cell=[np.array(m, np.int64) for m in met])[["query_id", "embedding", "point", "worst", "cell"]]
