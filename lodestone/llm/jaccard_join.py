@@ -15,12 +15,12 @@ bound reaches the needed overlap are opened and compared member by member.
    one marker, so a passage found everywhere costs two rows a batch.
 3. The others are grouped: classes that agree in several minhashes with the
    smallest class of a bucket are compared with it exactly, and components of
-   these links are the groups. This alone joins nearly all there is to join.
-4. Second matrix, over whole sets and groups: tokens held by two groups or more
-   are counted per class; repeated until all classes left have the needed
-   overlap with the other groups' unions. What is left is compared: candidates
-   share a rare token (prefix filter by exact frequency), their overlap bound
-   with a group qualifies, then its members are verified exactly.
+   these links are the groups. Then, in turns with other leaders, the second
+   matrix, of groups: tokens held by two groups or more are counted per class,
+   and only classes with the needed overlap with other groups' unions are left.
+4. What is left after the turns is compared: a class looks up its rarest tokens,
+   by exact frequency, in the matrix of the groups' prefixes; where the bound on
+   the overlap qualifies, the group is opened and its members verified exactly.
 
 Hashes have 64 bits; two shingles of one comparison collide with a chance of
 about 1e-13, which is the only inexactness.
@@ -38,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_batches, small_or_shuffled, table, utf8
@@ -50,6 +50,8 @@ THRESHOLD = 75  # per cent
 LEVEL = 5  # per cent
 MINHASHES = 8
 AGREEING = 3
+#: Further turns of leaders, which only save work: what they don't join, step 4 does.
+TURNS = 1
 CACHED_WORDS = 200_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -137,20 +139,21 @@ def _met(batch: pa.RecordBatch) -> dict | None:
 def _counted(tokens: np.ndarray, group: np.ndarray, owner: np.ndarray) -> dict:
     """Rows (k, g, d, c) of tokens by group and class. A token is met if two groups have it."""
     order = np.lexsort((group, tokens))
-    tokens, group, owner = tokens[order], group[order], owner[order]
-    start = np.r_[True, tokens[1:] != tokens[:-1]]
+    t, g = tokens[order], group[order]
+    start = np.r_[True, t[1:] != t[:-1]]
     run = np.cumsum(start) - 1
-    other = np.r_[False, (group[1:] != group[:-1]) & ~start[1:]]
     met = np.zeros(run[-1] + 1, bool)
-    met[run[other]] = True
-    here = met[run]
+    met[run[np.r_[False, (g[1:] != g[:-1]) & ~start[1:]]]] = True
+    here = np.empty(len(t), bool)
+    here[order] = met[run]
     who, times = np.unique(owner[here], return_counts=True)
-    marks = tokens[start][met]
-    alone = ~here
+    marks, alone = t[start][met], ~here
+    none, nobody = np.zeros(len(marks), np.int64), np.zeros(len(who), np.int64)
+    # rows stay in the order of their classes, so that equal neighbours compress
     return {
         "k": np.concatenate([tokens[alone], marks, who]),
-        "g": np.concatenate([group[alone], np.zeros(len(marks), np.int64), np.zeros(len(who), np.int64)]),
-        "d": np.concatenate([owner[alone], np.zeros(len(marks), np.int64), who]),
+        "g": np.concatenate([group[alone], none, nobody]),
+        "d": np.concatenate([owner[alone], none, who]),
         "c": np.concatenate([np.zeros(alone.sum(), np.int32), np.full(len(marks), -1, np.int32), times.astype(np.int32)]),
     }
 
@@ -193,8 +196,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _met_elsewhere(rows: DataFrame) -> DataFrame:
-    """rows (k, g, d, c) -> (d, met): tokens of class d that another group has."""
-    dealt = rows.repartition("k").sortWithinPartitions("k", "c", "g")
+    """rows (k, g, d, c), or (k, d, c) if classes are groups -> (d, met): tokens of class d that another group has."""
+    group = "g" if "g" in rows.columns else "d"
+    dealt = rows.repartition("k").sortWithinPartitions("k", "c", group).select("k", F.col(group).alias("g"), "d", "c")
     return dealt.mapInArrow(_counts, "d long, met long").groupBy("d").agg(F.sum("met").alias("met"))
 
 
@@ -203,10 +207,6 @@ def _sets(batch: pa.RecordBatch) -> dict:
     return out | {"tokens": [shingles(x).tobytes() for x in utf8(batch.column(batch.schema.names.index("text")))]}
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
-    return docs.join(small_or_shuffled(ids, rows), "doc_id")
-
-
 def _linked(a: bytes, b: bytes) -> bool:
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if 100 * min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
@@ -232,14 +232,49 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), _verified, "a long, b long", "y")
 
 
-def _group_rows(batch: pa.RecordBatch) -> dict | None:
-    """(id, component, tokens) -> the rows of _counted over whole sets."""
-    sets = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
-    sizes = [len(x) for x in sets]
-    if not sum(sizes):
-        return None
-    ids, groups = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-    return _counted(np.concatenate(sets), np.repeat(groups, sizes), np.repeat(ids, sizes))
+def leader_pairs(classes: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of classes (id, g, low) of different groups that agree in
+    AGREEING minhashes, where a leads a bucket that b is in. Each turn has other
+    leaders: the smallest ids at first, then the smallest hashes of ids."""
+    order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+    keys = classes.select("id", "g", "low", F.posexplode("low").alias("i", "key"))
+    leads = keys.groupBy("i", "key").agg(F.min(F.struct(order.alias("order"), "id", "g", "low")).alias("lead"), F.count("*").alias("size"))
+    met = keys.join(leads.where("size > 1"), ["i", "key"]).where("id <> lead.id AND g <> lead.g")
+    agree = F.size(F.filter(F.zip_with("low", "lead.low", lambda x, y: x == y), lambda same: same))
+    return met.where(agree >= AGREEING).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def _group_rows(whole: bool):
+    def run(batch: pa.RecordBatch) -> dict | None:
+        """(id, g, tokens) -> the rows of _counted over whole sets or their prefixes."""
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+        sets = [_long(x if whole else x[: prefix(len(x))]) for x in sets]
+        sizes = [len(x) for x in sets]
+        if not sum(sizes):
+            return None
+        ids, groups = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        return _counted(np.concatenate(sets), np.repeat(groups, sizes), np.repeat(ids, sizes))
+
+    return run
+
+
+def _least_met(size: str) -> Column:
+    return F.greatest(F.lit(1), F.expr(f"ceil(ceil({size} * {THRESHOLD} / 100) * {LEVEL} / 100)"))
+
+
+def narrowed(sets: DataFrame) -> DataFrame:
+    """The classes (id, g, tokens) whose overlap bound with the other groups' unions
+    is enough, first by prefixes, then by whole sets while many fall out."""
+    size, whole, left = "octet_length(tokens) div 8", False, None
+    while True:
+        rows = map_batches(sets.select("id", "g", "tokens"), _group_rows(whole), "k long, g long, d long, c int", "tokens")
+        least = F.expr(f"ceil({size} * {THRESHOLD} / 100)") if whole else _least_met(size)
+        enough = _met_elsewhere(rows).withColumnRenamed("d", "id")
+        sets = cut(sets.join(enough, "id").where(F.col("met") >= least).drop("met"))
+        now = sets.count()
+        if not now or (whole and now > 0.9 * left):  # further rounds would only save work
+            return sets
+        whole, left = True, now
 
 
 def _token_rows(batch: pa.RecordBatch) -> dict | None:
@@ -253,43 +288,39 @@ def _token_rows(batch: pa.RecordBatch) -> dict | None:
 
 def _residual(sets: DataFrame) -> DataFrame:
     """Links (a, b) between classes of different groups; sets (id, g, tokens)."""
-    left = sets.count()
-    while left:
-        rows = map_batches(sets, _group_rows, "k long, g long, d long, c int", "tokens")
-        met = _met_elsewhere(rows).withColumnRenamed("d", "id")
-        size = F.octet_length("tokens") / 8
-        sets = cut(sets.join(met, "id").where(100 * F.col("met") >= THRESHOLD * size).select("id", "g", "tokens"))
-        now = sets.count()
-        if now == left:
-            break
-        left = now
-    # the rarest tokens of each set: frequency by group, over all that is left
+    # tokens of each set by how many groups have them, the rarest first
     rows = map_batches(sets, _token_rows, "id long, g long, token long, n int", "tokens")
-    matrix = rows.select("token", "g").distinct()
-    often = matrix.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = rows.join(often, "token", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
+    often = rows.select("token", "g").distinct().groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    order = Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "token")
+    ranked = rows.join(often, "token", "left").withColumn("rank", F.row_number().over(order))
+    # of a linked pair with 7 * overlap >= 3 * (n + m) and n >= m, the first common token
+    # stands in this prefix of the larger set ...
+    probe = cut(ranked.where(f"rank <= n - ceil(n * {THRESHOLD} / 100) + 1 AND df > 1").select("id", "g", "token", "rank", "n"))
+    # ... and in a shorter one of the smaller set; the matrix holds what a group can offer behind the token
+    both = 2 * THRESHOLD / (100 + THRESHOLD)
+    matrix = (
+        probe.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * both - 1e-9) + 1)
+        .groupBy("token", "g")
+        .agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("rank")).alias("behind"))
     )
-    short = cut(ranked.where(F.expr(f"rank <= n - ceil(n * {THRESHOLD} / 100) + 1") & (F.col("df") > 1)).select("id", "g", "token"))
-    # rows of the matrix for the groups' prefix unions; a query opens each group it meets there
+    bound = 1 + F.least(F.col("n") - F.col("rank"), F.col("behind"))
+    qualifies = (100 + THRESHOLD) * bound >= THRESHOLD * (F.col("n") + F.col("least"))
     opened = (
-        short.select("id", F.col("g").alias("own"), "token")
-        .join(short.select("token", "g").distinct(), "token")
-        .where("own < g")
-        .select("id", "g")
+        probe.withColumnRenamed("g", "own")
+        .join(matrix, "token")
+        .where((F.col("own") != F.col("g")) & (F.col("n") >= F.col("least")) & qualifies)
+        .select("id", "g", "n")
         .distinct()
     )
-    members = sets.select(F.col("id").alias("b"), "g", (F.octet_length("tokens") / 8).alias("m"))
-    sizes = sets.select("id", (F.octet_length("tokens") / 8).alias("n"))
-    pairs = (
-        opened.join(sizes, "id")
-        .join(members, "g")
-        .where(100 * F.least("n", "m") >= THRESHOLD * F.greatest("n", "m"))
-        .select(F.col("id").alias("a"), "b")
-    )
+    members = sets.select(F.col("id").alias("b"), "g", F.expr("octet_length(tokens) div 8").alias("m"))
+    pairs = opened.join(members, "g").where((F.col("m") <= F.col("n")) & (100 * F.col("m") >= THRESHOLD * F.col("n"))).select(F.col("id").alias("a"), "b")
     return verify(pairs, sets.select("id", "tokens"))
 
 
+def _grouped(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    return sets.select("id", "tokens").join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("g"), "tokens")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) for every row of documents."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -298,30 +329,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"), F.first("low").alias("low"))
 
     # 2. classes that share enough of their prefix with others
-    met = _met_elsewhere(map_batches(texts.where("doc_id IS NOT NULL"), _met, "k long, g long, d long, c int"))
-    least_met = F.greatest(F.lit(1), F.expr(f"ceil(ceil(n * {THRESHOLD} / 100) * {LEVEL} / 100)"))
+    met = _met_elsewhere(map_batches(texts.where("doc_id IS NOT NULL"), _met, "k long, d long, c int"))
     open_classes = cut(
-        classes.join(met.withColumnRenamed("d", "d1"), "d1").where(F.col("met") >= least_met).select("class_id", "n", "low")
+        classes.join(met.withColumnRenamed("d", "d1"), "d1").where(F.col("met") >= _least_met("n")).select(F.col("class_id").alias("id"), "low")
     )
+    ids = open_classes.select(F.col("id").alias("doc_id"))
+    found = texts.join(small_or_shuffled(ids, open_classes.count()), "doc_id")
+    opened = cut(map_batches(found, _sets, "doc_id long, tokens binary").withColumnRenamed("doc_id", "id").dropDuplicates(["id"]))
 
-    # 3. buckets of equal minhashes, each led by its smallest class
-    keys = open_classes.select(F.col("class_id").alias("b"), "n", F.posexplode("low").alias("i", "key"))
-    leaders = keys.groupBy("i", "key").agg(F.min("b").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size")
-    pairs = keys.join(leaders, ["i", "key"]).where("a <> b").groupBy("a", "b").count().where(F.col("count") >= AGREEING).select("a", "b")
-    count = open_classes.count()
-    opened = cut(
-        map_batches(_texts_of(texts, open_classes.select(F.col("class_id").alias("doc_id")), count), _sets, "doc_id long, tokens binary")
-        .withColumnRenamed("doc_id", "id")
-        .dropDuplicates(["id"])
-    )
-    links = cut(verify(pairs, opened))
+    # 3. groups by leaders; after the first turn only for classes that other groups may link with
+    links = cut(verify(leader_pairs(open_classes.withColumn("g", F.col("id")), 0), opened))
     groups = connected_components(links)
+    rest = opened
+    for turn in range(1, TURNS + 1):
+        rest = narrowed(_grouped(rest, groups))
+        more = cut(verify(leader_pairs(rest.join(open_classes, "id").select("id", "g", "low"), turn), rest))
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        groups = connected_components(links)
 
-    # 4. what may link one group with another
-    grouped = opened.join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("g"), "tokens")
-    rest = cut(_residual(grouped))
-    if not rest.isEmpty():
-        groups = connected_components(links.unionByName(rest))
+    # 4. what may still link one group with another
+    more = cut(_residual(narrowed(_grouped(rest, groups))))
+    if not more.isEmpty():
+        groups = connected_components(links.unionByName(more))
 
     named = classes.join(groups.withColumnRenamed("id", "class_id"), "class_id", "left").select(
         "d1", "d2", F.col("n").alias("size"), "class_id", F.coalesce("component", "class_id").alias("component_id")
