@@ -1,15 +1,21 @@
-"""Registered queries over the driver tables and their SQL twins."""
+"""Registered queries over the driver tables and their SQL twins.
+
+Operators are bound to the tables like this: `events` is the journal (type =
+event_type, session = user_id, payload = props and value), `documents` and
+`conversations` are the text corpus and the chats, `pages` the routes, `part` the
+files, `lineitem` and `orders` the edges, `labels` the gold judgements."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
+    """Register a query by its function's name, with SQL that gives the same rows."""
+
     def put(f):
         QUERIES[f.__name__] = f
         if sql:
@@ -19,10 +25,8 @@ def query(sql: str | None = None):
     return put
 
 
-@query("""SELECT event_type AS scene, count(*) AS turns, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS tokens
-FROM events GROUP BY 1""")
-def a03_usage_by_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy(F.col("event_type").alias("scene")).agg(
-        F.count("*").alias("turns"), F.sum(F.floor("value").cast("long")).alias("tokens")
-    )
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from lodestone.plans import chats, corpus, graphs, journal, learning, tables  # noqa: E402, F401
