@@ -14,8 +14,8 @@ bound reaches the needed overlap are opened and compared member by member.
    nothing. Tokens met twice within a batch are counted there and shuffled as
    one marker, so a passage found everywhere costs two rows a batch.
 3. The others are grouped: classes that agree in several minhashes with the
-   smallest class of a bucket are compared with it exactly, and components of
-   these links are the groups. Then, in turns with other leaders, the second
+   most central class of a bucket are compared with it exactly, and components
+   of these links are the groups. Then, in turns with other leaders, the second
    matrix, of groups: tokens held by two groups or more are counted per class,
    and only classes with the needed overlap with other groups' unions are left.
 4. What is left after the turns is compared: a class looks up its rarest tokens,
@@ -49,7 +49,7 @@ THRESHOLD = 75  # per cent
 #: Extra share of a set in its prefix, and so the share that a linked pair must have in common there.
 LEVEL = 5  # per cent
 MINHASHES = 8
-AGREEING = 3
+AGREEING, AGREEING_LATER = 3, 5
 #: Further turns of leaders, which only save work: what they don't join, step 4 does.
 TURNS = 1
 CACHED_WORDS = 200_000
@@ -226,22 +226,35 @@ def _verified(batch: pa.RecordBatch) -> dict:
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class ids whose sets (id, tokens) are linked."""
-    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    return map_batches(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), _verified, "a long, b long", "y")
+    """The pairs (a, b) of class ids whose sets (id, tokens) are linked. Where the pairs
+    are few enough to be broadcast, only sets in pairs move, to their leader a."""
+    pairs = cut(pairs)
+    count = pairs.count()
+    of_b = small_or_shuffled(pairs.withColumnRenamed("b", "id"), count)
+    members = sets.join(of_b, "id").select("a", F.col("id").alias("b"), F.col("tokens").alias("y"))
+    leads = sets.join(small_or_shuffled(pairs.select(F.col("a").alias("id")).distinct(), count), "id")
+    both = members.join(leads.select(F.col("id").alias("a"), F.col("tokens").alias("x")).hint("merge"), "a")
+    return map_batches(both.select("a", "b", "x", "y"), _verified, "a long, b long", "y")
 
 
 def leader_pairs(classes: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of classes (id, g, low) of different groups that agree in
-    AGREEING minhashes, where a leads a bucket that b is in. Each turn has other
-    leaders: the smallest ids at first, then the smallest hashes of ids."""
-    order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+    """Pairs (a, b) of classes (id, g, low) of different groups that agree in enough
+    minhashes, where a leads a bucket that b is in. At first the class whose buckets
+    are the largest leads: the text that the others are copies of, rather than one of
+    its copies. In later turns leaders are picked by hash."""
     keys = classes.select("id", "g", "low", F.posexplode("low").alias("i", "key"))
-    leads = keys.groupBy("i", "key").agg(F.min(F.struct(order.alias("order"), "id", "g", "low")).alias("lead"), F.count("*").alias("size"))
-    met = keys.join(leads.where("size > 1"), ["i", "key"]).where("id <> lead.id AND g <> lead.g")
+    sizes = keys.groupBy("i", "key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = cut(keys.join(sizes, ["i", "key"]).select("id", "g", "low", "i", "key", "size"))
+    if turn == 0:
+        central = shared.groupBy("id").agg((-F.sum("size")).alias("order"))
+        shared = shared.join(central, "id")
+    else:
+        shared = shared.withColumn("order", F.xxhash64("id", F.lit(turn)))
+    leads = shared.groupBy("i", "key").agg(F.min(F.struct("order", "id", "g", "low")).alias("lead"))
+    met = shared.join(leads, ["i", "key"]).where("id <> lead.id AND g <> lead.g")
     agree = F.size(F.filter(F.zip_with("low", "lead.low", lambda x, y: x == y), lambda same: same))
-    return met.where(agree >= AGREEING).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
+    enough = met.where(agree >= (AGREEING if turn == 0 else AGREEING_LATER))
+    return enough.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def _group_rows(whole: bool):
@@ -269,8 +282,8 @@ def narrowed(sets: DataFrame) -> DataFrame:
     while True:
         rows = map_batches(sets.select("id", "g", "tokens"), _group_rows(whole), "k long, g long, d long, c int", "tokens")
         least = F.expr(f"ceil({size} * {THRESHOLD} / 100)") if whole else _least_met(size)
-        enough = _met_elsewhere(rows).withColumnRenamed("d", "id")
-        sets = cut(sets.join(enough, "id").where(F.col("met") >= least).drop("met"))
+        enough = cut(_met_elsewhere(rows).withColumnRenamed("d", "id"))
+        sets = cut(sets.join(small_or_shuffled(enough, enough.count()), "id").where(F.col("met") >= least).drop("met"))
         now = sets.count()
         if not now or (whole and now > 0.9 * left):  # further rounds would only save work
             return sets
@@ -288,6 +301,7 @@ def _token_rows(batch: pa.RecordBatch) -> dict | None:
 
 def _residual(sets: DataFrame) -> DataFrame:
     """Links (a, b) between classes of different groups; sets (id, g, tokens)."""
+    sets = cut(sets.dropDuplicates(["id"]))  # documents may have repeated rows
     # tokens of each set by how many groups have them, the rarest first
     rows = map_batches(sets, _token_rows, "id long, g long, token long, n int", "tokens")
     often = rows.select("token", "g").distinct().groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -318,7 +332,8 @@ def _residual(sets: DataFrame) -> DataFrame:
 
 
 def _grouped(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    return sets.select("id", "tokens").join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("g"), "tokens")
+    known = small_or_shuffled(groups, groups.count())
+    return sets.select("id", "tokens").join(known, "id", "left").select("id", F.coalesce("component", "id").alias("g"), "tokens")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -335,7 +350,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     ids = open_classes.select(F.col("id").alias("doc_id"))
     found = texts.join(small_or_shuffled(ids, open_classes.count()), "doc_id")
-    opened = cut(map_batches(found, _sets, "doc_id long, tokens binary").withColumnRenamed("doc_id", "id").dropDuplicates(["id"]))
+    opened = cut(map_batches(found, _sets, "doc_id long, tokens binary").withColumnRenamed("doc_id", "id"))
 
     # 3. groups by leaders; after the first turn only for classes that other groups may link with
     links = cut(verify(leader_pairs(open_classes.withColumn("g", F.col("id")), 0), opened))
