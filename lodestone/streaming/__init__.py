@@ -1 +1 @@
-""""""
+"""Journals as streams."""
