@@ -36,7 +36,7 @@ def read_env(spark: SparkSession, path: str) -> DataFrame:
 
 def markdown_table(spark: SparkSession, path: str, heading: str) -> DataFrame:
     """The rows of the pipe table under a heading, as an array of cells in order."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     section = F.regexp_extract("value", rf"(?ms)^#+\s*{heading}\s*$(.*?)(?=^#|\z)", 1)
     rows = text.select(F.posexplode(F.split(section, "\n")).alias("pos", "line")).where(F.col("line").startswith("|") & ~F.col("line").rlike(r"^\|[\s:|-]+\|?$"))
     cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|\s*$", ""), r"\|"), lambda c: F.trim(c))

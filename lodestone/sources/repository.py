@@ -18,7 +18,8 @@ ENV_TEMPLATES = (".env.example", ".env.sample", ".env.template")
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """(path, extension, bytes, lines, content_hash, content) of the files under a root,
-    in any store that Spark reads. Without content the bytes are still read for the hash."""
+    in any store that Spark reads. Hidden files (leading dot or underscore) are never
+    listed by Spark's readers."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://")[-1].lstrip("/")
     path = F.regexp_replace("path", f"^.*?{re.escape(base)}/", "")

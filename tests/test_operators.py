@@ -175,15 +175,16 @@ def test_sources(spark, tmp_path):
     root = tmp_path / "repo"
     (root / "src").mkdir(parents=True)
     (root / "src/a.py").write_text("x = 1\n")
-    (root / ".env").write_text("# c\nexport KEY='v'\nKEY=w\n")
+    (root / "server.pem").write_text("k")
+    (tmp_path / "env.txt").write_text("# c\nexport KEY='v'\nKEY=w\n")
     files = repository.scan(spark, str(root))
     rows = {r.path: r for r in files.withColumn("ok", repository.ingested(F.col("path"))).collect()}
-    assert rows["src/a.py"].ok and rows["src/a.py"].lines == 2 and not rows[".env"].ok
+    assert rows["src/a.py"].ok and rows["src/a.py"].lines == 2 and not rows["server.pem"].ok
     assert one(spark, repository.denied(F.lit("k/server.pem"))) == "key" and one(spark, repository.denied(F.lit(".env.example"))) is None
     rules = ["build/", "*.log", "!keep.log", "# note"]
     for path, want in {"build/x.js": True, "a/build/y/z.py": True, "a.log": True, "d/keep.log": False, "builder.py": False}.items():
         assert one(spark, repository.ignored(F.lit(path), rules)) is want
-    assert [(r.key, r.value) for r in logs.read_env(spark, str(root / ".env")).collect()] == [("KEY", "w")]
+    assert [(r.key, r.value) for r in logs.read_env(spark, str(tmp_path / "env.txt")).collect()] == [("KEY", "w")]
     doc = tmp_path / "t.md"
     doc.write_text("# One\n| a | b |\n|---|---|\n| 1 | 2 |\n# Two\n| z |\n")
     assert [r.cells for r in logs.markdown_table(spark, str(doc), "One").orderBy("pos").collect()] == [["a", "b"], ["1", "2"]]
