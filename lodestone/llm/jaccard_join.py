@@ -15,12 +15,12 @@ bound reaches the needed overlap are opened and compared member by member.
    one marker, so a passage found everywhere costs two rows a batch.
 3. The others are grouped: classes that agree in several minhashes with the
    most central class of a bucket are compared with it exactly, and components
-   of these links are the groups. Then, in turns with other leaders, the second
-   matrix, of groups: tokens held by two groups or more are counted per class,
-   and only classes with the needed overlap with other groups' unions are left.
-4. What is left after the turns is compared: a class looks up its rarest tokens,
-   by exact frequency, in the matrix of the groups' prefixes; where the bound on
-   the overlap qualifies, the group is opened and its members verified exactly.
+   of these links are the groups. This joins nearly all there is to join.
+4. Second matrix, of groups: tokens held by two groups or more are counted per
+   class, and only classes with the needed overlap with other groups' unions are
+   left. Each looks up its rarest tokens, by exact frequency, in the matrix of
+   the groups' prefixes; where the bound on the overlap qualifies, the group is
+   opened and its members verified exactly.
 
 Hashes have 64 bits; two shingles of one comparison collide with a chance of
 about 1e-13, which is the only inexactness.
@@ -49,9 +49,7 @@ THRESHOLD = 75  # per cent
 #: Extra share of a set in its prefix, and so the share that a linked pair must have in common there.
 LEVEL = 5  # per cent
 MINHASHES = 8
-AGREEING, AGREEING_LATER = 3, 5
-#: Further turns of leaders, which only save work: what they don't join, step 4 does.
-TURNS = 1
+AGREEING = 3
 CACHED_WORDS = 200_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -226,35 +224,27 @@ def _verified(batch: pa.RecordBatch) -> dict:
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class ids whose sets (id, tokens) are linked. Where the pairs
-    are few enough to be broadcast, only sets in pairs move, to their leader a."""
+    """The pairs (a, b) of class ids whose sets (id, tokens) are linked. Sets are dealt by
+    id once, for both joins, and those in pairs move to their leader a."""
     pairs = cut(pairs)
-    count = pairs.count()
-    of_b = small_or_shuffled(pairs.withColumnRenamed("b", "id"), count)
-    members = sets.join(of_b, "id").select("a", F.col("id").alias("b"), F.col("tokens").alias("y"))
-    leads = sets.join(small_or_shuffled(pairs.select(F.col("a").alias("id")).distinct(), count), "id")
-    both = members.join(leads.select(F.col("id").alias("a"), F.col("tokens").alias("x")).hint("merge"), "a")
+    members = sets.join(pairs.withColumnRenamed("b", "id"), "id").select("a", F.col("id").alias("b"), F.col("tokens").alias("y"))
+    leads = sets.join(pairs.select(F.col("a").alias("id")).distinct(), "id")
+    both = members.join(leads.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
     return map_batches(both.select("a", "b", "x", "y"), _verified, "a long, b long", "y")
 
 
-def leader_pairs(classes: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of classes (id, g, low) of different groups that agree in enough
-    minhashes, where a leads a bucket that b is in. At first the class whose buckets
-    are the largest leads: the text that the others are copies of, rather than one of
-    its copies. In later turns leaders are picked by hash."""
-    keys = classes.select("id", "g", "low", F.posexplode("low").alias("i", "key"))
+def leader_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes (id, low) that agree in AGREEING minhashes, where a leads a
+    bucket that b is in. The class whose buckets are the largest leads: the text that
+    the others are copies of, rather than one of its copies."""
+    keys = classes.select("id", "low", F.posexplode("low").alias("i", "key"))
     sizes = keys.groupBy("i", "key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = cut(keys.join(sizes, ["i", "key"]).select("id", "g", "low", "i", "key", "size"))
-    if turn == 0:
-        central = shared.groupBy("id").agg((-F.sum("size")).alias("order"))
-        shared = shared.join(central, "id")
-    else:
-        shared = shared.withColumn("order", F.xxhash64("id", F.lit(turn)))
-    leads = shared.groupBy("i", "key").agg(F.min(F.struct("order", "id", "g", "low")).alias("lead"))
-    met = shared.join(leads, ["i", "key"]).where("id <> lead.id AND g <> lead.g")
+    shared = cut(keys.join(sizes, ["i", "key"]).select("id", "low", "i", "key", "size"))
+    central = shared.groupBy("id").agg((-F.sum("size")).alias("order"))
+    leads = shared.join(central, "id").groupBy("i", "key").agg(F.min(F.struct("order", "id", "low")).alias("lead"))
+    met = shared.join(leads, ["i", "key"]).where("id <> lead.id")
     agree = F.size(F.filter(F.zip_with("low", "lead.low", lambda x, y: x == y), lambda same: same))
-    enough = met.where(agree >= (AGREEING if turn == 0 else AGREEING_LATER))
-    return enough.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
+    return met.where(agree >= AGREEING).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def _group_rows(whole: bool):
@@ -282,8 +272,8 @@ def narrowed(sets: DataFrame) -> DataFrame:
     while True:
         rows = map_batches(sets.select("id", "g", "tokens"), _group_rows(whole), "k long, g long, d long, c int", "tokens")
         least = F.expr(f"ceil({size} * {THRESHOLD} / 100)") if whole else _least_met(size)
-        enough = cut(_met_elsewhere(rows).withColumnRenamed("d", "id"))
-        sets = cut(sets.join(small_or_shuffled(enough, enough.count()), "id").where(F.col("met") >= least).drop("met"))
+        enough = _met_elsewhere(rows).withColumnRenamed("d", "id")
+        sets = cut(sets.join(enough, "id").where(F.col("met") >= least).drop("met"))
         now = sets.count()
         if not now or (whole and now > 0.9 * left):  # further rounds would only save work
             return sets
@@ -332,8 +322,7 @@ def _residual(sets: DataFrame) -> DataFrame:
 
 
 def _grouped(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    known = small_or_shuffled(groups, groups.count())
-    return sets.select("id", "tokens").join(known, "id", "left").select("id", F.coalesce("component", "id").alias("g"), "tokens")
+    return sets.select("id", "tokens").join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("g"), "tokens")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -352,20 +341,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = texts.join(small_or_shuffled(ids, open_classes.count()), "doc_id")
     opened = cut(map_batches(found, _sets, "doc_id long, tokens binary").withColumnRenamed("doc_id", "id"))
 
-    # 3. groups by leaders; after the first turn only for classes that other groups may link with
-    links = cut(verify(leader_pairs(open_classes.withColumn("g", F.col("id")), 0), opened))
+    # 3. groups by leaders
+    links = cut(verify(leader_pairs(open_classes), opened))
     groups = connected_components(links)
-    rest = opened
-    for turn in range(1, TURNS + 1):
-        rest = narrowed(_grouped(rest, groups))
-        more = cut(verify(leader_pairs(rest.join(open_classes, "id").select("id", "g", "low"), turn), rest))
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        groups = connected_components(links)
 
     # 4. what may still link one group with another
-    more = cut(_residual(narrowed(_grouped(rest, groups))))
+    more = cut(_residual(narrowed(_grouped(opened, groups))))
     if not more.isEmpty():
         groups = connected_components(links.unionByName(more))
 
