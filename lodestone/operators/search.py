@@ -23,11 +23,11 @@ def ranked(scored: DataFrame, key: str, limit: int = 10) -> DataFrame:
     return scored.where("score > 0").orderBy(F.desc("score"), key).limit(limit)
 
 
-def term_counts(corpus: DataFrame, key: str, terms: Column) -> DataFrame:
-    """(key, term, tf, length): one row for each distinct term of a document."""
-    words = corpus.select(key, terms.alias("terms")).where(F.size("terms") > 0)
-    exploded = words.select(key, F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    return exploded.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+def exploded_terms(corpus: DataFrame, key: str, terms: Column) -> DataFrame:
+    """(key, term, length): a row for each term with its document's length. The length is
+    bound inside the generator, so the array is built once a document, not once a row."""
+    sized = F.flatten(F.transform(F.array(terms), lambda w: F.transform(w, lambda t: F.struct(t.alias("term"), F.size(w).alias("length")))))
+    return corpus.select(key, F.explode(sized).alias("t")).select(key, "t.term", "t.length")
 
 
 def bm25(corpus: DataFrame, key: str, terms: Column, queries: DataFrame, query_key: str, query_terms: Column, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -36,7 +36,7 @@ def bm25(corpus: DataFrame, key: str, terms: Column, queries: DataFrame, query_k
     asked = queries.select(query_key, F.explode(F.array_distinct(query_terms)).alias("term"))
     size = corpus.select(F.size(terms).alias("n")).where("n > 0").agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()
     docs, mean = size["docs"], size["mean"] or 1.0
-    words = corpus.select(key, F.size(terms).alias("length"), F.explode(terms).alias("term"))
+    words = exploded_terms(corpus, key, terms)
     found = words.join(asked.select("term").distinct(), "term", "left_semi")
     tf = found.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
