@@ -51,7 +51,7 @@ TRAIN_DOCS = 300
 TRAIN_BYTES = 1 << 13
 DIMENSIONS = 1 << 13
 AROUND = 3  # tokens on either side of a candidate
-SURE = 0.9  # mean probability of a tagged span
+SURE = 0.75  # mean probability of a tagged span
 
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.=\-]+|[^\sA-Za-z0-9+/_.=\-]")
 _CANDIDATE = re.compile(
