@@ -237,11 +237,12 @@ def leader_pairs(classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes (id, low) that agree in AGREEING minhashes, where a leads a
     bucket that b is in. The class whose buckets are the largest leads: the text that
     the others are copies of, rather than one of its copies."""
-    keys = classes.select("id", "low", F.posexplode("low").alias("i", "key"))
+    keys = classes.select("id", F.posexplode("low").alias("i", "key"))
     sizes = keys.groupBy("i", "key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = cut(keys.join(sizes, ["i", "key"]).select("id", "low", "i", "key", "size"))
-    central = shared.groupBy("id").agg((-F.sum("size")).alias("order"))
-    leads = shared.join(central, "id").groupBy("i", "key").agg(F.min(F.struct("order", "id", "low")).alias("lead"))
+    # a class is gathered once, with its few buckets, rather than joined with itself
+    held = keys.join(sizes, ["i", "key"]).groupBy("id").agg((-F.sum("size")).alias("order"), F.collect_list(F.struct("i", "key")).alias("at"))
+    shared = cut(held.join(classes.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).select("id", "order", "low", F.inline("at")))
+    leads = shared.groupBy("i", "key").agg(F.min(F.struct("order", "id", "low")).alias("lead"))
     met = shared.join(leads, ["i", "key"]).where("id <> lead.id")
     agree = F.size(F.filter(F.zip_with("low", "lead.low", lambda x, y: x == y), lambda same: same))
     return met.where(agree >= AGREEING).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
@@ -265,18 +266,21 @@ def _least_met(size: str) -> Column:
     return F.greatest(F.lit(1), F.expr(f"ceil(ceil({size} * {THRESHOLD} / 100) * {LEVEL} / 100)"))
 
 
-def narrowed(sets: DataFrame) -> DataFrame:
-    """The classes (id, g, tokens) whose overlap bound with the other groups' unions
-    is enough, first by prefixes, then by whole sets while many fall out."""
-    size, whole, left = "octet_length(tokens) div 8", False, None
+def narrowed(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """Of the sets (id, tokens) and their groups in members (id, g, n): the classes (id, g,
+    tokens) whose overlap bound with the other groups' unions is enough, first by
+    prefixes, then by whole sets while many fall out. Only ids are written in between."""
+    members, whole = cut(members), False
+    left = members.count()
     while True:
-        rows = map_batches(sets.select("id", "g", "tokens"), _group_rows(whole), "k long, g long, d long, c int", "tokens")
-        least = F.expr(f"ceil({size} * {THRESHOLD} / 100)") if whole else _least_met(size)
+        grouped = sets.join(small_or_shuffled(members, left), "id").select("id", "g", "tokens")
+        rows = map_batches(grouped, _group_rows(whole), "k long, g long, d long, c int", "tokens")
+        least = F.expr(f"ceil(n * {THRESHOLD} / 100)") if whole else _least_met("n")
         enough = _met_elsewhere(rows).withColumnRenamed("d", "id")
-        sets = cut(sets.join(enough, "id").where(F.col("met") >= least).drop("met"))
-        now = sets.count()
+        members = cut(members.join(enough, "id").where(F.col("met") >= least).drop("met"))
+        now = members.count()
         if not now or (whole and now > 0.9 * left):  # further rounds would only save work
-            return sets
+            return sets.join(small_or_shuffled(members, now), "id").select("id", "g", "tokens")
         whole, left = True, now
 
 
@@ -321,10 +325,6 @@ def _residual(sets: DataFrame) -> DataFrame:
     return verify(pairs, sets.select("id", "tokens"))
 
 
-def _grouped(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    return sets.select("id", "tokens").join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("g"), "tokens")
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) for every row of documents."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -335,7 +335,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # 2. classes that share enough of their prefix with others
     met = _met_elsewhere(map_batches(texts.where("doc_id IS NOT NULL"), _met, "k long, d long, c int"))
     open_classes = cut(
-        classes.join(met.withColumnRenamed("d", "d1"), "d1").where(F.col("met") >= _least_met("n")).select(F.col("class_id").alias("id"), "low")
+        classes.join(met.withColumnRenamed("d", "d1"), "d1").where(F.col("met") >= _least_met("n")).select(F.col("class_id").alias("id"), "n", "low")
     )
     ids = open_classes.select(F.col("id").alias("doc_id"))
     found = texts.join(small_or_shuffled(ids, open_classes.count()), "doc_id")
@@ -346,7 +346,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = connected_components(links)
 
     # 4. what may still link one group with another
-    more = cut(_residual(narrowed(_grouped(opened, groups))))
+    members = open_classes.select("id", "n").dropDuplicates(["id"]).join(groups, "id", "left")
+    more = cut(_residual(narrowed(opened, members.select("id", F.coalesce("component", "id").alias("g"), "n"))))
     if not more.isEmpty():
         groups = connected_components(links.unionByName(more))
 
