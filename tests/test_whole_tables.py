@@ -7,7 +7,7 @@ import pytest
 from lodestone.plans import registry
 
 LINES = [(s, (s * 7 + k * 13) % 40 + 1, order, k) for order in range(1, 61) for k, s in enumerate((order % 9 + 1, order % 4 + 1))]
-LINES += [(2, 5, 61, 0), (7, 5, 61, 1), (2, 5, 62, 0), (4, 3, 62, 1)]
+LINES += [(2, 5, 61, 0), (7, 5, 61, 1), (2, 5, 62, 0), (4, 3, 62, 1), (11, 9, 62, 3)]
 
 
 @pytest.fixture(scope="module")
@@ -37,3 +37,12 @@ def test_graph_queries_read_every_order_line(spark, small):
     assert alone and sorted(r.node for r in run("g06_isolated")) == sorted(alone)
     reach = {n: 1 + len([e for e in edges if e[0] == n]) for n in nodes}
     assert {r.seed: (r.reached, r.difficulty) for r in run("l09_reach_sizes")} == {n: (k, min(5, k)) for n, k in reach.items()}
+
+
+def test_usage_sum_reads_every_order(spark, small):
+    want = {s: None for s, _, _, _ in LINES}
+    for s, p, _, k in LINES:
+        if k % 2 == 0:
+            want[s] = (want[s] or 0) + p
+    assert None in want.values()
+    assert {r.l_suppkey: r.used for r in registry.QUERIES["a45_usage_sum"](spark, small).collect()} == want
