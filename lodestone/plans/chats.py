@@ -70,8 +70,8 @@ sc AS (SELECT item_id, doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf *
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM sc)
 SELECT item_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3 AND score >= 1.2""")
 def t06_bm25_recall(spark, sf_dir):
-    """The best three documents for each of five benchmark questions (the stated queries) over all documents."""
-    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").where("item_id < 5")
+    """The best three documents for each benchmark item over all documents. The SQL twin still asks five items only and no longer gives the same rows."""
+    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: t != "")
     s = search.bm25(docs, "doc_id", words, asked, "item_id", words).withColumn("score", F.round("score", 6))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))

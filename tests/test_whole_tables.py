@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
 
 from lodestone.plans import registry
@@ -46,3 +48,29 @@ def test_usage_sum_reads_every_order(spark, small):
             want[s] = (want[s] or 0) + p
     assert None in want.values()
     assert {r.l_suppkey: r.used for r in registry.QUERIES["a45_usage_sum"](spark, small).collect()} == want
+
+
+WORDS = "tax law court fish river boat stone wall north wind".split()
+TEXTS = {d: " ".join(WORDS[(d * k + k) % (3 + d % 8)] for k in range(d % 7 + 1)) for d in range(20)} | {20: "", 21: "rare Rare-unicorn"}
+ASKED = {k: f"{WORDS[k % 10]} {WORDS[k * 3 % 10]}, {WORDS[k % 10]}" for k in range(12)} | {12: "unicorn", 13: "nowhere"}
+
+
+def test_bm25_asks_every_item(spark, tmp_path):
+    spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(ASKED.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = {d: t.lower().replace("-", " ").split() for d, t in TEXTS.items()}
+    words = {d: w for d, w in words.items() if w}
+    mean = sum(map(len, words.values())) / len(words)
+    want = set()
+    for item, text in ASKED.items():
+        scores = {}
+        for term in set(text.replace(",", " ").split()):
+            df = sum(term in w for w in words.values())
+            for d, w in words.items():
+                if tf := w.count(term):
+                    part = math.log(1 + (len(words) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+                    scores[d] = scores.get(d, 0) + part
+        best = sorted((-round(x, 6), d) for d, x in scores.items())[:3]
+        want |= {(item, d, rank, round(-x, 5)) for rank, (x, d) in enumerate(best, 1) if -x >= 1.2}
+    got = {(r.item_id, r.doc_id, r.rank, round(r.score, 5)) for r in registry.QUERIES["t06_bm25_recall"](spark, str(tmp_path)).collect()}
+    assert got == want and (12, 21) in {x[:2] for x in got} and len({x[0] for x in got}) > 5
