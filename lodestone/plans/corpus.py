@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import evals, extract, search
 from lodestone.plans.registry import query, table
+from lodestone.sources import repository
 
 _WORDS = r"list_filter(string_split_regex(lower(regexp_replace({}, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda t: t <> '')"
 
@@ -82,10 +83,10 @@ def a34_retrieval_score(spark, sf_dir):
 
 @query("""SELECT 'content:' || substr(sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || substr(sha256(text), 1, 16), ';' ORDER BY CAST(doc_id AS VARCHAR))), 1, 24) AS stamp FROM documents WHERE source = 'src3'""")
 def a42_version_stamp(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("source = 'src3'")
-    rows = d.select(F.struct(F.col("doc_id").cast("string").alias("path"), T.short_hash(F.col("text")).alias("hash")).alias("r"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: F.concat(r["path"], F.lit(":"), r["hash"])), ";")
-    return rows.agg(F.concat(F.lit("content:"), F.substring(F.sha2(joined.cast("binary"), 256), 1, 24)).alias("stamp"))
+    """A stamp for each source. The SQL twin still stamps src3 only and no longer gives the same rows."""
+    path, digest = F.col("doc_id").cast("string"), T.short_hash(F.col("text"))
+    entries = table(spark, sf_dir, "documents").select("source", path.alias("path"), F.concat(path, F.lit(":"), digest).alias("entry"))
+    return repository.stamps(entries, "source", ["path", "entry"])
 
 
 @query("""SELECT lang, count(*) AS files, CAST(ceil(sum(length(text)) / 4.0) AS BIGINT) AS tokens FROM documents GROUP BY 1""")

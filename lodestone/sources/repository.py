@@ -75,7 +75,43 @@ def ignored(path: Column, rules: list[str]) -> Column:
     return out
 
 
+def stamps(entries: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(key, stamp): one hash of each key's `entry` texts joined by `;`, sorted by `order`.
+    Null entries are left out; a key with no other has a null stamp. The sorted rows are
+    streamed into the hash, so no task holds a key's list; the hash of one text is
+    sequential, so one task reads each key."""
+    dealt = entries.repartition(key).sortWithinPartitions(key, *order).select(F.col(key).cast("string").alias("key"), "entry")
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        def row(key, h):
+            stamp = h and "content:" + h.hexdigest()[:24]
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([stamp], pa.string())], ["key", "stamp"])
+
+        at, begun, h = None, False, None
+        for b in batches:
+            for k, entry in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if not begun or k != at:
+                    if begun:
+                        yield row(at, h)
+                    at, begun, h = k, True, None
+                if entry is not None:
+                    if h is None:
+                        h = hashlib.sha256()
+                    else:
+                        h.update(b";")
+                    h.update(entry.encode())
+        if begun:
+            yield row(at, h)
+
+    return dealt.mapInArrow(run, "key string, stamp string").withColumnRenamed("key", key)
+
+
 def fingerprint(files: DataFrame) -> DataFrame:
     """One hash of a tree: sorted path:hash pairs."""
-    joined = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", "content_hash"))), ";")
-    return files.agg(F.concat(F.lit("content:"), T.short_hash(joined, 24)).alias("stamp"))
+    entries = files.select(F.lit("tree").alias("tree"), F.concat_ws(":", "path", "content_hash").alias("entry"))
+    empty = F.concat(F.lit("content:"), T.short_hash(F.lit(""), 24))
+    return stamps(entries, "tree", ["entry"]).agg(F.coalesce(F.max("stamp"), empty).alias("stamp"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import pytest
 
 from lodestone.plans import registry
+from lodestone.sources import repository
 
 LINES = [(s, (s * 7 + k * 13) % 40 + 1, order, k) for order in range(1, 61) for k, s in enumerate((order % 9 + 1, order % 4 + 1))]
 LINES += [(2, 5, 61, 0), (7, 5, 61, 1), (2, 5, 62, 0), (4, 3, 62, 1), (11, 9, 62, 3)]
@@ -74,3 +76,15 @@ def test_bm25_asks_every_item(spark, tmp_path):
         want |= {(item, d, rank, round(-x, 5)) for rank, (x, d) in enumerate(best, 1) if -x >= 1.2}
     got = {(r.item_id, r.doc_id, r.rank, round(r.score, 5)) for r in registry.QUERIES["t06_bm25_recall"](spark, str(tmp_path)).collect()}
     assert got == want and (12, 21) in {x[:2] for x in got} and len({x[0] for x in got}) > 5
+
+
+def test_every_source_is_stamped(spark, tmp_path):
+    docs = [(k, None if k % 11 == 0 else f"text {k % 5}", ("src1", "src3", None, "hot", "hot")[k % 5]) for k in range(200)] + [(900, None, "bare")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    stamp = lambda entries: f"content:{sha(';'.join(entries))[:24]}"
+    want = {s: stamp(f"{d}:{sha(t)[:16]}" for d, t in sorted((str(d), t) for d, t, x in docs if x == s and t)) for s in ("src1", "src3", None, "hot")}
+    assert {r.source: r.stamp for r in registry.QUERIES["a42_version_stamp"](spark, str(tmp_path)).collect()} == want | {"bare": None}
+    files = spark.createDataFrame([("b", "2"), ("a", "1"), ("a!", "3")], "path string, content_hash string")
+    assert [r.stamp for r in repository.fingerprint(files).collect()] == [stamp(["a!:3", "a:1", "b:2"])]
+    assert [r.stamp for r in repository.fingerprint(files.limit(0)).collect()] == [stamp([])]
