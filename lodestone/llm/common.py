@@ -62,17 +62,17 @@ def small_or_shuffled(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Pieces of an Arrow batch whose texts hold about SLICE_BYTES at most (one
-    longer text makes a piece of its own)."""
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Pieces of an Arrow batch whose texts hold about `limit` bytes (one longer
+    text makes a piece of its own, or shares it with its neighbours)."""
     size = max(1, batch.column(batch.schema.get_field_index(column)).nbytes)
-    step = max(1, batch.num_rows * SLICE_BYTES // max(size, SLICE_BYTES))
+    step = max(1, batch.num_rows * limit // max(size, limit))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
 
 
 def map_batches(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str | StructType, column: str = "text"
+    df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str | StructType, column: str = "text", limit: int = SLICE_BYTES
 ) -> DataFrame:
     """mapInArrow over slices: fn returns the output columns of a slice by name."""
     kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -82,7 +82,7 @@ def map_batches(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            for piece in slices(batch, column):
+            for piece in slices(batch, column, limit):
                 out = fn(piece)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in arrow], schema=arrow)

@@ -11,8 +11,9 @@ bound reaches the needed overlap are opened and compared member by member.
 2. First matrix, each class its own group: over a prefix of each set in hash
    order (long enough that a linked pair must share LEVEL of it), count the
    tokens that some other class has, too. Classes below the bound link with
-   nothing. Tokens met twice within a batch are counted there and shuffled as
-   one marker, so a passage found everywhere costs two rows a batch.
+   nothing. Tokens go packed to a range of hashes each; those met twice within a
+   task's load are counted there and sent as one marker, so a passage found
+   everywhere costs two entries a load.
 3. The others are grouped: classes that agree in several minhashes with the
    most central class of a bucket are compared with it exactly, and components
    of these links are the groups. This joins nearly all there is to join.
@@ -20,16 +21,20 @@ bound reaches the needed overlap are opened and compared member by member.
    class, and only classes with the needed overlap with other groups' unions are
    left. Each looks up its rarest tokens, by exact frequency, in the matrix of
    the groups' prefixes; where the bound on the overlap qualifies, the group is
-   opened and its members verified exactly.
+   opened. Its members stand in blocks of BLOCK_TOKENS, and a query visits each
+   block once: one lookup of its tokens counts its overlap with all members. As
+   the members are connected already, one link a block is enough.
 
 Hashes have 64 bits; two shingles of one comparison collide with a chance of
 about 1e-13, which is the only inexactness.
 
 Defined cases: null text and text without words give the empty set, linked with
-nothing; texts of fewer than five words are one shingle of all words; repeated
-rows of a doc_id count as one document and are returned once each; a null doc_id
-takes no part and keeps a null component; empty tables give no rows; columns
-other than doc_id and text are not read."""
+nothing; texts of fewer than five words are one shingle of all words; long texts
+are read whole, their words hashed in stretches of STRETCH bytes; ties, i.e.
+equal sets, are one class under its smallest doc_id; repeated rows of a doc_id
+count as one document and are returned once each; a null doc_id takes no part
+and keeps a null component; empty tables give no rows; columns other than doc_id
+and text are not read."""
 
 from __future__ import annotations
 
@@ -41,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, small_or_shuffled, table, utf8
+from .common import cut, map_batches, small_or_shuffled, table
 from .components import connected_components
 
 WORDS = 5
@@ -50,23 +55,35 @@ THRESHOLD = 75  # per cent
 LEVEL = 5  # per cent
 MINHASHES = 8
 AGREEING = 3
-CACHED_WORDS = 200_000
+#: Tokens of a range of hashes, and of a task's load, that are handled together.
+RANGE_TOKENS = 1 << 19
+LOAD_TOKENS = 1 << 20
+#: Tokens of a block of group members, and members that a leader meets under one key.
+BLOCK_TOKENS = 1 << 17
+LED = 512
+#: Bytes of text whose words are hashed together; words above LONG_WORD bytes are hashed singly.
+STRETCH = 1 << 19
+LONG_WORD = 64
+SLICE = 1 << 21
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(9).integers(1, 2**63, (2, MINHASHES), dtype=np.uint64) | np.uint64(1)
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: A random number for each byte, equal for A-Z and a-z, and powers of an odd base and of its inverse.
+_BYTE = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)[np.frombuffer(_LOWER, np.uint8)]
+_BASE = 0x2545F4914F6CDD1D
 
-class _Hashes(dict):
-    """Word -> 64-bit hash; emptied when it holds CACHED_WORDS."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+def _powers(base: int) -> np.ndarray:
+    out = np.full(STRETCH + LONG_WORD, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
 
 
-_HASHES = _Hashes()
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -75,17 +92,67 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: bytes, size: int = WORDS) -> np.ndarray:
-    """The sorted distinct shingle hashes of a UTF-8 text."""
-    words = text.lower().split()  # bytes: A-Z only, and blanks are 20 and 09 to 0D
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - size + 1)
-    out = np.full(n, len(words) if len(words) < size else 0, np.uint64)
-    for k in range(min(size, len(h))):
-        out = out * _ODD + h[k : k + n]
-    return np.unique(_mixed(out))
+def _word_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts that lie end to end in data, and each text's number of
+    words. A word's hash is a polynomial of its lower-cased bytes, from running sums."""
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = ~_BLANK[data]
+    starts = inside[1:-1] & ~inside[:-2]
+    ends = inside[1:-1] & ~inside[2:]
+    first = edges[:-1][edges[:-1] < edges[1:]]  # of texts that aren't empty
+    starts[first] |= inside[1:-1][first]
+    last = edges[1:][edges[:-1] < edges[1:]] - 1
+    ends[last] |= inside[1:-1][last]
+    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    out = np.empty(len(starts), np.uint64)
+    for lo in range(0, len(data), STRETCH):
+        i, j = np.searchsorted(starts, (lo, lo + STRETCH))
+        if i == j:
+            continue
+        piece = data[lo : lo + STRETCH + LONG_WORD]
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(_BYTE[piece] * _UP[: len(piece)], out=sums[1:])
+        s, e = starts[i:j] - lo, np.minimum(ends[i:j] - lo, len(piece))
+        out[i:j] = (sums[e] - sums[s]) * _DOWN[s] + (e - s).astype(np.uint64)
+    out = _mixed(out)
+    for k in np.flatnonzero(ends - starts > LONG_WORD):
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes().translate(_LOWER))
+    return out, np.diff(np.searchsorted(starts, edges))
+
+
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column, end to end, and where each text starts and ends; null is empty."""
+    binary = column.fill_null("").cast(pa.large_binary()) if column.null_count else column.cast(pa.large_binary())
+    edges = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset : binary.offset + len(binary) + 1]
+    data = np.frombuffer(binary.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    return data, edges - edges[0]
+
+
+def shingle_sets(column: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of each text, end to end, and the edges of the sets."""
+    h, counts = _word_hashes(*_texts(column))
+    begin = np.r_[0, np.cumsum(counts)]
+    out, here = np.zeros(len(h), np.uint64), np.zeros(len(h), bool)
+    if len(h) >= size:
+        rolled = h[: len(h) - size + 1].copy()
+        for k in range(1, size):
+            rolled *= _ODD
+            rolled += h[k : len(h) - size + 1 + k]
+        out[: len(rolled)] = rolled
+        here = np.repeat(begin[1:], counts) - np.arange(len(h)) >= size
+    for k in np.flatnonzero((counts > 0) & (counts < size)):
+        x = int(counts[k])
+        for y in h[begin[k] : begin[k + 1]]:
+            x = (x * int(_ODD) + int(y)) & (2**64 - 1)
+        out[begin[k]], here[begin[k]] = x, True
+    edges = np.r_[0, np.cumsum(here)][begin]
+    out = _mixed(out[here])
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[edges[:-1][edges[:-1] < edges[1:]]] = True
+    return out[new], np.r_[0, np.cumsum(new)][edges]
 
 
 def needed(n: int) -> int:
@@ -101,136 +168,223 @@ def prefix(n: int) -> int:
     return min(n, n - needed(n) + _level(n))
 
 
-def _long(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def _binary(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """Stretches of 8-byte values as a binary column."""
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(edges) - 1, [None, pa.py_buffer((edges * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]
+    ).cast(pa.binary())
+
+
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The inverse of _binary: int64 values end to end, and edges."""
+    binary = column.cast(pa.large_binary())
+    edges = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset : binary.offset + len(binary) + 1]
+    data = np.frombuffer((binary.buffers()[2] or pa.py_buffer(b"")).slice(int(edges[0]), int(edges[-1] - edges[0])).to_pybytes(), np.int64)
+    return data, (edges - edges[0]) // 8
+
+
+def _heads(edges: np.ndarray) -> np.ndarray:
+    """Which values of sets that lie end to end belong to their sets' prefixes."""
+    sizes = np.diff(edges)
+    lengths = np.fromiter(map(prefix, sizes.tolist()), np.int64, len(sizes))
+    return np.arange(edges[-1]) - np.repeat(edges[:-1], sizes) < np.repeat(lengths, sizes)
 
 
 def _signature(batch: pa.RecordBatch) -> dict:
-    n, digest, low = [], [], []
-    for text in utf8(batch.column(1)):
-        s = shingles(text)
-        n.append(len(s))
-        digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"\0" * 16)
-        low.append(
-            [int(((s ^ a) * b).min() >> np.uint64(1)) for a, b in zip(*_SEEDS)] if len(s) else None
-        )
+    tokens, edges = shingle_sets(batch.column(1))
+    n, full = np.diff(edges), edges[:-1] < edges[1:]
+    digest = [xxhash.xxh3_128_digest(tokens[a:b]) if b > a else b"\0" * 16 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+    low = np.zeros((len(n), MINHASHES), np.int64)
+    if len(tokens):
+        for k, (a, b) in enumerate(zip(*_SEEDS)):
+            low[full, k] = (np.minimum.reduceat((tokens ^ a) * b, edges[:-1][full]) >> np.uint64(1)).astype(np.int64)
     d = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-    return {"doc_id": batch.column(0), "n": n, "d1": d[:, 0], "d2": d[:, 1], "low": low}
-
-
-def _met(batch: pa.RecordBatch) -> dict | None:
-    """Prefix tokens as (token, class by digest, 0); for tokens that two classes of
-    the batch have: one row (token, 0, -1), and per class (class, class, count)."""
-    seen: dict[int, np.ndarray] = {}
-    for text in utf8(batch.column(1)):
-        s = shingles(text)
-        if len(s):
-            d = int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes())[:8], np.int64)[0])
-            seen.setdefault(d, s[: prefix(len(s))])
-    if not seen:
-        return None
-    tokens = _long(np.concatenate(list(seen.values())))
-    owner = np.repeat(np.fromiter(seen, np.int64, len(seen)), [len(x) for x in seen.values()])
-    return _counted(tokens, owner, owner)
-
-
-def _counted(tokens: np.ndarray, group: np.ndarray, owner: np.ndarray) -> dict:
-    """Rows (k, g, d, c) of tokens by group and class. A token is met if two groups have it."""
-    order = np.lexsort((group, tokens))
-    t, g = tokens[order], group[order]
-    start = np.r_[True, t[1:] != t[:-1]]
-    run = np.cumsum(start) - 1
-    met = np.zeros(run[-1] + 1, bool)
-    met[run[np.r_[False, (g[1:] != g[:-1]) & ~start[1:]]]] = True
-    here = np.empty(len(t), bool)
-    here[order] = met[run]
-    who, times = np.unique(owner[here], return_counts=True)
-    marks, alone = t[start][met], ~here
-    none, nobody = np.zeros(len(marks), np.int64), np.zeros(len(who), np.int64)
-    # rows stay in the order of their classes, so that equal neighbours compress
-    return {
-        "k": np.concatenate([tokens[alone], marks, who]),
-        "g": np.concatenate([group[alone], none, nobody]),
-        "d": np.concatenate([owner[alone], none, who]),
-        "c": np.concatenate([np.zeros(alone.sum(), np.int32), np.full(len(marks), -1, np.int32), times.astype(np.int32)]),
-    }
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token, mark and group -> (class, tokens met elsewhere). Of a
-    token's run across batches it holds whether it is met, and its first group's
-    classes until a second group comes."""
-    key, met, first, held = None, False, None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k, g, d, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        done = c > 0
-        out = [np.repeat(d[done], c[done])] if done.any() else []
-        k, g, d, c = (x[~done] for x in (k, g, d, c))
-        if len(k):
-            start = np.r_[True, k[1:] != k[:-1]]
-            run = np.cumsum(start) - 1
-            at = np.flatnonzero(start)
-            # a run is met by its marker or by a second group in the batch, the first also by what came before
-            runs_met = (c[at] < 0) | (np.maximum.reduceat(g, at) != np.minimum.reduceat(g, at))
-            if k[0] == key:
-                runs_met[0] = met or runs_met[0] or (first is not None and g[0] != first)
-                if runs_met[0]:
-                    out.extend(held)
-                    held = []
-            else:
-                held = []
-            mine = (c == 0) & runs_met[run]
-            out.append(d[mine])
-            if key != k[-1] or len(at) > 1:
-                held, first = [], (int(g[at[-1]]) if c[at[-1]] == 0 else None)
-            key, met = k[-1], bool(runs_met[-1])
-            if not met:
-                held.append(d[at[-1] :])
-        if out:
-            who, times = np.unique(np.concatenate(out), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(times, pa.int64())], names=["d", "met"])
-
-
-def _met_elsewhere(rows: DataFrame) -> DataFrame:
-    """rows (k, g, d, c), or (k, d, c) if classes are groups -> (d, met): tokens of class d that another group has."""
-    group = "g" if "g" in rows.columns else "d"
-    dealt = rows.repartition("k").sortWithinPartitions("k", "c", group).select("k", F.col(group).alias("g"), "d", "c")
-    return dealt.mapInArrow(_counts, "d long, met long").groupBy("d").agg(F.sum("met").alias("met"))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * MINHASHES), pa.array(low.ravel()))
+    head = _heads(edges)
+    return {"doc_id": batch.column(0), "n": n, "d1": d[:, 0], "d2": d[:, 1], "low": lists, "head": _binary(tokens[head], np.r_[0, np.cumsum(head)][edges])}
+
+
+def _packed(ranges: int, whole: bool, own: bool):
+    """(d, g, tokens) -> (range, k, g, d): tokens k by range of hashes, with the groups
+    and classes that hold them (without groups, if each class is its own). What two
+    groups of the load have is sent as a marker, a token of class -1, and counted by
+    class in range -1."""
+
+    def packed(load: list[tuple]) -> pa.RecordBatch:
+        k, g, d = (np.concatenate(x) for x in zip(*load))
+        order = np.lexsort((g, d, k))
+        k, g, d = k[order], g[order], d[order]
+        again = np.r_[False, (k[1:] == k[:-1]) & (d[1:] == d[:-1])]  # repeated rows of a class
+        k, g, d = k[~again], g[~again], d[~again]
+        start = np.r_[True, k[1:] != k[:-1]]
+        at, run = np.flatnonzero(start), np.cumsum(start) - 1
+        met = np.minimum.reduceat(g, at) != np.maximum.reduceat(g, at)
+        here = met[run]
+        who, times = np.unique(d[here], return_counts=True)
+        k, g, d = np.r_[k[~here], k[at][met]], np.r_[g[~here], np.full(met.sum(), -1)], np.r_[d[~here], np.full(met.sum(), -1)]
+        which = ((k >> np.int64(33)) + (1 << 30)) * ranges >> np.int64(31)
+        order = np.argsort(which, kind="stable")
+        which, k, g, d = which[order], k[order], g[order], d[order]
+        at = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else np.empty(0, np.int64)
+        edges = np.r_[at, len(which), len(which) + len(who)]
+        rows = np.r_[which[at], -1]
+        k, g, d = np.r_[k, times], np.r_[g, np.zeros(len(who), np.int64)], np.r_[d, who]
+        packs = [_binary(k, edges), _binary(g[:0], edges * 0) if own else _binary(g, edges), _binary(d, edges)]
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *packs], names=["range", "k", "g", "d"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                piece = batch.slice(at, 256)
+                tokens, edges = _values(piece.column(2))
+                d, g = (np.repeat(piece.column(i).to_numpy(), np.diff(edges)) for i in (0, 1))
+                if not whole and len(tokens):
+                    head = _heads(edges)
+                    tokens, g, d = tokens[head], g[head], d[head]
+                load.append((tokens, g, d))
+                size += len(tokens)
+                if size >= LOAD_TOKENS:
+                    yield packed(load)
+                    load, size = [], 0
+        if size:
+            yield packed(load)
 
+    return run
 
-def _sets(batch: pa.RecordBatch) -> dict:
-    out = {name: batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"}
-    return out | {"tokens": [shingles(x).tobytes() for x in utf8(batch.column(batch.schema.names.index("text")))]}
 
+def _by_class(d: np.ndarray, met: np.ndarray, shares: int) -> pa.Table:
+    """Counts met of classes d, packed by share of the classes."""
+    which = ((d >> np.int64(33)) + (1 << 30)) * shares >> np.int64(31)
+    order = np.argsort(which, kind="stable")
+    which, d, met = which[order], d[order], met[order]
+    at = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else np.empty(0, np.int64)
+    edges = np.r_[at, len(which)]
+    return pa.table({"share": pa.array(which[at], pa.int32()), "d": _binary(d, edges), "met": _binary(met, edges)})
+
+
+def _counts(shares: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One range's rows of _packed -> (share, d, met): how many of a class's tokens here another group has."""
+        k, g, d = (_values(table.column(name).combine_chunks())[0] for name in ("k", "g", "d"))
+        if table.column("range")[0].as_py() < 0:
+            who, at = np.unique(d, return_inverse=True)
+            return _by_class(who, np.bincount(at, weights=k, minlength=len(who)).astype(np.int64), shares)
+        g = g if len(g) else d
+        order = np.lexsort((g, k))
+        k, g, d = k[order], g[order], d[order]
+        at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        met = (d[at] == -1) | (np.maximum.reduceat(g, at) != g[at])
+        mine = np.repeat(met, np.diff(np.r_[at, len(k)])) & (d != -1)
+        # a class may come from several loads with the same token, as its documents have several rows
+        k, d = k[mine], d[mine]
+        order = np.lexsort((k, d))
+        k, d = k[order], d[order]
+        first = np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])] if len(k) else np.empty(0, bool)
+        who, times = np.unique(d[first], return_counts=True)
+        return _by_class(who, times.astype(np.int64), shares)
+
+    return run
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    d, met = (_values(table.column(name).combine_chunks())[0] for name in ("d", "met"))
+    who, at = np.unique(d, return_inverse=True)
+    return pa.table({"d": who, "met": np.bincount(at, weights=met, minlength=len(who)).astype(np.int64)})
 
-def _linked(a: bytes, b: bytes) -> bool:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if 100 * min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
-        return False
-    if len(x) > len(y):
-        x, y = y, x
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    both = int((y[at] == x).sum())
-    return 100 * both >= THRESHOLD * (len(x) + len(y) - both)
 
+def _met_elsewhere(sets: DataFrame, tokens: int, whole: bool = True, own: bool = False) -> DataFrame:
+    """Sets (d, g, tokens) of classes d in groups g, of so many tokens together -> (d, met):
+    tokens of a class that another group has, or more where copies of a class lie in several loads."""
+    ranges = max(1, -(-tokens // RANGE_TOKENS))
+    shares = max(1, -(-tokens // (4 * RANGE_TOKENS)))
+    rows = sets.select("d", "g", "tokens").mapInArrow(_packed(ranges, whole, own), "range int, k binary, g binary, d binary")
+    # what loads have counted themselves is spread by their number, not gathered in one group
+    dealt = rows.withColumn("part", F.when(F.col("range") < 0, F.spark_partition_id()).otherwise(0))
+    # so many partitions that one holds a few ranges, whatever the size
+    parts = max(ranges, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counted = dealt.repartition(parts, "range", "part").groupBy("range", "part").applyInArrow(_counts(shares), "share int, d binary, met binary")
+    return counted.groupBy("share").applyInArrow(_summed, "d long, met long")
 
-def _verified(batch: pa.RecordBatch) -> dict:
-    a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-    good = [i for i in range(len(a)) if _linked(x[i], y[i])]
-    return {"a": [a[i] for i in good], "b": [b[i] for i in good]}
+
+def _sets(batch: pa.RecordBatch) -> dict:
+    names = batch.schema.names
+    out = {name: batch.column(i) for i, name in enumerate(names) if name != "text"}
+    return out | {"tokens": _binary(*shingle_sets(batch.column(names.index("text"))))}
+
+
+def _block(ids: list[np.ndarray], tokens: list[np.ndarray], sizes: list[np.ndarray]):
+    """(ids, sizes, tokens in order, the member of each) of a block."""
+    ids, t, n = np.concatenate(ids), np.concatenate(tokens), np.concatenate(sizes)
+    order = np.argsort(t, kind="stable")
+    return ids, n, t[order], np.repeat(np.arange(len(ids)), n)[order]
+
+
+def _links(block, ids: np.ndarray, tokens: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first link of each query into the block, if it has one."""
+    members, sizes, held, whose = block
+    lo, hi = np.searchsorted(held, tokens, "left"), np.searchsorted(held, tokens, "right")
+    n = hi - lo
+    # every place where a query's token stands in the block, as (query, member)
+    places = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+    query = np.repeat(np.repeat(np.arange(len(ids)), np.diff(edges)), n)
+    pairs, both = np.unique(query * len(members) + whose[places], return_counts=True)
+    q, m = pairs // len(members), pairs % len(members)
+    good = (100 * both >= THRESHOLD * (np.diff(edges)[q] + sizes[m] - both)) & (ids[q] != members[m])
+    q, at = np.unique(q[good], return_index=True)
+    return ids[q], members[m[good][at]]
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, part, query, id, tokens) sorted by the first three: a block's members, then its queries."""
+    key, parts, block = None, ([], [], []), None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g, part, query, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        tokens, edges = _values(batch.column(4))
+        cuts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (part[1:] != part[:-1]) | (query[1:] != query[:-1]), True])
+        found = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if (g[a], part[a]) != key:
+                key, parts, block = (g[a], part[a]), ([], [], []), None
+            if not query[a]:
+                for kept, new in zip(parts, (ids[a:b], tokens[edges[a] : edges[b]], np.diff(edges[a : b + 1]))):
+                    kept.append(new)
+                continue
+            if block is None and parts[0]:
+                block = _block(*parts)
+            if block is not None:
+                # queries of about a block's size together
+                step = max(1, (b - a) * BLOCK_TOKENS // max(BLOCK_TOKENS, int(edges[b] - edges[a])))
+                for at in range(a, b, step):
+                    to = min(b, at + step)
+                    found.append(_links(block, ids[at:to], tokens[edges[at] : edges[to]], edges[at : to + 1] - edges[at]))
+        if found:
+            x, y = (np.concatenate(z) for z in zip(*found))
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+
+def links_into(blocks: DataFrame, queries: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): for each query id of (g, part, id) one linked member b of the block (g, part),
+    whose members are in blocks (g, part, id). Sets (id, tokens) go to the blocks; nothing is paired by rows."""
+    rows = blocks.select("g", "part", F.lit(0).alias("query"), "id").unionByName(queries.select("g", "part", F.lit(1).alias("query"), "id"))
+    held = rows.join(sets.select("id", "tokens"), "id").select("g", "part", "query", "id", "tokens")
+    return held.repartition("g", "part").sortWithinPartitions("g", "part", "query").mapInArrow(_compare, "a long, b long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class ids whose sets (id, tokens) are linked. Sets are dealt by
-    id once, for both joins, and those in pairs move to their leader a."""
+    """The pairs (a, b) of a leader a and a class b whose sets (id, tokens) are linked, as
+    (b, a). A leader of many stands in several blocks of its own."""
     pairs = cut(pairs)
-    members = sets.join(pairs.withColumnRenamed("b", "id"), "id").select("a", F.col("id").alias("b"), F.col("tokens").alias("y"))
-    leads = sets.join(pairs.select(F.col("a").alias("id")).distinct(), "id")
-    both = members.join(leads.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
-    return map_batches(both.select("a", "b", "x", "y"), _verified, "a long, b long", "y")
+    led = pairs.groupBy("a").agg(F.ceil(F.count("*") / LED).cast("int").alias("parts")).where("parts > 1")
+    # at most one in LED pairs is here
+    hot = cut(led)
+    dealt = pairs.join(small_or_shuffled(hot, hot.count()), "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    queries = cut(dealt.select(F.col("a").alias("g"), F.expr("pmod(xxhash64(b), parts)").cast("int").alias("part"), F.col("b").alias("id")))
+    blocks = queries.select("g", "part", F.col("g").alias("id")).distinct()
+    return links_into(blocks, queries, sets)
 
 
 def leader_pairs(classes: DataFrame) -> DataFrame:
@@ -242,26 +396,20 @@ def leader_pairs(classes: DataFrame) -> DataFrame:
     # a class is gathered once, with its few buckets, rather than joined with itself
     held = keys.join(sizes, ["i", "key"]).groupBy("id").agg((-F.sum("size")).alias("order"), F.collect_list(F.struct("i", "key")).alias("at"))
     shared = cut(held.join(classes.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).select("id", "order", "low", F.inline("at")))
-    leads = shared.groupBy("i", "key").agg(F.min(F.struct("order", "id", "low")).alias("lead"))
-    met = shared.join(leads, ["i", "key"]).where("id <> lead.id")
+    leads = shared.groupBy("i", "key").agg(F.min(F.struct("order", "id", "low")).alias("lead"), F.count("*").alias("size"))
+    # buckets of many, of which at most one in LED rows has one, go to the rows; the others' rows to the buckets
+    hot = cut(leads.where(F.col("size") > LED).drop("size"))
+    many = hot.count()
+    met = shared.join(leads.where(F.col("size") <= LED).drop("size"), ["i", "key"])
+    if many:
+        small = small_or_shuffled(hot, many)
+        cold = shared.join(small.select("i", "key"), ["i", "key"], "left_anti").join(leads.where(F.col("size") <= LED).drop("size"), ["i", "key"])
+        met = cold.unionByName(shared.join(small, ["i", "key"]))
+    met = met.where("id <> lead.id")
     agree = F.size(F.filter(F.zip_with("low", "lead.low", lambda x, y: x == y), lambda same: same))
     return met.where(agree >= AGREEING).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def _group_rows(whole: bool):
-    def run(batch: pa.RecordBatch) -> dict | None:
-        """(id, g, tokens) -> the rows of _counted over whole sets or their prefixes."""
-        sets = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
-        sets = [_long(x if whole else x[: prefix(len(x))]) for x in sets]
-        sizes = [len(x) for x in sets]
-        if not sum(sizes):
-            return None
-        ids, groups = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        return _counted(np.concatenate(sets), np.repeat(groups, sizes), np.repeat(ids, sizes))
-
-    return run
-
-
 def _least_met(size: str) -> Column:
     return F.greatest(F.lit(1), F.expr(f"ceil(ceil({size} * {THRESHOLD} / 100) * {LEVEL} / 100)"))
 
@@ -271,14 +419,13 @@ def narrowed(sets: DataFrame, members: DataFrame) -> DataFrame:
     tokens) whose overlap bound with the other groups' unions is enough, first by
     prefixes, then by whole sets while many fall out. Only ids are written in between."""
     members, whole = cut(members), False
-    left = members.count()
+    left, tokens = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     while True:
-        grouped = sets.join(small_or_shuffled(members, left), "id").select("id", "g", "tokens")
-        rows = map_batches(grouped, _group_rows(whole), "k long, g long, d long, c int", "tokens")
+        grouped = sets.join(small_or_shuffled(members, left), "id").select(F.col("id").alias("d"), "g", "tokens")
         least = F.expr(f"ceil(n * {THRESHOLD} / 100)") if whole else _least_met("n")
-        enough = _met_elsewhere(rows).withColumnRenamed("d", "id")
+        enough = _met_elsewhere(grouped, tokens, whole).withColumnRenamed("d", "id")
         members = cut(members.join(enough, "id").where(F.col("met") >= least).drop("met"))
-        now = members.count()
+        now, tokens = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         if not now or (whole and now > 0.9 * left):  # further rounds would only save work
             return sets.join(small_or_shuffled(members, now), "id").select("id", "g", "tokens")
         whole, left = True, now
@@ -295,7 +442,7 @@ def _token_rows(batch: pa.RecordBatch) -> dict | None:
 
 def _residual(sets: DataFrame) -> DataFrame:
     """Links (a, b) between classes of different groups; sets (id, g, tokens)."""
-    sets = cut(sets.dropDuplicates(["id"]))  # documents may have repeated rows
+    sets = cut(sets)
     # tokens of each set by how many groups have them, the rarest first
     rows = map_batches(sets, _token_rows, "id long, g long, token long, n int", "tokens")
     often = rows.select("token", "g").distinct().groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -317,29 +464,36 @@ def _residual(sets: DataFrame) -> DataFrame:
         probe.withColumnRenamed("g", "own")
         .join(matrix, "token")
         .where((F.col("own") != F.col("g")) & (F.col("n") >= F.col("least")) & qualifies)
-        .select("id", "g", "n")
-        .distinct()
     )
-    members = sets.select(F.col("id").alias("b"), "g", F.expr("octet_length(tokens) div 8").alias("m"))
-    pairs = opened.join(members, "g").where((F.col("m") <= F.col("n")) & (100 * F.col("m") >= THRESHOLD * F.col("n"))).select(F.col("id").alias("a"), "b")
-    return verify(pairs, sets.select("id", "tokens"))
+    opened = cut(opened.select("id", "g").distinct())
+    if opened.isEmpty():
+        return opened.select(F.col("id").alias("a"), F.col("g").alias("b"))
+    sizes = sets.groupBy("g").agg(F.ceil(F.sum(F.octet_length("tokens") / 8) / BLOCK_TOKENS).cast("int").alias("parts"))
+    parts = cut(sizes.join(opened.select("g").distinct(), "g"))
+    parts = small_or_shuffled(parts, parts.count())
+    blocks = sets.join(parts, "g").select("g", F.expr("pmod(xxhash64(id), parts)").cast("int").alias("part"), "id")
+    queries = opened.join(parts, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id")
+    return links_into(blocks, queries, sets)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) for every row of documents."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut(map_batches(texts, _signature, "doc_id long, n long, d1 long, d2 long, low array<long>"))
+    signed = cut(map_batches(texts, _signature, "doc_id long, n long, d1 long, d2 long, low array<long>, head binary", limit=SLICE))
     known = signed.where("doc_id IS NOT NULL AND n > 0")
     classes = known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"), F.first("low").alias("low"))
 
     # 2. classes that share enough of their prefix with others
-    met = _met_elsewhere(map_batches(texts.where("doc_id IS NOT NULL"), _met, "k long, d long, c int"))
+    tokens = signed.agg(F.coalesce(F.sum(F.octet_length("head")), F.lit(0))).first()[0] // 8
+    heads = known.select(F.col("d1").alias("d"), F.col("d1").alias("g"), F.col("head").alias("tokens"))
+    met = _met_elsewhere(heads, tokens, own=True)
     open_classes = cut(
         classes.join(met.withColumnRenamed("d", "d1"), "d1").where(F.col("met") >= _least_met("n")).select(F.col("class_id").alias("id"), "n", "low")
     )
     ids = open_classes.select(F.col("id").alias("doc_id"))
     found = texts.join(small_or_shuffled(ids, open_classes.count()), "doc_id")
-    opened = cut(map_batches(found, _sets, "doc_id long, tokens binary").withColumnRenamed("doc_id", "id"))
+    opened = map_batches(found, _sets, "doc_id long, tokens binary", limit=SLICE).withColumnRenamed("doc_id", "id")
+    opened = cut(opened.dropDuplicates(["id"]))  # documents may have repeated rows
 
     # 3. groups by leaders
     links = cut(verify(leader_pairs(open_classes), opened))

@@ -174,6 +174,42 @@ def test_jaccard_join(spark):
     assert [r.component_id for r in rows if r.doc_id is None] == [None]
 
 
+def test_jaccard_join_large_group(spark, monkeypatch):
+    """A group of many near copies, in several blocks, and texts beside it that link with one member or none."""
+    for name, value in (("BLOCK_TOKENS", 3000), ("LED", 50), ("RANGE_TOKENS", 2000)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    base = prose(77, 60).split()
+
+    def edited(*edits):
+        w = list(base)
+        for k, by in edits:
+            w[k] = f"new{by}"
+        return " ".join(w)
+
+    docs = [(1, " ".join(base))] + [(10 + k, edited((3 + k % 54, k))) for k in range(900)]
+    docs += [(2000 + k, edited((3 + k % 54, k), ((20 + k) % 54 + 3, f"b{k}"))) for k in range(0, 900, 60)]  # with one member
+    docs += [(3000 + k, edited((5, f"x{k}"), (25, f"y{k}"), (45, f"z{k}"))) for k in range(30)]  # with none
+    docs += [(4000 + k, docs[5][1]) for k in range(300)]
+    rows = jaccard_join.near_duplicates(frame(spark, docs).repartition(6)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == components_plain(docs)
+
+
+def test_jaccard_join_words(spark):
+    """Words across stretches, long words, and letters in either case."""
+    import pyarrow as pa
+
+    texts = [None, "", "A b C d E f", "a B c D e F", "x" * 200 + " one two three four", "X" * 200 + " ONE two three four", "word " * 300_000, "é à ü ö ß"]
+    tokens, edges = jaccard_join.shingle_sets(pa.array(texts))
+    sets = [tokens[a:b].tolist() for a, b in zip(edges[:-1], edges[1:])]
+    assert [len(x) for x in sets] == [0, 0, 2, 2, 1, 1, 1, 1]
+    assert sets[2] == sets[3] and sets[4] == sets[5] and sets[4] != sets[7]
+    long = [" ".join(f"w{k * 7919 % 50_000}" for k in range(200_000)), prose(4, 10)]
+    tokens, edges = jaccard_join.shingle_sets(pa.array(long))
+    assert [len(shingle_set(x)) for x in long] == (edges[1:] - edges[:-1]).tolist()
+    one, _ = jaccard_join.shingle_sets(pa.array(long[1:]))
+    assert one.tolist() == tokens[edges[1] :].tolist()
+
+
 def test_jaccard_join_keeps_one_of_each(spark):
     docs = frame(spark, {**dict(near_cases()), None: "one two"})
     kept = jaccard_join.one_of_each(docs)
