@@ -12,7 +12,7 @@ inside. Every other token is outside whatever its score, so the chain falls into
 windows around the candidates, and decoding windows equals decoding the text.
 
 The field is fitted by maximum likelihood, with forward and backward sums, on at
-most TRAIN_DOCS texts that a rule hits and as many that none does, of TRAIN_BYTES
+most TRAIN_DOCS texts that a rule hits and as many of any kind, of TRAIN_BYTES
 at most, chosen by a hash of their id; the rules' hits are its labels. In half
 of the training windows the names that the rules know are hidden, so that it
 learns shape and surroundings rather than the rules.
@@ -20,7 +20,9 @@ learns shape and surroundings rather than the rules.
 Defined cases: null text is empty and has no spans; ties can't occur within a
 kind, between kinds the order is KINDS; repeated rows are scanned alike, each;
 an empty table gives no rows, and without a training text nothing is tagged;
-other columns are not read. Scanning is linear in the text."""
+rows with a null doc_id are scanned but not learned from, and of rows that share
+a doc_id the smallest text is learned from; other columns are not read. Scanning
+is linear in the text: candidates are runs of token characters, tested one by one."""
 
 from __future__ import annotations
 
@@ -28,7 +30,9 @@ import hashlib
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,9 +58,8 @@ AROUND = 3  # tokens on either side of a candidate
 SURE = 0.75  # mean probability of a tagged span
 
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.=\-]+|[^\sA-Za-z0-9+/_.=\-]")
-_CANDIDATE = re.compile(
-    r"(?<![A-Za-z0-9+/_.=\-])(?:(?=[A-Za-z+/_.=\-]*[0-9])[A-Za-z0-9+/_.=\-]{8,}|(?=[^A-Z\s]*[A-Z])(?=[^a-z\s]*[a-z])[A-Za-z0-9+/_.=\-]{20,})"
-)
+_RUN = re.compile(r"[A-Za-z0-9+/_.=\-]{8,}")
+_DIGIT, _UPPER, _LOWER = re.compile("[0-9]"), re.compile("[A-Z]"), re.compile("[a-z]")
 B, I, O = 0, 1, 2  # noqa: E741
 
 
@@ -95,9 +98,19 @@ def _file_features(text: str, candidates: int) -> tuple[str, ...]:
     )
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Runs of 8 characters or more with a digit, or of 20 or more with letters of both cases."""
+    out = []
+    for m in _RUN.finditer(text):
+        s, e = m.span()
+        if _DIGIT.search(text, s, e) or (e - s >= 20 and _UPPER.search(text, s, e) and _LOWER.search(text, s, e)):
+            out.append((s, e))
+    return out
+
+
 def windows(text: str) -> list[Window]:
     """Candidates with AROUND tokens on either side; those that meet are one window."""
-    found = [m.span() for m in _CANDIDATE.finditer(text)]
+    found = candidates(text)
     if not found:
         return []
     file, out, at = _file_features(text, len(found)), [], 0
@@ -211,12 +224,12 @@ def _gold(w: Window, secrets: list[tuple[int, int, str]]) -> list[int]:
     return tags
 
 
-def train(texts: list[str], epochs: int = 6, rate: float = 0.2) -> Model:
-    """Stochastic gradient ascent on the log-likelihood."""
+def train(texts: list[str], epochs: int = 6, rate: float = 0.2, kinds: tuple[str, ...] = KINDS) -> Model:
+    """Stochastic gradient ascent on the log-likelihood; the rules' hits of these kinds are the labels."""
     weights, moves = np.zeros((DIMENSIONS, 3)), np.zeros((3, 3))
     work = []
     for text in texts:
-        secrets = base(text)
+        secrets = [x for x in base(text) if x[2] in kinds]
         for k, w in enumerate(windows(text)):
             rows = [features(w, i, hide_names=(k + len(text)) % 2 == 0) for i in range(len(w.tokens))]
             work.append((w, rows, _gold(w, secrets)))
@@ -262,16 +275,23 @@ def tagged(model: Model, text: str) -> list[tuple[int, int]]:
 def spans(model: Model | None, text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """The rules' spans, and all spans."""
     rules = base(text)
-    more = [(s, e, "crf") for s, e in tagged(model, text) if not any(x[0] < e and s < x[1] for x in rules)] if model else []
+    starts, reach = [x[0] for x in rules], [0, *accumulate((x[1] for x in rules), max)]
+    # a span is apart if the rules' spans that start before its end have ended by its start
+    more = [(s, e, "crf") for s, e in tagged(model, text) if reach[bisect_left(starts, e)] <= s] if model else []
     return rules, sorted([*rules, *more], key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
-    short = docs.where(F.octet_length("text").between(1, TRAIN_BYTES)).select("doc_id", "text")
+    short = docs.where(F.octet_length("text").between(1, TRAIN_BYTES) & F.col("doc_id").isNotNull()).select("doc_id", "text")
     hit = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]") | F.col("text").rlike("AKIA[A-Z0-9]{12}|[0-9a-f]{32}")
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    texts = [r.text for x in (short.where(hit), short) for r in x.orderBy(*order).limit(train_docs).collect()]
-    return train(texts) if texts else None
+    # ids alone are sorted and sent, then the texts of the chosen ones
+    chosen = [[r.doc_id for r in x.select("doc_id").orderBy(*order).limit(train_docs).collect()] for x in (short.where(hit), short)]
+    ids = sorted({x for c in chosen for x in c})
+    if not ids:
+        return None
+    texts = {r.doc_id: r.text for r in short.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+    return train([texts[x] for c in chosen for x in c])
 
 
 def _scan(shared):
