@@ -1,20 +1,23 @@
 """License scans with a positional index of rare words.
 
-The templates are short licence notices. Document frequencies of their words are
-counted over all documents; the KEYS rarest words of each template are its keys.
-A posting is (template, position). Each key word of a file, minus the posting's
-position, votes for a place where the template would start; places with votes of
-at least two different keys (or all, of templates with fewer) are verified: the
-template's mandatory phrases must stand at their relative positions, allowing
-SHIFT words of drift, and the share of template words at their places is the
-score, of which LEAST is needed.
+The templates are licence notices, short ones and whole licences. Document
+frequencies of their words are counted over all documents; the KEYS rarest words
+of each template are its keys. A posting is (template, position). Each key word
+of a file, minus the posting's position, votes for a place where the template
+would start; where two different keys (or all, of templates with fewer) vote for
+places within the template's slack of each other, the template is laid along the
+file: each of its words is looked for at its place and up to SHIFT words beside
+it, and where the file has gone astray by inserted or missing words, the places
+of the later words move with it. The mandatory phrases must stand unbroken, and
+the share of template words found is the score, of which LEAST is needed.
 
 Beside these labels (SPDX identifiers) are the base labels, for a licence's name
 found anywhere.
 
 Defined cases: null or empty text has no words and score 0; overlapping matches
-of several templates each count; repeated rows are scanned alike, each; an empty
-table gives no rows; other columns are not read. Memory is a text's words."""
+of several templates each count, of equal scores either; repeated rows are scanned
+alike, each; an empty table gives no rows; other columns are not read. Memory is
+a text's words, and time is linear in them: a vote opens at most one comparison."""
 
 from __future__ import annotations
 
@@ -77,10 +80,71 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "licensed under cc by nc 4 0 | cc by nc 4 0"),
     ("CC-BY-4.0", "licensed under cc by 4 0 | cc by 4 0"),
     ("LicenseRef-all-rights-reserved", "all rights reserved | all rights reserved"),
+    (
+        "MIT",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+        "documentation files the software to deal in the software without restriction including without limitation the "
+        "rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+        "persons to whom the software is furnished to do so subject to the following conditions the above copyright "
+        "notice and this permission notice shall be included in all copies or substantial portions of the software the "
+        "software is provided as is without warranty of any kind express or implied including but not limited to the "
+        "warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors "
+        "or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or "
+        "otherwise arising from out of or in connection with the software or the use or other dealings in the software | "
+        "permission is hereby granted free of charge | without warranty of any kind",
+    ),
+    (
+        "ISC",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+        "granted provided that the above copyright notice and this permission notice appear in all copies the software is "
+        "provided as is and the author disclaims all warranties with regard to this software including all implied "
+        "warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect "
+        "or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an "
+        "action of contract negligence or other tortious action arising out of or in connection with the use or "
+        "performance of this software | permission to use copy modify | disclaims all warranties",
+    ),
+    (
+        "BSD-2-Clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+        "following conditions are met 1 redistributions of source code must retain the above copyright notice this list "
+        "of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright "
+        "notice this list of conditions and the following disclaimer in the documentation and or other materials provided "
+        "with the distribution this software is provided by the copyright holders and contributors as is | "
+        "redistribution and use in source and binary forms | with the distribution this software is provided",
+    ),
+    (
+        "BSD-3-Clause",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+        "following disclaimer in the documentation and or other materials provided with the distribution 3 neither the "
+        "name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission | redistributions in binary form | "
+        "endorse or promote products",
+    ),
+    (
+        "Zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held "
+        "liable for any damages arising from the use of this software permission is granted to anyone to use this software "
+        "for any purpose including commercial applications and to alter it and redistribute it freely subject to the "
+        "following restrictions | in no event will the authors be held liable | redistribute it freely",
+    ),
+    (
+        "Unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use "
+        "compile sell or distribute this software either in source code form or as a compiled binary for any purpose "
+        "commercial or non commercial and by any means | free and unencumbered software | into the public domain",
+    ),
+    (
+        "Apache-2.0",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed "
+        "on an as is basis without warranties or conditions of any kind either express or implied see the license for the "
+        "specific language governing permissions and limitations under the license | distributed under the license | "
+        "governing permissions and limitations",
+    ),
 )
 KEYS = 4
 SHIFT = 2
 LEAST = 0.7
+_STEPS = sorted(range(-SHIFT, SHIFT + 1), key=abs)
 
 
 @dataclass(frozen=True)
@@ -124,28 +188,58 @@ def build_index(found: list[Template], frequency: dict[bytes, int], documents: i
     return Index(found, dict(postings), keys_of)
 
 
+def _laid(t: Template, words: list[bytes], start: int) -> list[int]:
+    """Where each template word stands in the file, -1 if nowhere near its place."""
+    places, drift, last = [], 0, len(t.words) - 1
+    for i, w in enumerate(t.words):
+        here = -1
+        for step in _STEPS:
+            at = start + i + drift + step
+            # a word beside its place counts only if the next one follows, as common words stand everywhere
+            if 0 <= at < len(words) and words[at] == w and (not step or i == last or words[at + 1 : at + 2] == [t.words[i + 1]]):
+                here, drift = at, drift + step
+                break
+        places.append(here)
+    return places
+
+
+def _score(t: Template, words: list[bytes], start: int) -> float:
+    """The share of template words that are found, 0 without the mandatory phrases."""
+    places = _laid(t, words, start)
+    for at, phrase in t.mandatory:
+        first = places[at]
+        if first < 0 or places[at : at + len(phrase)] != list(range(first, first + len(phrase))):
+            return 0.0
+    return sum(p >= 0 for p in places) / len(places)
+
+
 def match(index: Index, words: list[bytes]) -> dict[str, float]:
     """SPDX label -> score of the templates that are verified in a text's words."""
     if index.postings.keys().isdisjoint(words):
         return {}
-    votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
+    votes: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
     for place, w in enumerate(words):
         for k, at in index.postings.get(w, ()):
-            votes[k, place - at].add(w)
+            votes[k].append((place - at, w))
     out: dict[str, float] = {}
-    for (k, start), keys in votes.items():
-        t = index.templates[k]
-        if len(keys) < min(2, len(index.keys_of[k])):
-            continue
-        near = all(
-            any(tuple(words[max(0, s) : s + len(p)]) == p for s in range(start + at - SHIFT, start + at + SHIFT + 1) if s >= 0)
-            for at, p in t.mandatory
-        )
-        if near:
-            same = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(t.words))
-            score = same / len(t.words)
-            if score >= LEAST:
-                out[t.label] = max(score, out.get(t.label, 0.0))
+    for k, cast in votes.items():
+        t, needed = index.templates[k], min(2, len(index.keys_of[k]))
+        slack = SHIFT + len(t.words) // 16
+        cast.sort()
+        here: dict[bytes, int] = defaultdict(int)  # keys of the votes from first to the current one
+        first = 0
+        for start, w in cast:
+            here[w] += 1
+            while cast[first][0] < start - slack:
+                old = cast[first][1]
+                here[old] -= 1
+                if not here[old]:
+                    del here[old]
+                first += 1
+            if len(here) >= needed:
+                score = _score(t, words, start)
+                if score >= LEAST:
+                    out[t.label] = max(score, out.get(t.label, 0.0))
     return out
 
 
@@ -154,9 +248,11 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     plain = b" " + b" ".join(words) + b" "
     out = []
     for phrase, label in PHRASES.items():
-        at = plain.find(b" " + phrase + b" ")
+        at, before, place = plain.find(b" " + phrase + b" "), 0, 0
         while at >= 0:
-            out.append((plain.count(b" ", 0, at), label))
+            place += plain.count(b" ", before, at)  # blanks since the last hit
+            before = at
+            out.append((place, label))
             at = plain.find(b" " + phrase + b" ", at + 1)
     return sorted(out)
 
