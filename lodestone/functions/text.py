@@ -40,9 +40,9 @@ def token_hits(token: Column, text: Column) -> Column:
 
 def normalize_route(path: Column) -> Column:
     """Query and fragment go, parameters become {*}, slashes collapse, one leading and no trailing slash."""
-    p = F.regexp_replace(path, r"[?#].*$", "")
-    p = F.regexp_replace(p, r"\$?\{[^{}/]*\}|<[^<>/]*>", "{*}")
-    p = F.regexp_replace(p, r"/:[A-Za-z_][A-Za-z0-9_]*", "/{*}")
+    p = F.regexp_replace(path, r"(?s)[?#].*$", "")
+    p = F.regexp_replace(F.regexp_replace(p, r"\$?\{[^}]*\}", "{*}"), r"<[^>]*>", "{*}")
+    p = F.regexp_replace(p, r"/:\w+", "/{*}")
     p = F.regexp_replace(F.concat(F.lit("/"), p), "/+", "/")
     return F.when(F.length(p) > 1, F.regexp_replace(p, "/$", "")).otherwise(p)
 
@@ -102,8 +102,12 @@ def truncated(text: Column, limit: int = 2000) -> Column:
     return F.struct(F.substring(text, 1, limit).alias("text"), (F.length(text) > limit).alias("truncated"))
 
 
+# Folders of tests, and names of test files.
+TEST_FOLDERS = ("test", "tests", "__tests__", "test-fixtures", "fixtures", "spec", "specs", "testing", "e2e")
+TEST_NAMES = r"^conftest\.py$|^test_.*\.py$|_test\.(py|go|rb)$|\.(test|spec)\.[cm]?[jt]sx?$"
+
+
 def is_test_path(path: Column) -> Column:
+    """By a folder on the way, or by the file's name."""
     low = F.lower(path)
-    folders = F.split(F.concat(F.lit("/"), dirname(low)), "/")
-    named = basename(low).rlike(r"(^test_|_test\.|\.test\.|\.spec\.|tests?\.(java|cs)$)")
-    return F.arrays_overlap(folders, F.array(*map(F.lit, ("test", "tests", "__tests__", "spec", "specs", "e2e")))) | named
+    return F.arrays_overlap(F.split(dirname(low), "/"), F.array(*map(F.lit, TEST_FOLDERS))) | basename(low).rlike(TEST_NAMES)

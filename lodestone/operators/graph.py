@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -9,10 +10,14 @@ from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder that the cluster names; a folder of our own only where it names none."""
+    """A checkpoint in the shared folder that the cluster names. Where it names none, a
+    folder of our own will do only if all runs in this one process."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestone-"))
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodestone-"))
     return df.checkpoint(eager=True)
 
 

@@ -17,18 +17,25 @@ def with_attempt_kind(results: DataFrame) -> DataFrame:
 
 def mastery(results: DataFrame, key: str = "unit") -> DataFrame:
     """Mastery by key: the clamped fold of weighted answers in order of time."""
-    delta = L.evidence_weight(F.col("kind")) * L.answer_weight(F.col("attempt"), F.col("passed"))
-    row = F.struct("at", "ord", delta.alias("delta"))
-    folded = results.groupBy(key).agg(
-        F.sort_array(F.collect_list(row)).alias("rows"),
+    mode = F.col("grading_mode") if "grading_mode" in results.columns else F.lit(None).cast("string")
+    delta = L.evidence_weight(mode, F.col("kind")) * L.answer_weight(F.col("attempt"), F.col("passed"))
+    rows = results.select(key, "at", "ord", "passed", delta.alias("delta"))
+    # ranges of the history, so that a key with very many rows is folded in several tasks
+    ranged = rows.repartitionByRange(key, "at", "ord").withColumn("part", F.spark_partition_id())
+    runs = ranged.groupBy(key, "part").agg(
+        L.clamped_run(F.transform(F.sort_array(F.collect_list(F.struct("at", "ord", "delta"))), lambda r: r["delta"])).alias("run"),
         F.count("*").alias("attempts"),
         F.count_if("passed").alias("successes"),
         F.max("at").alias("last_at"),
     )
-    score = L.clamped_fold(F.transform("rows", lambda r: r["delta"]))
-    return folded.select(
+    # one row for each range that holds the key
+    whole = runs.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("part", "run"))).alias("runs"), F.sum("attempts").alias("attempts"), F.sum("successes").alias("successes"), F.max("last_at").alias("last_at")
+    )
+    score = L.composed(F.transform("runs", lambda r: r["run"]))
+    return whole.select(
         key, "attempts", "successes", score.alias("score"), (F.col("successes") / F.col("attempts")).alias("success_rate"),
-        L.confidence(F.col("attempts")).alias("confidence"), F.floor(score + 0.5).cast("int").alias("level"), "last_at",
+        L.confidence(F.col("attempts")).alias("confidence"), L.level(score).alias("level"), "last_at",
     )
 
 

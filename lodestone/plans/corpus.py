@@ -17,10 +17,23 @@ def f03_words(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(T.words_of(F.col("text"))).alias("words"))
 
 
-@query(r"""SELECT page_id, CASE WHEN length(p) > 1 THEN regexp_replace(p, '/$', '') ELSE p END AS route FROM (
-  SELECT page_id, regexp_replace('/' || regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '\$?\{[^{}/]*\}|<[^<>/]*>', '{*}', 'g'), '/:[A-Za-z_][A-Za-z0-9_]*', '/{*}', 'g'), '/+', '/', 'g') AS p FROM pages)""")
+#: Pages' paths, with numbers as parameters in the shapes that routes are written in.
+_ROUTE_SQL = r"""SELECT page_id, regexp_replace(url, '^https?://[^/]+', '') AS p, page_id % 6 AS m FROM pages"""
+_ROUTED_SQL = r"""SELECT page_id, CASE m WHEN 0 THEN p || '?a=1#b' WHEN 1 THEN p || '/{id}/x' WHEN 2 THEN p || '//<int:id>/' WHEN 3 THEN p || '/${a/b}' WHEN 4 THEN p || '/:9x/' ELSE p END AS p FROM raw"""
+
+
+def _routes(spark, sf_dir):
+    p, m = F.regexp_replace("url", "^https?://[^/]+", ""), F.col("page_id") % 6
+    end = F.when(m == 0, "?a=1#b").when(m == 1, "/{id}/x").when(m == 2, "//<int:id>/").when(m == 3, "/${a/b}").when(m == 4, "/:9x/").otherwise("")
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(p, end).alias("p"))
+
+
+@query(rf"""WITH raw AS ({_ROUTE_SQL}), r AS ({_ROUTED_SQL}), s AS (SELECT page_id, regexp_replace('/' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '[?#].*$', '', 's'),
+  '\$?\{{[^}}]*\}}', '{{*}}', 'g'), '<[^>]*>', '{{*}}', 'g'), '/:\w+', '/{{*}}', 'g'), '/+', '/', 'g') AS p FROM r)
+SELECT page_id, CASE WHEN length(p) > 1 THEN regexp_replace(p, '/$', '') ELSE p END AS route FROM s""")
 def f05_routes(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.normalize_route(F.col("url")).alias("route"))
+    """Paths with parameters in every shape: {id}, <int:id>, ${a/b}, :9x."""
+    return _routes(spark, sf_dir).select("page_id", T.normalize_route(F.col("p")).alias("route"))
 
 
 @query(r"""SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) AS pages FROM pages GROUP BY 1""")
@@ -81,9 +94,9 @@ def a34_retrieval_score(spark, sf_dir):
     return evals.retrieval_score(cases, hits, 5).withColumn("recall", F.round("recall", 8))
 
 
-@query("""SELECT 'content:' || substr(sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || substr(sha256(text), 1, 16), ';' ORDER BY CAST(doc_id AS VARCHAR))), 1, 24) AS stamp FROM documents WHERE source = 'src3'""")
+@query("""SELECT source, 'content:' || substr(sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || substr(sha256(text), 1, 16), ';' ORDER BY CAST(doc_id AS VARCHAR), sha256(text))), 1, 24) AS stamp FROM documents GROUP BY source""")
 def a42_version_stamp(spark, sf_dir):
-    """A stamp for each source. The SQL twin still stamps src3 only and no longer gives the same rows."""
+    """A stamp for each source."""
     path, digest = F.col("doc_id").cast("string"), T.short_hash(F.col("text"))
     entries = table(spark, sf_dir, "documents").select("source", path.alias("path"), F.concat(path, F.lit(":"), digest).alias("entry"))
     return repository.stamps(entries, "source", ["path", "entry"])

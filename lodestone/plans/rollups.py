@@ -86,9 +86,9 @@ def a39_acceptance(spark, sf_dir):
     return rows.groupBy("source").agg(F.round(F.count_if(F.col("quality") == 1) / F.count("*"), 8).alias("legal_rate"), F.count_if(F.col("toxic") == 1).alias("rejected"))
 
 
-@query("""SELECT l_suppkey, CAST(sum(CASE WHEN l_linenumber % 2 = 0 THEN l_partkey END) AS BIGINT) AS used FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1""")
+@query("""SELECT l_suppkey, CAST(sum(CASE WHEN l_linenumber % 2 = 0 THEN l_partkey END) AS BIGINT) AS used FROM lineitem GROUP BY 1""")
 def a45_usage_sum(spark, sf_dir):
-    """Both sides missing stays missing. The SQL twin still reads one order in 50 and no longer gives the same rows."""
+    """Both sides missing stays missing."""
     return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey"))).alias("used"))
 
 
@@ -135,9 +135,9 @@ def p08_freshness(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", verdict.alias("verdict"))
 
 
-@query("""SELECT p_partkey, CAST(least(5, greatest(1, 1 + p_size // 2)) AS INTEGER) AS difficulty, CASE WHEN p_retailprice >= 1500 THEN 5 WHEN p_retailprice >= 1000 THEN 4 ELSE 0 END AS quality FROM part""")
+@query("""SELECT p_partkey, CAST(least(5, greatest(1, 1 + p_size // 2)) AS INTEGER) AS difficulty, CASE WHEN p_retailprice >= 1500 THEN 5 WHEN p_retailprice >= 1000 THEN 4 WHEN p_retailprice >= 950 THEN 1 ELSE 0 END AS quality FROM part""")
 def f23_unit_difficulty(spark, sf_dir):
-    q = L.quality_for_score(F.when(F.col("p_retailprice") >= 1500, 1.0).when(F.col("p_retailprice") >= 1000, 0.8).otherwise(0.0))
+    q = L.quality_for_score(F.when(F.col("p_retailprice") >= 1500, 1.0).when(F.col("p_retailprice") >= 1000, 0.8).when(F.col("p_retailprice") >= 950, 0.01).otherwise(0.0))
     return table(spark, sf_dir, "part").select("p_partkey", L.clamp(1 + F.floor(F.col("p_size") / 2), 1, 5).cast("int").alias("difficulty"), q.alias("quality"))
 
 

@@ -11,9 +11,12 @@ from lodestone.functions import text as T
 
 # What is read and what never is.
 EXTENSIONS = (".py", ".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx", ".vue", ".java", ".go", ".rs", ".cs", ".c", ".h", ".cc", ".cpp", ".hpp", ".md", ".json", ".yaml", ".yml", ".toml", ".sql", ".xml", ".properties")
-KEY_EXTENSIONS = (".pem", ".key", ".p12", ".pfx", ".jks", ".keystore", ".crt", ".cer", ".der")
-CREDENTIAL_NAMES = (".npmrc", ".netrc", ".pypirc", "credentials", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519")
-ENV_TEMPLATES = (".env.example", ".env.sample", ".env.template")
+KEY_EXTENSIONS = (".pem", ".key", ".p8", ".p12", ".pfx", ".jks", ".keystore", ".crt", ".cer", ".der")
+CREDENTIAL_NAMES = (
+    ".npmrc", ".netrc", "_netrc", ".pypirc", ".htpasswd", ".git-credentials", ".dockercfg", "credentials", "credentials.json",
+    "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519",
+)
+ENV_TEMPLATES = (".example", ".sample", ".template", ".dist")
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
@@ -36,7 +39,11 @@ def denied(path: Column) -> Column:
     key = F.lit(False)
     for e in KEY_EXTENSIONS:
         key = key | name.endswith(e)
-    return F.when(name.startswith(".env") & ~name.isin(*ENV_TEMPLATES), "env").when(key, "key").when(name.isin(*CREDENTIAL_NAMES), "credential")
+    template = F.lit(False)
+    for e in ENV_TEMPLATES:
+        template = template | name.endswith(e)
+    env = T.basename(path).startswith(".env") | (T.extension(path) == ".env")
+    return F.when(env & ~template, "env").when(key, "key").when(name.isin(*CREDENTIAL_NAMES), "credential")
 
 
 def ingested(path: Column) -> Column:

@@ -41,10 +41,10 @@ def _review(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[
     reps, interval, ease = state.get if state.exists else (0, 0, 2.5)
     rows = pd.concat(list(frames)).sort_values(["at", "contribution_id"])
     for score in rows["score"].fillna(0.0):
-        q = 5 if score >= 0.95 else 4 if score >= 0.8 else 3 if score >= 0.6 else 2 if score >= 0.4 else 1 if score >= 0.2 else 0
+        q = 5 if score >= 0.95 else 4 if score >= 0.8 else 3 if score >= 0.6 else 2 if score >= 0.4 else 1 if score > 0 else 0
         ease = max(1.3, ease + 0.1 - (5 - q) * (0.08 + (5 - q) * 0.02))
         reps = 0 if q < 3 else reps + 1
-        interval = 1 if q < 3 or reps == 1 else 6 if reps == 2 else int(interval * ease + 0.5)
+        interval = 1 if q < 3 or reps == 1 else 6 if reps == 2 else max(1, int(interval * ease + 0.5))
     state.update((reps, interval, ease))
     yield pd.DataFrame([(key[0], reps, interval, ease)], columns=["exercise_id", "repetitions", "interval", "easiness"])
 

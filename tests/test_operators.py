@@ -92,14 +92,60 @@ def test_cost_golden(spark):
 
 def results(spark, rows):
     at = datetime(2026, 1, 1)
-    data = [(k, at + timedelta(hours=k), e, "u", kind, None, ok, 1.0) for k, (e, kind, ok) in enumerate(rows)]
-    return learner.with_attempt_kind(spark.createDataFrame(data, "ord int, at timestamp, exercise string, unit string, kind string, attempt_kind string, passed boolean, score double"))
+    data = [(k, at + timedelta(hours=k), e, "u", kind, mode[0] if mode else None, mode[1] if mode[1:] else None, ok, 1.0) for k, (e, kind, ok, *mode) in enumerate(rows)]
+    return learner.with_attempt_kind(
+        spark.createDataFrame(data, "ord int, at timestamp, exercise string, unit string, kind string, grading_mode string, attempt_kind string, passed boolean, score double")
+    )
 
 
-@pytest.mark.parametrize(("kind", "want"), [("execution", 1.0), ("set_match", 0.8), ("llm_rubric", 0.5)])
-def test_mastery_golden(spark, kind, want):
-    assert learner.mastery(results(spark, [("e", kind, True)])).first().score == pytest.approx(want)
-    assert learner.mastery(results(spark, [("e", kind, False)])).first().score == 0.0
+@pytest.mark.parametrize(
+    ("kind", "mode", "want"),
+    [("trace", "execution", 1.0), ("trace", "set_match", 0.8), ("trace", "rubric", 0.5), ("llm_rubric", None, 0.5), ("patch_edit", None, 1.0), ("author_function", "?", 1.0), ("trace", None, 0.8), (None, None, 0.8)],
+)
+def test_mastery_golden(spark, kind, mode, want):
+    assert learner.mastery(results(spark, [("e", kind, True, mode)])).first().score == pytest.approx(want)
+    assert learner.mastery(results(spark, [("e", kind, False, mode)])).first().score == 0.0
+
+
+def test_mastery_sequence(spark):
+    steps = [(True, None), (False, None), (True, None), (True, "review"), (False, "review"), (False, "review"), (True, None)]
+    rows = [("e", "patch_edit", ok, None, attempt) for ok, attempt in steps]
+    got = learner.mastery(results(spark, rows)).first()
+    # 1, 0.4, 1.4, 1.9, 0.9, 0 (held), 1
+    assert (got.score, got.level, got.attempts, got.successes, got.confidence) == (pytest.approx(1.0), 1, 7, 4, 1.0)
+
+
+def test_mastery_of_a_long_history(spark):
+    """One unit's answers over many ranges, folded apart and composed."""
+    import random
+
+    r = random.Random(1)
+    rows = [(f"e{k % 7}", r.choice(["patch_edit", "trace", "llm_rubric"]), r.random() < 0.6, None, r.choice([None, "review"])) for k in range(3000)]
+    weight, score = {"patch_edit": 1.0, "trace": 0.8, "llm_rubric": 0.5}, 0.0
+    for _, kind, ok, _, attempt in rows:
+        step = (0.5 if ok else -1.0) if attempt else (1.0 if ok else -0.6)
+        score = min(5.0, max(0.0, score + weight[kind] * step))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        assert learner.mastery(results(spark, rows)).first().score == pytest.approx(score)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize(("score", "quality"), [(0.0, 0), (0.01, 1), (0.4, 2), (0.6, 3), (0.8, 4), (0.95, 5)])
+def test_quality_golden(spark, score, quality):
+    assert one(spark, L.quality_for_score(F.lit(score))) == quality
+
+
+@pytest.mark.parametrize(
+    ("path", "want"),
+    [("a/testing/x.py", True), ("fixtures/x.json", True), ("src/conftest.py", True), ("src/test_a.py", True), ("a_test.go", True), ("x.spec.mts", True), ("FooTest.java", False), ("tests.py", False), ("src/contest.py", False)],
+)
+def test_test_paths(spark, path, want):
+    from lodestone.functions import text as T
+
+    assert one(spark, T.is_test_path(F.lit(path))) is want
 
 
 def test_sm2_golden(spark):
