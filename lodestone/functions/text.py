@@ -48,9 +48,9 @@ def normalize_route(path: Column) -> Column:
 
 
 def mask_ids(url: Column) -> Column:
-    """UUIDs and runs of 16 hex digits or more become placeholders."""
-    url = F.regexp_replace(url, "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "{uuid}")
-    return F.regexp_replace(url, "[0-9a-f]{16,}", "{id}")
+    """Repository ids and UUIDs become placeholders."""
+    url = F.regexp_replace(url, "(?i)repo_[0-9a-f]+", ":repoId")
+    return F.regexp_replace(url, "(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", ":id")
 
 
 def package_identity(language: Column, spec: Column) -> Column:

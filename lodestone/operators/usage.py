@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.ranks import indexed
+
 
 def token_usage(journal: DataFrame) -> DataFrame:
     """token_usage events as typed rows. A cache-hit counter that wasn't reported stays null."""
@@ -48,10 +50,7 @@ def price(billed: Column, hits: Column, output: Column, rate_in: float, rate_hit
 def percentile_at(df: DataFrame, keys: list[str], value: str, share: float, kind: str = "floor_n") -> DataFrame:
     """Percentile by rank. floor_n: element floor(n * share); floor_n1: floor((n - 1) * share),
     both counted from 0 and held to the last; median: mean of the middle two; upper: element floor(n / 2)."""
-    by = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).select(
-        *keys, value, (F.row_number().over(by.orderBy(value)) - 1).alias("__i"), F.count("*").over(by).alias("__n")
-    )
+    ranked = indexed(df.where(F.col(value).isNotNull()).select(*keys, value), keys, F.col(value))
     n = F.col("__n")
     at = {
         "floor_n": F.least(n - 1, F.floor(n * share)),

@@ -9,6 +9,7 @@ from lodestone.functions.text import short_hash
 from lodestone.operators import evals, joins
 from lodestone.operators import tables as O
 from lodestone.operators.usage import keyed_top
+from lodestone.operators.ranks import indexed
 from lodestone.plans.registry import query, table
 
 
@@ -135,6 +136,5 @@ def u02_intersection(spark, sf_dir):
 def w11_systematic_sample(spark, sf_dir):
     """The top 20 and every k-th of the rest. Ranks over all rows come from sorted partitions' counts."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
-    step = max(1, (part.count() - 20) // 20)
-    ordered = part.orderBy(F.desc("p_retailprice"), "p_partkey").rdd.zipWithIndex().toDF("r struct<p_partkey:bigint,p_retailprice:double>, i bigint")
-    return ordered.where((F.col("i") < 20) | ((F.col("i") - 20) % step == 0)).select("r.p_partkey")
+    i, step = F.col("__i"), F.greatest(F.lit(1), F.floor((F.col("__n") - 20) / 20))
+    return indexed(part, [], F.desc("p_retailprice"), F.col("p_partkey")).where((i < 20) | ((i - 20) % step == 0)).select("p_partkey")
