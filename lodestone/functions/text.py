@@ -111,3 +111,20 @@ def is_test_path(path: Column) -> Column:
     """By a folder on the way, or by the file's name."""
     low = F.lower(path)
     return F.arrays_overlap(F.split(dirname(low), "/"), F.array(*map(F.lit, TEST_FOLDERS))) | basename(low).rlike(TEST_NAMES)
+
+
+def import_origin(language: Column, spec: Column, own: Column) -> Column:
+    """stdlib, in-repo, external or unknown; `own` says whether the tree declares the module.
+    Python's library is what this interpreter ships."""
+    import sys
+
+    first = F.split(spec, r"[./:]")[0]
+    python = F.when(spec.startswith(".") | own, "in-repo").when(first.isin(*sorted(sys.stdlib_module_names)), "stdlib").otherwise("external")
+    java = F.when(spec.startswith("java."), "stdlib").when(own, "in-repo").otherwise("external")
+    rust = F.when(spec.rlike("^(std|core|alloc)(::|$)"), "stdlib").when(spec.rlike("^(crate|self|super)(::|$)") | own, "in-repo").otherwise("external")
+    go = F.when(own, "in-repo").when(F.contains(F.substring_index(spec, "/", 1), F.lit(".")), "external").otherwise("stdlib")
+    csharp = F.when((spec == "System") | spec.startswith("System."), "stdlib").otherwise("external")
+    return (
+        F.when(language == "python", python).when(language == "java", java).when(language == "rust", rust).when(language == "go", go)
+        .when(language == "csharp", csharp).otherwise(F.when(own, "in-repo").otherwise("unknown"))
+    )

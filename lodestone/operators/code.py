@@ -43,26 +43,25 @@ def _braces(content: Column) -> Column:
 
 def symbols(lines: DataFrame, most: int = 200) -> DataFrame:
     """(path, kind, name, line, end). A Python symbol ends before the next line that is
-    indented no deeper; others where the braces opened since its line are closed again,
-    within `most` lines, and else on their own line."""
+    indented no deeper. Others end where the braces opened on their line are closed
+    again, within `most` lines; without a brace they end on their own line, but for an
+    arrow at its end, whose body is looked for on the next ones."""
     kind, name = kind_and_name(F.col("content"))
     rows = lines.select("path", "line", "content", kind.alias("kind"), name.alias("name"), indent(F.col("content")).alias("indent"), _braces(F.col("content")).alias("braces"))
     by_line = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"depth": F.sum("braces").over(by_line), "full": F.trim("content") != "", "opens": F.contains("content", F.lit("{"))})
+    rows = rows.withColumns({"depth": F.sum("braces").over(by_line), "full": F.trim("content") != ""})
     # a file's lines side by side: as many as one source file has
-    shape = F.struct("line", "indent", "depth", "full", "opens")
+    shape = F.struct("line", "indent", "depth", "full")
     files = rows.groupBy("path").agg(F.sort_array(F.collect_list(shape)).alias("shapes"))
-    found = rows.where("name IS NOT NULL").select("path", "kind", "name", "line", F.col("indent").alias("own"), (F.col("depth") - F.col("braces")).alias("base"))
+    open_ended = (F.col("braces") > 0) | F.col("content").rlike(r"^[^{]*=>\s*$")
+    found = rows.where("name IS NOT NULL").select("path", "kind", "name", "line", F.col("indent").alias("own"), (F.col("depth") - F.col("braces")).alias("base"), open_ended.alias("open"))
     met = found.join(files, "path")
     dedented = F.array_min(F.transform(F.filter("shapes", lambda s: s["full"] & (s["line"] > F.col("line")) & (s["indent"] <= F.col("own"))), lambda s: s["line"]))
-    opened = F.array_min(F.transform(F.filter("shapes", lambda s: s["opens"] & (s["line"] >= F.col("line")) & (s["line"] < F.col("line") + most)), lambda s: s["line"]))
     closed = F.array_min(
-        F.transform(F.filter("shapes", lambda s: (s["line"] >= F.col("opened")) & (s["line"] < F.col("line") + most) & (s["depth"] <= F.col("base"))), lambda s: s["line"])
+        F.transform(F.filter("shapes", lambda s: (s["line"] > F.col("line")) & (s["line"] < F.col("line") + most) & (s["depth"] <= F.col("base"))), lambda s: s["line"])
     )
-    python = F.col("path").endswith(".py")
-    out = met.withColumn("opened", F.when(~python, opened))
-    end = F.when(python, F.coalesce(dedented - 1, F.size("shapes"))).otherwise(F.coalesce(closed, F.col("line")))
-    return out.select("path", "kind", "name", "line", end.cast("int").alias("end"))
+    end = F.when(F.col("path").endswith(".py"), F.coalesce(dedented - 1, F.size("shapes"))).when(F.col("open"), F.coalesce(closed, F.col("line"))).otherwise(F.col("line"))
+    return met.select("path", "kind", "name", "line", end.cast("int").alias("end"))
 
 
 def call_sites(lines: DataFrame) -> DataFrame:

@@ -27,12 +27,22 @@ def longest_prefix_join(left: DataFrame, name: str, right: DataFrame, prefix: st
 
 def containing_interval(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, cell: int = 64) -> DataFrame:
     """Each point with the smallest span that contains it, ties to the later start.
-    Spans are dealt to cells of `cell` positions, so the join has an equi key."""
-    dealt = spans.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(start) / cell), F.floor(F.col(end) / cell))))
-    rows = points.withColumns({"__row": F.monotonically_increasing_id(), "__cell": F.floor(F.col(at) / cell)})
-    met = rows.select(*keys, "__row", "__cell", at).join(dealt, [*keys, "__cell"]).where(F.col(at).between(F.col(start), F.col(end)))
-    best = best_match(met, ["__row"], F.col(end) - F.col(start), F.desc(start)).drop("__cell", at, *keys)
-    return rows.drop("__cell").join(best, "__row", "left").drop("__row")
+    A span lies in one or two cells of its own size, a power of two times `cell`, and a
+    point looks into one cell of each size that there is: an equi join, in which long
+    spans are no more rows than short ones."""
+    size = F.greatest(F.lit(0), F.ceil(F.log2((F.col(end) - F.col(start) + 1) / cell))).cast("int")
+    width = lambda level: F.lit(cell) * F.pow(F.lit(2.0), level)
+    place = lambda x, level: F.floor(x / width(level))
+    leveled = spans.withColumn("__level", size)
+    level = F.col("__level")
+    dealt = leveled.withColumn("__cell", F.explode(F.array_distinct(F.array(place(F.col(start), level), place(F.col(end), level)))))
+    # at most one number for each power of two
+    sizes = sorted(r[0] for r in leveled.select("__level").distinct().collect()) or [0]
+    rows = points.withColumn("__row", F.monotonically_increasing_id())
+    asked = rows.select(*keys, "__row", at, F.explode(F.array(*map(F.lit, sizes))).alias("__level")).withColumn("__cell", place(F.col(at), level))
+    met = asked.join(dealt, [*keys, "__level", "__cell"]).where(F.col(at).between(F.col(start), F.col(end)))
+    best = best_match(met, ["__row"], F.col(end) - F.col(start), F.desc(start)).drop("__cell", "__level", at, *keys)
+    return rows.join(best, "__row", "left").drop("__row")
 
 
 def suffix_join(paths: DataFrame, path: str, specs: DataFrame, spec: str) -> DataFrame:

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lodestone.sources.logs import JOURNAL
+from lodestone.sources.logs import JOURNAL, NAMES
 
 
 def read_stream(spark: SparkSession, folder: str, schema: str = JOURNAL) -> DataFrame:
     """New journal files of a folder, each once; the checkpoint of the sink is the watermark."""
-    return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(folder).where("id IS NOT NULL")
+    return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(folder).where("id IS NOT NULL").withColumnsRenamed(NAMES)
 
 
 def contributions(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -22,7 +22,7 @@ def contributions(events: DataFrame, late: str = "1 day") -> DataFrame:
     p = F.col("payload")
     rows = events.where("type = 'exercise_result'").withWatermark("at", late).dropDuplicatesWithinWatermark(["id"])
     return rows.select(
-        F.substring(F.sha2(F.concat_ws("|", "repositoryId", "id"), 256), 1, 24).alias("contribution_id"), "at", F.col("repositoryId").alias("repository_id"),
+        F.substring(F.sha2(F.concat_ws("|", "repository_id", "id"), 256), 1, 24).alias("contribution_id"), "at", "repository_id",
         p["exercise_id"].alias("exercise_id"), F.coalesce(p["unit_id"], p["target_unit_id"]).alias("unit_id"), F.coalesce(p["kind"], F.lit("unknown")).alias("kind"),
         p["score"].cast("double").alias("score"), (p["passed"] == "true").alias("passed"),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import learning as L
 from lodestone.functions import text as T
-from lodestone.operators import evals, extract, graph, joins, learner, search, tables, usage
+from lodestone.operators import code, evals, extract, graph, joins, learner, search, tables, usage
 from lodestone.plans import registry
 from lodestone.sources import logs, repository
 from lodestone.streaming import journal as streams
@@ -213,8 +213,84 @@ def test_extraction(spark):
     assert one(spark, extract.imports_of(F.lit(py), "python")) == ["os", "a.b"]
     assert one(spark, extract.imports_of(F.lit("import x from './a'; const y = require(\"b\")"), "typescript")) == ["./a", "b"]
     lines = extract.lines(spark.createDataFrame([("f.py", py)], "path string, text string"), "path", "text")
-    assert [(r.line, r.kind, r.name) for r in extract.symbols(lines, "path").orderBy("line").collect()] == [(4, "class", "K"), (5, "function", "run")]
-    assert [(r.line, r.callee) for r in extract.calls(lines, "path").collect()] == [(6, "go")]
+    assert [(r.line, r.kind, r.name) for r in code.symbols(lines).orderBy("line").collect()] == [(4, "class", "K"), (5, "function", "run")]
+    assert [(r.line, r.name) for r in code.call_sites(lines).collect()] == [(6, "go")]
+
+
+def test_symbol_ends(spark):
+    files = {
+        "a.py": "def f(a):\n    x = 1\n\n    return x\nclass C:\n    def g(self):\n        pass\n\n\ny = 2\n",
+        "b.ts": "export class A {\n  run() {\n  }\n}\nexport async function f(x) {\n  if (x) {\n  }\n}\nconst g = async (y) => y\nfunction h()\n{\n}\n",
+    }
+    lines = extract.lines(spark.createDataFrame(list(files.items()), "path string, text string"), "path", "text")
+    got = [(r.path, r.name, r.line, r.end) for r in code.symbols(lines).orderBy("path", "line").collect()]
+    assert got == [("a.py", "f", 1, 4), ("a.py", "C", 5, 9), ("a.py", "g", 6, 9), ("b.ts", "A", 1, 4), ("b.ts", "f", 5, 8), ("b.ts", "g", 9, 9), ("b.ts", "h", 10, 10)]
+
+
+def test_call_edges(spark):
+    lines = extract.lines(
+        spark.createDataFrame([("a.py", "from b import f\ndef g():\n    f(1)\n    g()\n    obj.k(2) if h(3) else 0\n"), ("b.py", "def f():\n    pass\ndef k():\n    pass\n"), ("c.py", "def h():\n    pass\n")], "path string, text string"),
+        "path", "text",
+    )
+    imports = code.resolve_first(code.python_imports(lines), code.module_candidates(F.col("specifier")), lines).where("target IS NOT NULL")
+    edges = code.call_edges(code.call_sites(lines), code.symbols(lines), imports.select(F.col("path").alias("src"), F.col("target").alias("dst")))
+    assert sorted((r.line, r.name, r.caller, r.callee_path, r.callee_line) for r in edges.collect()) == [(3, "f", "g", "b.py", 1), (4, "g", "g", "a.py", 2), (5, "k", "g", "b.py", 3)]
+
+
+def test_script_imports(spark):
+    files = spark.createDataFrame([(p,) for p in ("src/a.ts", "src/lib/index.ts", "src/b.tsx", "src/c.js", "x.ts")], "path string")
+    specs = [("src/a.ts", "./b.jsx", "src/b.tsx"), ("src/a.ts", "./lib", "src/lib/index.ts"), ("src/a.ts", "./c", "src/c.js"), ("src/lib/index.ts", "../a.js", "src/a.ts"), ("x.ts", "./src/none", None), ("src/a.ts", "../x", "x.ts")]
+    asked = spark.createDataFrame([s[:2] for s in specs], "path string, specifier string")
+    got = code.resolve_first(asked, code.script_candidates(F.col("path"), F.col("specifier")), files)
+    assert {(r.path, r.specifier): r.target for r in got.collect()} == {s[:2]: s[2] for s in specs}
+
+
+def test_java_and_csharp(spark):
+    java = 'package org.acme;\nimport static a.B.c;\nimport x.y.*;\n/* f(\n g( */ int k; // h(\nString s = "// no";\n'
+    assert [tuple(x) for x in one(spark, extract.java_imports(F.lit(java)))] == [("a.B.c", False), ("x.y", True)]
+    assert one(spark, extract.java_type(F.lit("src/T.java"), F.lit(java))) == "org.acme.T"
+    clean = one(spark, extract.without_comments(F.lit(java)))
+    assert len(clean) == len(java) and clean.count("\n") == java.count("\n") and "f(" not in clean and "h(" not in clean and '"// no"' in clean and "int k;" in clean
+    assert one(spark, extract.csharp_namespaces(F.lit("using A;\nnamespace X.Y\n{\n}\nnamespace Z;\n"))) == ["X.Y", "Z"]
+    assert one(spark, extract.imports_of(F.lit("import a, b.c as d\nfrom . import x\n"), "python")) == ["a", "b.c", "."]
+
+
+def test_route_declarations(spark):
+    files = {
+        "api.py": 'bp = Blueprint("x", url_prefix="/v1")\n@bp.route("/users/<int:id>")\ndef u(): pass\n@router.get("items")\n',
+        "C.java": '@RestController\n@RequestMapping("/shop")\npublic class C {\n  @GetMapping(value = "/{id}")\n  @PostMapping({"/a", "/b/"})\n  @GetMapping("/{x}")\n}\n',
+        "w.ts": 'fetch("/v1/users/1?x=2"); axios.get(`/shop/${id}`); fetch("/one"); url: "//cdn/x/y"\n',
+    }
+    lines = extract.lines(spark.createDataFrame(list(files.items()), "path string, text string"), "path", "text")
+    of = lambda p: lines.where(F.col("path") == p)
+    assert sorted((r.line, r.route, r.framework) for r in extract.python_routes(of("api.py")).collect()) == [(2, "/v1/users/{*}", "flask"), (4, "/v1/items", "fastapi")]
+    assert sorted((r.line, r.route) for r in extract.spring_routes(of("C.java")).collect()) == [(4, "/shop/{*}"), (5, "/shop/a"), (5, "/shop/b")]
+    assert sorted((r.route, r.raw) for r in extract.route_requests(of("w.ts")).collect()) == [("/shop/{*}", "/shop/${id}"), ("/v1/users/1", "/v1/users/1?x=2")]
+
+
+def test_journal_to_cost(spark, tmp_path):
+    """From the lines of a file to the month's cost, with a broken line and an unfinished one."""
+    rows = ['{"id": "1", "type": "token_usage", "at": "2026-11-03T10:00:00Z", "repositoryId": "r", "sessionId": "s", "payload": {"scene": "teach", "input_tokens": "100", "output_tokens": "7", "cache_hit_tokens": "30"}}', "{broken", '{"id": "2", "type": "token_us']
+    (tmp_path / "journal.jsonl").write_text("\n".join(rows))
+    journal = logs.read_journal(spark, str(tmp_path / "journal.jsonl"))
+    got = usage.monthly_cost(usage.token_usage(journal), F.lit(datetime(2026, 11, 20)), ["scene", "session_id"]).collect()
+    assert [(r.scene, r.session_id, r.turns, r.input_tokens, r.cache_hit_tokens, r.billed_tokens, r.output_tokens) for r in got] == [("teach", "s", 1, 100, 30, 70, 7)]
+    logs.append_events(journal, str(tmp_path / "out"), ["token_usage"])
+    assert [(r.id, r.session_id) for r in logs.read_journal(spark, str(tmp_path / "out")).collect()] == [("1", "s")]
+
+
+def test_containing_interval_of_long_spans(spark):
+    import random
+
+    r = random.Random(2)
+    spans = [(k % 3, s, s + r.choice([0, 3, 70, 5000, 90_000])) for k in range(200) for s in [r.randrange(0, 100_000)]]
+    points = [(r.randrange(3), r.randrange(0, 120_000)) for _ in range(300)]
+    got = joins.containing_interval(spark.createDataFrame(points, "f int, at long"), spark.createDataFrame(spans, "f int, start long, end long"), ["f"], "at", "start", "end")
+    want = []
+    for f, at in points:
+        held = sorted((e - s, -s) for g, s, e in spans if g == f and s <= at <= e)
+        want.append((f, at, -held[0][1] if held else None))
+    assert sorted(((r.f, r.at, r.start) for r in got.collect()), key=str) == sorted(want, key=str)
 
 
 def test_sources(spark, tmp_path):
