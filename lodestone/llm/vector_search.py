@@ -11,17 +11,23 @@ and verified on the original vectors until that test says stop.
 
 First each query searches one piece of its own cell, which gives a first d; then
 it visits the cells that its projected ball meets, and the best of all are
-merged. Every row is indexed; a cell holding very many rows (copies of one
-vector) is cut into more pieces.
+merged. The splits are fitted on a sample of SAMPLE_ROWS points or SAMPLE_PER_CELL
+for each cell, of SAMPLE_MOST at most; every vector is indexed. Beyond that number
+cells hold more pieces each, and all of them are searched.
+
+Equal vectors are searched and answered once: the k + 1 copies with the smallest
+ids stand for all, as no other copy can be among any query's k nearest, and the
+answer of a vector is handed to each of its queries, less the query itself.
 
 Ties go to the smaller vec_id; copies of one vector have equal projected
 distances up to rounding, for which the test leaves a margin.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite parts
-take no part, nor do rows of another length than the most common one or with a
-null vec_id; repeated rows of a vec_id with equal vectors count once; if there
-are fewer candidates than k, all are returned; an empty table gives no rows;
-columns other than vec_id and embedding are not read."""
+take no part, nor do rows of another length than the most common one (cosine is
+not defined between lengths) or with a null vec_id; repeated rows of a vec_id
+count once, with the smallest of their vectors; if there are fewer candidates
+than k, all are returned; an empty table gives no rows; columns other than vec_id
+and embedding are not read. Equal vectors are told by two 64-bit hashes."""
 
 from __future__ import annotations
 
@@ -29,14 +35,16 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small_or_shuffled, table
 
 DIRECTIONS = 8  # even, for the closed form of the chi-square distribution
 SURE = 0.97
 SAMPLE_ROWS = 20_000
+SAMPLE_PER_CELL = 16
+SAMPLE_MOST = 1 << 20  # points of DIRECTIONS numbers on the driver: 64 MB
 CELL_ROWS = 4096
 LEAF_ROWS = 512
 MARGIN = 1e-6
@@ -149,15 +157,14 @@ def _limit(score: float) -> float:
     return math.inf if score <= -1 else _REACH * math.sqrt(max(0.0, 2 - 2 * score)) + MARGIN
 
 
-def search(tree: KdTree, units: np.ndarray, ids: np.ndarray, q: np.ndarray, q_unit: np.ndarray, q_id: int, k: int, worst: float) -> list[tuple[float, int]]:
-    """The k best (score, vec_id) of a piece; worst: a score that k others are known to reach."""
+def search(tree: KdTree, units: np.ndarray, ids: np.ndarray, q: np.ndarray, q_unit: np.ndarray, k: int, worst: float) -> list[tuple[float, int]]:
+    """The k best (score, vec_id) of a piece; worst: a score that k vectors are known to reach."""
     best_scores, best_ids = np.empty(0), np.empty(0, np.int64)
     limit = _limit(worst)
     for bound, rows, away in tree.nearest_first(q):
         if bound > limit:
             break
         rows = rows[: np.searchsorted(away, limit, side="right")]
-        rows = rows[ids[rows] != q_id]
         scores = (units[rows] * q_unit).sum(axis=1)
         if len(best_scores) == k:
             rows, scores = rows[scores >= best_scores[-1]], scores[scores >= best_scores[-1]]
@@ -188,7 +195,7 @@ def _searched(k: int):
             tree = KdTree(points)
             for q_id, vector, point, worst in zip(asked["query_id"], asked["embedding"], asked["point"], asked["worst"]):
                 q_unit = unit(np.asarray(vector, np.float64)[None, :])[0]
-                for score, vec in search(tree, units, ids, np.asarray(point), q_unit, q_id, k, worst):
+                for score, vec in search(tree, units, ids, np.asarray(point), q_unit, k, worst):
                     out.append((q_id, vec, score))
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
@@ -201,7 +208,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows that take part: (vec_id, embedding array<double>), one for each vec_id."""
+    """Rows that take part: (vec_id, embedding array<double>)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~bad)
@@ -209,19 +216,43 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows
 
 
+def _hashes() -> list[Column]:
+    return [F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2")]
+
+
+def once(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row for each vec_id, and (vec_id, h1, h2), hashes of the vector. Where no id is repeated, only these are shuffled."""
+    keyed = cut(rows.select("vec_id", *_hashes()))
+    again = cut(keyed.groupBy("vec_id").count().where("count > 1").select("vec_id"))
+    n = again.count()
+    if not n:
+        return rows, keyed
+    again = small_or_shuffled(again, n)
+    one = rows.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    rows = rows.join(again, "vec_id", "left_anti").unionByName(one)
+    return rows, cut(rows.select("vec_id", *_hashes()))
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 5, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows where is_query holds."""
     spark = vectors.sparkSession
     rows = usable(vectors)
-    lengths = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").collect()
+    lengths = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, total = lengths[0]["n"], lengths[0]["count"]
-    rows = rows.where(F.size("embedding") == dim)
-    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, total // (SAMPLE_ROWS // 2)))) == 0).limit(SAMPLE_ROWS)
+    rows, keyed = once(rows.where(F.size("embedding") == dim))
     basis = directions(dim)
-    picked = sample.select("embedding").toPandas()["embedding"]
-    nodes = splits(project(unit(_matrix(picked)), basis), 1 << max(0, math.ceil(math.log2(total / cell_rows)))) if len(picked) else []
+    cells = 1 << max(0, math.ceil(math.log2(total / cell_rows)))
+    wanted = min(SAMPLE_MOST, max(SAMPLE_ROWS, SAMPLE_PER_CELL * cells))
+
+    def projected(frames):
+        for f in frames:
+            yield pd.DataFrame({"point": list(project(unit(_matrix(f["embedding"])), basis))})
+
+    bound = min(1.0, wanted / total) * 2.0**64 - 2.0**63
+    sample = rows.where(F.xxhash64("vec_id") <= F.lit(bound)).select("embedding").mapInPandas(projected, "point array<double>").limit(2 * wanted).toPandas()["point"]
+    nodes = splits(_matrix(sample), min(cells, 1 << max(0, (max(1, len(sample)) // SAMPLE_PER_CELL).bit_length() - 1))) if len(sample) else []
 
     def placed(frames):
         for f in frames:
@@ -230,25 +261,31 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, cell_rows: int = CELL_ROWS
             yield f[["vec_id", "embedding", "point", "cell"]]
 
     schema = "vec_id long, embedding array<double>, point array<double>, cell long"
-    indexed = rows.mapInPandas(placed, schema)
+    # where a vector has more than k + 1 copies: the last id that may be an answer
+    nth = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))
+    first_copies = keyed.withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    last = cut(first_copies.where(F.col("nth") == k + 1).select("h1", "h2", F.col("vec_id").alias("last")))
+    index = rows.mapInPandas(placed, schema).select("*", *_hashes()).join(small_or_shuffled(last, last.count()), ["h1", "h2"], "left").where(F.col("last").isNull() | (F.col("vec_id") <= F.col("last"))).drop("last")
     # pieces of a cell: as many as its rows need, dealt by hash
-    sizes = indexed.groupBy("cell").agg(F.count("*").alias("rows")).select("cell", F.expr(f"CAST(ceil(rows / {cell_rows}) AS INT)").alias("pieces"))
+    index = cut(index)
+    sizes = index.groupBy("cell").agg(F.count("*").alias("rows")).select("cell", F.expr(f"CAST(ceil(rows / {cell_rows}) AS INT)").alias("pieces"))
     pieces = cut(sizes)
-    index = cut(
-        indexed.join(pieces, "cell").withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int")).drop("pieces")
-        .dropDuplicates(["vec_id", "cell"])
-    )
-    queries = index.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding", "point", "cell", "piece")
+    pieces = small_or_shuffled(pieces, pieces.count())
+    piece = F.pmod(F.xxhash64("vec_id"), F.coalesce("pieces", F.lit(1))).cast("int")
+    index = index.join(pieces, "cell").withColumn("piece", piece).drop("pieces", "h1", "h2")
+    asked = keyed.where(is_query)
+    leads = cut(asked.groupBy("h1", "h2").agg(F.min("vec_id").alias("query_id")))
+    found = rows.join(small_or_shuffled(leads.select(F.col("query_id").alias("vec_id")), leads.count()), "vec_id", "left_semi")
+    queries = cut(found.mapInPandas(placed, schema).join(pieces, "cell", "left").withColumn("piece", piece).drop("pieces").withColumnRenamed("vec_id", "query_id"))
     kind = "query_id long, vec_id long, score double"
+    n = k + 1  # a query's own vector is among its nearest
 
-    def visited(asked: DataFrame) -> DataFrame:
-        return index.groupBy("cell", "piece").cogroup(asked.groupBy("cell", "piece")).applyInPandas(_searched(k), kind)
+    def visited(to: DataFrame) -> DataFrame:
+        return index.groupBy("cell", "piece").cogroup(to.groupBy("cell", "piece")).applyInPandas(_searched(n), kind)
 
     first = visited(queries.withColumn("worst", F.lit(-2.0)))
-    bound = cut(_best(first, k).groupBy("query_id").agg(F.min("score").alias("worst"), F.count("*").alias("n")))
-    known = queries.join(bound, "query_id", "left").withColumn(
-        "worst", F.when(F.col("n") == k, F.col("worst")).otherwise(F.lit(-2.0))
-    )
+    reached = cut(_best(first, n).groupBy("query_id").agg(F.min("score").alias("worst"), F.count("*").alias("n")))
+    known = queries.join(reached, "query_id", "left").withColumn("worst", F.when(F.col("n") == n, F.col("worst")).otherwise(F.lit(-2.0)))
 
     def routed(frames):
         for f in frames:
@@ -264,7 +301,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, cell_rows: int = CELL_ROWS
     visits = to.withColumn("cell", F.explode("cell")).join(pieces, "cell").withColumn(
         "piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
     )
-    return _best(visited(visits.drop("pieces")), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = _best(visited(visits.drop("pieces")), n).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("best"))
+    # a vector's answer for each of its queries
+    answers = cut(leads.join(best, "query_id").drop("query_id"))
+    handed = asked.withColumnRenamed("vec_id", "query_id").join(small_or_shuffled(answers, answers.count(), 100_000), ["h1", "h2"])
+    others = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    return handed.select("query_id", F.posexplode(others).alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
 
 
 def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,24 @@ def test_vector_search_odd_rows(spark):
     assert searched(df.limit(0), F.col("vec_id") == 0) == {}
 
 
+def test_vector_search_hot_vector_and_repeated_ids(spark):
+    """A third of all rows are one vector; some ids come with two vectors."""
+    g = np.random.default_rng(8)
+    vectors = np.concatenate([np.tile(g.normal(size=16), (1000, 1)), g.normal(size=(2000, 16))])[g.permutation(3000)]
+    rows = [(int(i), v.tolist()) for i, v in enumerate(vectors)]
+    rows += [(int(i), (vectors[i] + 1).tolist()) for i in range(0, 3000, 100)]
+    smallest = {i: min(v for j, v in rows if j == i) for i in range(0, 3000, 100)}
+    held = np.array([smallest.get(i, v.tolist()) for i, v in enumerate(vectors)])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = searched(df, F.col("vec_id") % 20 == 0, cell_rows=200)
+    want = exact(np.arange(3000), held, set(range(0, 3000, 20)), 5)
+    assert got.keys() == want.keys()
+    assert np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) >= 0.9
+    hot = {i for i, v in enumerate(held) if (held == v).all(axis=1).sum() > 5}
+    assert len(hot & want.keys()) > 20 and all(got[q] == want[q] for q in hot & want.keys())
+    assert got == searched(df.repartition(3), F.col("vec_id") % 20 == 0, cell_rows=200)
+
+
 def test_chi_square():
     sample = (np.random.default_rng(0).standard_normal((200_000, vector_search.DIRECTIONS)) ** 2).sum(axis=1)
     for p in (0.5, 0.9, 0.97):
