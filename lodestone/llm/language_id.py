@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, map_batches, table
+from .common import held_out, map_batches, small_or_shuffled, table
 
 ORDER = 3
 TRAIN_DOCS = 400
@@ -149,9 +149,13 @@ def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    few = [(r.doc_id, r.lang) for r in ids.withColumn("rank", rank).where(F.col("rank") <= train_docs).collect()]
+    ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang", F.xxhash64("doc_id").alias("hash"))
+    # hashes below a bound that some four times as many meet: only these are ranked, whatever a language's size
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    bound = F.least(F.lit(1.0), F.lit(4.0 * train_docs) / F.col("n")) * 2.0**64 - 2.0**63
+    near = ids.join(small_or_shuffled(counts, counts.count()), "lang").where((F.col("n") <= 4 * train_docs) | (F.col("hash") <= bound))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
+    few = [(r.doc_id, r.lang) for r in near.withColumn("rank", rank).where(F.col("rank") <= train_docs).select("doc_id", "lang").collect()]
     chosen = docs.sparkSession.createDataFrame(few or [(None, None)], "doc_id long, lang string")
     texts = docs.where(F.octet_length("text").between(1, TRAIN_BYTES)).join(F.broadcast(chosen), ["doc_id", "lang"])
     samples: dict[str, list[bytes]] = {}
