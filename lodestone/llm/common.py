@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -45,14 +46,15 @@ def words_of(text: bytes) -> list[bytes]:
 
 def cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder of ``spark.checkpoint.dir``: lineage ends
-    here, and a lost executor costs no recomputation beyond it. A folder of our
-    own is set only where the cluster names none (local tests)."""
+    here, and a lost executor costs no recomputation beyond it. Where none is named,
+    a folder of our own will do only if all runs in this one process."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestone-checkpoint-")
-        )
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
     return df.checkpoint(eager=True)
 
 

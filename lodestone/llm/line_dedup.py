@@ -6,13 +6,16 @@ per partition decides which lines stay. A hash with very many rows spreads over
 several ranges, since the document is part of the range key; what such a
 partition can't see is told it by the first and last hash of the other
 partitions: two rows per partition, whatever the data. The result is a
-compressed bitmap of kept lines per document, not text.
+compressed bitmap of kept lines per document, not text. Bitmaps go to the
+documents: by broadcast if they are counted few and small, else by a shuffle.
 
 Defined cases: null or empty text is one empty line, which stays; repeated
 lines within one document count as one document; rows with a null doc_id keep
-all their lines and are no evidence against others; a doc_id is taken to
-identify its text, so repeated rows of a document share one bitmap; an empty
-table gives no rows; other columns are never read."""
+all their lines and are no evidence against others; rows that share a doc_id
+are one document for counting and for the largest doc_id, whose rows all keep
+the line, but each different text has a bitmap of its own; long texts give a
+row per line, never one of all lines; an empty table gives no rows; other
+columns are never read."""
 
 from __future__ import annotations
 
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, map_batches, table, utf8
@@ -31,7 +34,9 @@ MIN_CHARS = 20
 MIN_DOCS = 3
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
-_ROWS = "hi long, lo long, doc_id long, pos int"
+_ROWS = "hi long, lo long, doc_id long, pos int, text_hash long"
+#: Bitmaps that may be broadcast, by number and bytes.
+BROADCAST_BITMAPS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def _key(line: bytes) -> bytes:
@@ -40,9 +45,9 @@ def _key(line: bytes) -> bytes:
 
 def _line_rows(min_chars: int):
     def rows(batch: pa.RecordBatch) -> dict:
-        digests, docs, places = [], [], []
+        digests, docs, places, whole = [], [], [], []
         digest = xxhash.xxh3_128_digest
-        for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+        for doc, text, text_hash in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
             if doc is None:
                 continue
             for pos, line in enumerate(text.split(b"\n")):
@@ -53,8 +58,9 @@ def _line_rows(min_chars: int):
                         digests.append(digest(key))
                         docs.append(doc)
                         places.append(pos)
+                        whole.append(text_hash)
         pair = np.frombuffer(b"".join(digests), dtype=">i8").reshape(-1, 2).astype(np.int64)
-        return {"hi": pair[:, 0], "lo": pair[:, 1], "doc_id": np.array(docs, np.int64), "pos": np.array(places, np.int32)}
+        return {"hi": pair[:, 0], "lo": pair[:, 1], "doc_id": np.array(docs, np.int64), "pos": np.array(places, np.int32), "text_hash": np.array(whole, np.int64)}
 
     return rows
 
@@ -96,15 +102,14 @@ def _edge_frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stream(edges: dict[tuple[int, int], tuple[int, int]], min_docs: int):
-    """Emits the (document, position) of dropped lines. Per hash it holds the
+    """Emits the (document, text, position) of dropped lines. Per hash it holds the
     positions of the documents seen before the min_docs-th, and nothing after."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, keep, distinct, doc_now, waiting = None, None, 0, None, []
         for batch in batches:
-            out_doc: list[np.ndarray] = []
-            out_pos: list[np.ndarray] = []
-            hi, lo, doc, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            out: list[tuple[np.ndarray, ...]] = []
+            hi, lo, doc, pos, text = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             if not len(hi):
                 continue
             starts = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])
@@ -118,24 +123,18 @@ def _stream(edges: dict[tuple[int, int], tuple[int, int]], min_docs: int):
                     keep = known[1] if known else int(doc[s])
                     if known:
                         distinct = min_docs if known[0] >= min_docs else -(1 << 62)
-                d, p = doc[s:e], pos[s:e]
+                d, p, t = doc[s:e], pos[s:e], text[s:e]
                 fresh = np.r_[d[0] != doc_now, d[1:] != d[:-1]]
                 distinct, doc_now = distinct + int(fresh.sum()), d[-1]
                 drop = d != keep
                 if distinct >= min_docs:
-                    for wd, wp in waiting:
-                        out_doc.append(wd)
-                        out_pos.append(wp)
+                    out += [*waiting, (d[drop], t[drop], p[drop])]
                     waiting = []
-                    out_doc.append(d[drop])
-                    out_pos.append(p[drop])
                 elif distinct > 0 and drop.any():
-                    waiting.append((d[drop], p[drop]))
-            if out_doc:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out_doc), pa.int64()), pa.array(np.concatenate(out_pos), pa.int32())],
-                    names=["doc_id", "pos"],
-                )
+                    waiting.append((d[drop], t[drop], p[drop]))
+            if out:
+                columns = [np.concatenate(c) for c in zip(*out)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "text_hash", "pos"])
 
     return run
 
@@ -143,18 +142,22 @@ def _stream(edges: dict[tuple[int, int], tuple[int, int]], min_docs: int):
 def _bitmap(batch: pa.RecordBatch) -> dict:
     """zlib-compressed bits, one a line up to the last dropped one; bits past the end mean kept."""
     bitmaps, dropped = [], []
-    for places in batch.column(1).to_pylist():
+    for places in batch.column(2).to_pylist():
         bits = np.ones(max(places) // 8 * 8 + 8, np.uint8)  # whole bytes: the padding means kept, too
         bits[np.array(places)] = 0
         bitmaps.append(zlib.compress(np.packbits(bits).tobytes()))
         dropped.append(int(len(bits) - bits.sum()))
-    return {"doc_id": batch.column(0), "bitmap": bitmaps, "n_dropped": dropped}
+    return {"doc_id": batch.column(0), "text_hash": batch.column(1), "bitmap": bitmaps, "n_dropped": dropped}
+
+
+def _text_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["text"])
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, bitmap, n_dropped) for each document that loses lines."""
+    """(doc_id, text_hash, bitmap, n_dropped) for each document, and text of it, that loses lines."""
     spark = docs.sparkSession
-    rows = map_batches(docs.select(F.col("doc_id").cast("long"), "text"), _line_rows(min_chars), _ROWS)
+    rows = map_batches(docs.select(F.col("doc_id").cast("long"), "text", _text_hash(docs).alias("text_hash")), _line_rows(min_chars), _ROWS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(
         rows.repartitionByRange(parts, "hi", "lo", F.desc("doc_id")).sortWithinPartitions("hi", "lo", F.desc("doc_id"), "pos")
@@ -167,9 +170,18 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
         e[0] += r.docs - (e[2] == r.first_doc)
         e[1], e[2] = max(e[1], r.first_doc), r.last_doc
     known = {k: (v[0], v[1]) for k, v in edges.items()}
-    dropped = ranged.mapInArrow(_stream(known, min_docs), "doc_id long, pos int")
-    grouped = dropped.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
-    return map_batches(grouped, _bitmap, "doc_id long, bitmap binary, n_dropped long", "places")
+    dropped = ranged.mapInArrow(_stream(known, min_docs), "doc_id long, text_hash long, pos int")
+    grouped = dropped.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("places"))
+    return map_batches(grouped, _bitmap, "doc_id long, text_hash long, bitmap binary, n_dropped long", "places")
+
+
+def _with_bitmaps(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """docs with `__bitmap`, null where no line is dropped. Without a shuffle of texts where the bitmaps are small."""
+    maps = cut(keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash"), F.col("bitmap").alias("__bitmap")))
+    n, size = maps.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("__bitmap")), F.lit(0))).first()
+    maps = F.broadcast(maps) if n <= BROADCAST_BITMAPS and size <= BROADCAST_BYTES else maps
+    same = (docs["doc_id"].cast("long") == F.col("__doc_id")) & (_text_hash(docs) == F.col("__text_hash"))
+    return docs.join(maps, same, "left").drop("__doc_id", "__text_hash")
 
 
 def _kept(lines: list[bytes], bitmap: bytes | None) -> list[bytes]:
@@ -193,8 +205,7 @@ def _apply(batch: pa.RecordBatch) -> dict:
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept binary): each document with its kept lines joined again."""
-    maps = keep_bitmaps(docs, min_chars, min_docs)
-    joined = docs.select(F.col("doc_id").cast("long"), "text").join(maps.select("doc_id", "bitmap"), "doc_id", "left")
+    joined = _with_bitmaps(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_chars, min_docs)
     return map_batches(joined, _apply, "doc_id long, n_lines long, n_dropped long, kept binary")
 
 
@@ -218,8 +229,7 @@ def _replace(names: list[str]):
 
 def dedup_documents(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents without their dropped lines, with all their columns."""
-    maps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("__doc_id"), F.col("bitmap").alias("__bitmap"))
-    joined = docs.join(maps, docs["doc_id"] == maps["__doc_id"], "left").drop("__doc_id")
+    joined = _with_bitmaps(docs, min_chars, min_docs)
     return map_batches(joined, _replace(joined.columns), docs.schema)
 
 
