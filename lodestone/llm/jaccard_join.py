@@ -19,11 +19,14 @@ bound reaches the needed overlap are opened and compared member by member.
    of these links are the groups. This joins nearly all there is to join.
 4. Second matrix, of groups: tokens held by two groups or more are counted per
    class, and only classes with the needed overlap with other groups' unions are
-   left. Each looks up its rarest tokens, by exact frequency, in the matrix of
-   the groups' prefixes; where the bound on the overlap qualifies, the group is
-   opened. Its members stand in blocks of BLOCK_TOKENS, and a query visits each
-   block once: one lookup of its tokens counts its overlap with all members. As
-   the members are connected already, one link a block is enough.
+   left. Classes that no leader linked share a column with those of their largest
+   minhash bucket, so a cloud of texts just below the threshold is a few columns
+   and not one for each. Each class looks up its rarest tokens, by exact
+   frequency, in the matrix of the columns' prefixes; where the bound on the
+   overlap qualifies, the column is opened. Its members stand in blocks of
+   BLOCK_TOKENS, and a query visits each block once: one lookup of its tokens
+   counts its overlap with all members. As the members of a group are connected
+   already, one link a group is enough.
 
 Hashes have 64 bits; two shingles of one comparison collide with a chance of
 about 1e-13, which is the only inexactness.
@@ -57,14 +60,14 @@ MINHASHES = 8
 AGREEING = 3
 #: Tokens of a range of hashes, and of a task's load, that are handled together.
 RANGE_TOKENS = 1 << 19
-LOAD_TOKENS = 1 << 20
+LOAD_TOKENS = 1 << 19
 #: Tokens of a block of group members, and members that a leader meets under one key.
 BLOCK_TOKENS = 1 << 17
 LED = 512
 #: Bytes of text whose words are hashed together; words above LONG_WORD bytes are hashed singly.
-STRETCH = 1 << 19
+STRETCH = 1 << 18
 LONG_WORD = 64
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(9).integers(1, 2**63, (2, MINHASHES), dtype=np.uint64) | np.uint64(1)
@@ -297,7 +300,7 @@ def _met_elsewhere(sets: DataFrame, tokens: int, whole: bool = True, own: bool =
     """Sets (d, g, tokens) of classes d in groups g, of so many tokens together -> (d, met):
     tokens of a class that another group has, or more where copies of a class lie in several loads."""
     ranges = max(1, -(-tokens // RANGE_TOKENS))
-    shares = max(1, -(-tokens // (4 * RANGE_TOKENS)))
+    shares = max(1, -(-tokens // (2 * RANGE_TOKENS)))
     rows = sets.select("d", "g", "tokens").mapInArrow(_packed(ranges, whole, own), "range int, k binary, g binary, d binary")
     # what loads have counted themselves is spread by their number, not gathered in one group
     dealt = rows.withColumn("part", F.when(F.col("range") < 0, F.spark_partition_id()).otherwise(0))
@@ -313,53 +316,64 @@ def _sets(batch: pa.RecordBatch) -> dict:
     return out | {"tokens": _binary(*shingle_sets(batch.column(names.index("text"))))}
 
 
-def _block(ids: list[np.ndarray], tokens: list[np.ndarray], sizes: list[np.ndarray]):
-    """(ids, sizes, tokens in order, the member of each) of a block."""
+def _block(ids: list[np.ndarray], groups: list[np.ndarray], tokens: list[np.ndarray], sizes: list[np.ndarray]):
+    """(ids, sizes, tokens in order, the member of each; its groups, the group of each member, labels of the
+    groups) of a block. Groups that a query has connected get one label."""
     ids, t, n = np.concatenate(ids), np.concatenate(tokens), np.concatenate(sizes)
     order = np.argsort(t, kind="stable")
-    return ids, n, t[order], np.repeat(np.arange(len(ids)), n)[order]
+    names, of = np.unique(np.concatenate(groups), return_inverse=True)
+    return ids, n, t[order], np.repeat(np.arange(len(ids)), n)[order], names, of, np.arange(len(names))
 
 
-def _links(block, ids: np.ndarray, tokens: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first link of each query into the block, if it has one."""
-    members, sizes, held, whose = block
+def _links(block, ids: np.ndarray, groups: np.ndarray, tokens: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of queries with members of other groups, as many as connect what all of them connect."""
+    members, sizes, held, whose, names, of, labels = block
     lo, hi = np.searchsorted(held, tokens, "left"), np.searchsorted(held, tokens, "right")
-    n = hi - lo
-    # every place where a query's token stands in the block, as (query, member)
-    places = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-    query = np.repeat(np.repeat(np.arange(len(ids)), np.diff(edges)), n)
-    pairs, both = np.unique(query * len(members) + whose[places], return_counts=True)
-    q, m = pairs // len(members), pairs % len(members)
-    good = (100 * both >= THRESHOLD * (np.diff(edges)[q] + sizes[m] - both)) & (ids[q] != members[m])
-    q, at = np.unique(q[good], return_index=True)
-    return ids[q], members[m[good][at]]
+    n, lengths = hi - lo, np.diff(edges)
+    found = [np.empty((2, 0), np.int64)]
+    if len(members) == 1:
+        both = np.diff(np.r_[0, np.cumsum(n)][edges])
+        good = (100 * both >= THRESHOLD * (lengths + sizes[0] - both)) & (groups != names[0])
+        found.append(np.stack([ids[good], np.full(good.sum(), members[0])]))
+    else:
+        for q, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+            m = n[a:b]
+            # the places in the block of this query's tokens, at most the block's own number of tokens
+            places = np.repeat(lo[a:b] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum()) if b > a else np.empty(0, np.int64)
+            both = np.bincount(whose[places], minlength=len(members))
+            good = np.flatnonzero(100 * both >= THRESHOLD * (lengths[q] + sizes - both))
+            if not len(good):
+                continue
+            met, first = np.unique(labels[of[good]], return_index=True)
+            at = np.searchsorted(names, groups[q])
+            own = labels[at] if at < len(names) and names[at] == groups[q] else -1
+            new = first[met != own]
+            if len(new):
+                found.append(np.stack([np.full(len(new), ids[q]), members[good[new]]]))
+                labels[np.isin(labels, met)] = own if own >= 0 else met[0]
+    out = np.concatenate(found, axis=1)
+    return out[0], out[1]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (g, part, query, id, tokens) sorted by the first three: a block's members, then its queries."""
-    key, parts, block = None, ([], [], []), None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        g, part, query, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        tokens, edges = _values(batch.column(4))
+    """Rows (g, part, query, id, of, tokens) sorted by the first three: a block's members, then its queries."""
+    key, parts, block = None, ([], [], [], []), None
+    for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+        g, part, query, ids, of = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        tokens, edges = _values(batch.column(5))
         cuts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (part[1:] != part[:-1]) | (query[1:] != query[:-1]), True])
         found = []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if (g[a], part[a]) != key:
-                key, parts, block = (g[a], part[a]), ([], [], []), None
+                key, parts, block = (g[a], part[a]), ([], [], [], []), None
             if not query[a]:
-                for kept, new in zip(parts, (ids[a:b], tokens[edges[a] : edges[b]], np.diff(edges[a : b + 1]))):
+                for kept, new in zip(parts, (ids[a:b], of[a:b], tokens[edges[a] : edges[b]], np.diff(edges[a : b + 1]))):
                     kept.append(new)
                 continue
             if block is None and parts[0]:
                 block = _block(*parts)
             if block is not None:
-                # queries of about a block's size together
-                step = max(1, (b - a) * BLOCK_TOKENS // max(BLOCK_TOKENS, int(edges[b] - edges[a])))
-                for at in range(a, b, step):
-                    to = min(b, at + step)
-                    found.append(_links(block, ids[at:to], tokens[edges[at] : edges[to]], edges[at : to + 1] - edges[at]))
+                found.append(_links(block, ids[a:b], of[a:b], tokens[edges[a] : edges[b]], edges[a : b + 1] - edges[a]))
         if found:
             x, y = (np.concatenate(z) for z in zip(*found))
             if len(x):
@@ -367,10 +381,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links_into(blocks: DataFrame, queries: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): for each query id of (g, part, id) one linked member b of the block (g, part),
-    whose members are in blocks (g, part, id). Sets (id, tokens) go to the blocks; nothing is paired by rows."""
-    rows = blocks.select("g", "part", F.lit(0).alias("query"), "id").unionByName(queries.select("g", "part", F.lit(1).alias("query"), "id"))
-    held = rows.join(sets.select("id", "tokens"), "id").select("g", "part", "query", "id", "tokens")
+    """(a, b): links of queries a of (g, part, id, of) with members b of the block (g, part) in other
+    groups `of`; of links that connect the same groups some, and at most as many as queries and
+    members. Sets (id, tokens) go to the blocks; nothing is paired by rows."""
+    columns = ("g", "part", "query", "id", "of")
+    rows = blocks.withColumn("query", F.lit(0)).select(*columns).unionByName(queries.withColumn("query", F.lit(1)).select(*columns))
+    held = rows.join(sets.select("id", "tokens"), "id").select(*columns, "tokens")
     return held.repartition("g", "part").sortWithinPartitions("g", "part", "query").mapInArrow(_compare, "a long, b long")
 
 
@@ -378,34 +394,30 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of a leader a and a class b whose sets (id, tokens) are linked, as
     (b, a). A leader of many stands in several blocks of its own."""
     pairs = cut(pairs)
-    led = pairs.groupBy("a").agg(F.ceil(F.count("*") / LED).cast("int").alias("parts")).where("parts > 1")
     # at most one in LED pairs is here
-    hot = cut(led)
-    dealt = pairs.join(small_or_shuffled(hot, hot.count()), "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    queries = cut(dealt.select(F.col("a").alias("g"), F.expr("pmod(xxhash64(b), parts)").cast("int").alias("part"), F.col("b").alias("id")))
-    blocks = queries.select("g", "part", F.col("g").alias("id")).distinct()
+    led = pairs.groupBy("a").agg(F.ceil(F.count("*") / LED).cast("int").alias("parts")).where("parts > 1")
+    dealt = pairs.join(led, "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    queries = cut(dealt.select(F.col("a").alias("g"), F.expr("pmod(xxhash64(b), parts)").cast("int").alias("part"), F.col("b").alias("id"), F.col("b").alias("of")))
+    blocks = queries.select("g", "part", F.col("g").alias("id"), F.col("g").alias("of")).distinct()
     return links_into(blocks, queries, sets)
 
 
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(id, key): the minhash buckets of classes (id, low), each under one number."""
+    return classes.select("id", F.posexplode("low").alias("i", "value")).select("id", F.xxhash64("i", "value").alias("key"))
+
+
 def leader_pairs(classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes (id, low) that agree in AGREEING minhashes, where a leads a
     bucket that b is in. The class whose buckets are the largest leads: the text that
     the others are copies of, rather than one of its copies."""
-    keys = classes.select("id", F.posexplode("low").alias("i", "key"))
-    sizes = keys.groupBy("i", "key").agg(F.count("*").alias("size")).where("size > 1")
+    keys = _buckets(classes)
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     # a class is gathered once, with its few buckets, rather than joined with itself
-    held = keys.join(sizes, ["i", "key"]).groupBy("id").agg((-F.sum("size")).alias("order"), F.collect_list(F.struct("i", "key")).alias("at"))
-    shared = cut(held.join(classes.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).select("id", "order", "low", F.inline("at")))
-    leads = shared.groupBy("i", "key").agg(F.min(F.struct("order", "id", "low")).alias("lead"), F.count("*").alias("size"))
-    # buckets of many, of which at most one in LED rows has one, go to the rows; the others' rows to the buckets
-    hot = cut(leads.where(F.col("size") > LED).drop("size"))
-    many = hot.count()
-    met = shared.join(leads.where(F.col("size") <= LED).drop("size"), ["i", "key"])
-    if many:
-        small = small_or_shuffled(hot, many)
-        cold = shared.join(small.select("i", "key"), ["i", "key"], "left_anti").join(leads.where(F.col("size") <= LED).drop("size"), ["i", "key"])
-        met = cold.unionByName(shared.join(small, ["i", "key"]))
-    met = met.where("id <> lead.id")
+    held = keys.join(sizes, "key").groupBy("id").agg((-F.sum("size")).alias("order"), F.collect_list("key").alias("at"))
+    shared = cut(held.join(classes.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).select("id", "order", "low", F.explode("at").alias("key")))
+    leads = shared.groupBy("key").agg(F.min(F.struct("order", "id", "low")).alias("lead"))
+    met = shared.join(leads, "key").where("id <> lead.id")
     agree = F.size(F.filter(F.zip_with("low", "lead.low", lambda x, y: x == y), lambda same: same))
     return met.where(agree >= AGREEING).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
 
@@ -440,39 +452,51 @@ def _token_rows(batch: pa.RecordBatch) -> dict | None:
     return {"id": np.repeat(ids, sizes), "g": np.repeat(groups, sizes), "token": np.concatenate(sets), "n": np.repeat(sizes, sizes)}
 
 
-def _residual(sets: DataFrame) -> DataFrame:
-    """Links (a, b) between classes of different groups; sets (id, g, tokens)."""
+def _blocked(members: DataFrame) -> DataFrame:
+    """members (id, g, alone, low) -> (id, g, alone, b): the column of the matrix for each class. Members of a
+    group share one; classes that are a group alone share one with those of their largest minhash bucket."""
+    keys = _buckets(members.where("alone"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    largest = keys.join(sizes, "key").groupBy("id").agg(F.max(F.struct("size", "key")).alias("at"))
+    return members.join(largest, "id", "left").select("id", "g", "alone", F.coalesce("at.key", F.xxhash64(F.lit("group"), "g")).alias("b"))
+
+
+def _residual(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (a, b) between classes of different groups; sets (id, g, tokens), members (id, g, alone, low)."""
     sets = cut(sets)
-    # tokens of each set by how many groups have them, the rarest first
+    placed = cut(_blocked(members.join(sets.select("id"), "id")))
+    # tokens of each set by how many classes have them, the rarest first
     rows = map_batches(sets, _token_rows, "id long, g long, token long, n int", "tokens")
     often = rows.select("token", "g").distinct().groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     order = Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "token")
     ranked = rows.join(often, "token", "left").withColumn("rank", F.row_number().over(order))
     # of a linked pair with 7 * overlap >= 3 * (n + m) and n >= m, the first common token
     # stands in this prefix of the larger set ...
-    probe = cut(ranked.where(f"rank <= n - ceil(n * {THRESHOLD} / 100) + 1 AND df > 1").select("id", "g", "token", "rank", "n"))
+    near = ranked.where(f"rank <= n - ceil(n * {THRESHOLD} / 100) + 1 AND df > 1").select("id", "token", "rank", "n")
+    probe = cut(near.join(placed.select("id", "b", "alone"), "id"))
     # ... and in a shorter one of the smaller set; the matrix holds what a group can offer behind the token
     both = 2 * THRESHOLD / (100 + THRESHOLD)
     matrix = (
         probe.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * both - 1e-9) + 1)
-        .groupBy("token", "g")
+        .groupBy("token", "b")
         .agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("rank")).alias("behind"))
     )
     bound = 1 + F.least(F.col("n") - F.col("rank"), F.col("behind"))
     qualifies = (100 + THRESHOLD) * bound >= THRESHOLD * (F.col("n") + F.col("least"))
     opened = (
-        probe.withColumnRenamed("g", "own")
+        probe.withColumnRenamed("b", "own")
         .join(matrix, "token")
-        .where((F.col("own") != F.col("g")) & (F.col("n") >= F.col("least")) & qualifies)
+        # a group's own members are connected already; classes alone share their block with others
+        .where((F.col("alone") | (F.col("own") != F.col("b"))) & (F.col("n") >= F.col("least")) & qualifies)
     )
-    opened = cut(opened.select("id", "g").distinct())
-    if opened.isEmpty():
-        return opened.select(F.col("id").alias("a"), F.col("g").alias("b"))
-    sizes = sets.groupBy("g").agg(F.ceil(F.sum(F.octet_length("tokens") / 8) / BLOCK_TOKENS).cast("int").alias("parts"))
-    parts = cut(sizes.join(opened.select("g").distinct(), "g"))
-    parts = small_or_shuffled(parts, parts.count())
-    blocks = sets.join(parts, "g").select("g", F.expr("pmod(xxhash64(id), parts)").cast("int").alias("part"), "id")
-    queries = opened.join(parts, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id")
+    opened = cut(opened.select("id", "b").distinct())
+    held = sets.select("id", "g", F.octet_length("tokens").alias("size")).join(placed.select("id", "b"), "id")
+    sizes = held.groupBy("b").agg(F.ceil(F.sum(F.col("size") / 8) / BLOCK_TOKENS).cast("int").alias("parts"))
+    parts = sizes.join(opened.select("b").distinct(), "b")
+    block = F.col("b").alias("g")
+    blocks = held.withColumnRenamed("g", "of").join(parts, "b").select(block, F.expr("pmod(xxhash64(id), parts)").cast("int").alias("part"), "id", "of")
+    asked = opened.join(sets.select("id", F.col("g").alias("of")), "id").join(parts, "b")
+    queries = asked.select(block, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "of")
     return links_into(blocks, queries, sets)
 
 
@@ -500,8 +524,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = connected_components(links)
 
     # 4. what may still link one group with another
-    members = open_classes.select("id", "n").dropDuplicates(["id"]).join(groups, "id", "left")
-    more = cut(_residual(narrowed(opened, members.select("id", F.coalesce("component", "id").alias("g"), "n"))))
+    known_groups = open_classes.dropDuplicates(["id"]).join(groups, "id", "left")
+    members = known_groups.select("id", F.coalesce("component", "id").alias("g"), "n", F.col("component").isNull().alias("alone"), "low")
+    more = cut(_residual(narrowed(opened, members.select("id", "g", "n")), members.drop("n")))
     if not more.isEmpty():
         groups = connected_components(links.unionByName(more))
 

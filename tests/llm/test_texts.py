@@ -46,6 +46,8 @@ def dedup_cases():
     docs += [(20 + k, "\n".join([f"only in {k} documents of this kind", *["y" * 25] * 9])) for k in range(3)]
     docs += [(100 + k, "A hot line that is found in very many documents\n" + prose(k, 30)) for k in range(300)]
     docs += [(500, "\n".join(prose(k, 8) for k in range(20_000)))]
+    twice = "Another line that is long enough to count"
+    docs += [(600, f"{twice}\na"), (600, f"b\n{twice}"), (601, twice), (602, f"x\n{twice}"), (602, f"{twice}\ny"), (602, None)]
     return docs
 
 
