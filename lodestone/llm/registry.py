@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_format import OP5_SQL, op5_chat_formatting
 from .decontamination import op6_benchmark_decontamination
+from .fill_middle import OP12_SQL, op12_fill_in_middle
 from .jaccard_join import op9_ngram_jaccard_join
 from .language_id import op4_language_id
 from .licenses import op3_license_scan
@@ -26,10 +27,11 @@ _QUERIES = {
         op8_quality_classifier,
         op9_ngram_jaccard_join,
         op10_vector_search,
+        op12_fill_in_middle,
     )
 }
 
-_SQL = {"op2_source_mixing": OP2_SQL, "op5_chat_formatting": OP5_SQL}
+_SQL = {"op2_source_mixing": OP2_SQL, "op5_chat_formatting": OP5_SQL, "op12_fill_in_middle": OP12_SQL}
 
 
 def queries() -> dict:
