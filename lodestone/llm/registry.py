@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op13_byte_pair_encoding
 from .chat_format import OP5_SQL, op5_chat_formatting
 from .decontamination import op6_benchmark_decontamination
 from .fill_middle import OP12_SQL, op12_fill_in_middle
@@ -28,6 +29,7 @@ _QUERIES = {
         op9_ngram_jaccard_join,
         op10_vector_search,
         op12_fill_in_middle,
+        op13_byte_pair_encoding,
     )
 }
 
