@@ -12,6 +12,7 @@ from .licenses import op3_license_scan
 from .line_dedup import op7_line_dedup
 from .mixing import OP2_SQL, op2_source_mixing
 from .quality import op8_quality_classifier
+from .repair import OP11_SQL, op11_structure_repair
 from .secrets import op1_secret_scan
 from .vector_search import op10_vector_search
 
@@ -28,12 +29,13 @@ _QUERIES = {
         op8_quality_classifier,
         op9_ngram_jaccard_join,
         op10_vector_search,
+        op11_structure_repair,
         op12_fill_in_middle,
         op13_byte_pair_encoding,
     )
 }
 
-_SQL = {"op2_source_mixing": OP2_SQL, "op5_chat_formatting": OP5_SQL, "op12_fill_in_middle": OP12_SQL}
+_SQL = {"op2_source_mixing": OP2_SQL, "op5_chat_formatting": OP5_SQL, "op11_structure_repair": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
 
 
 def queries() -> dict:
