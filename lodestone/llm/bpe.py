@@ -4,7 +4,7 @@ A text is split into words in Spark, by the pattern that comes before the merges
 after the added tokens have been cut out. Words repeat, merges never cross them:
 so each distinct word is encoded once and its ids go back to every place.
 
-1. The words of a sample of documents (SAMPLE: one in 16, chosen by hash) are
+1. The words of a sample of documents (SAMPLE: one in 4, chosen by hash) are
    counted, and the COMMON_WORDS most frequent, of up to COMMON_BYTES bytes,
    encoded. This table has a fixed size and is broadcast. Which words are in it
    changes the speed only.
@@ -42,10 +42,12 @@ from .common import map_batches, table
 
 #: The split of byte-level files, a fixed value; (?U): classes by Unicode.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SAMPLE = 16
-COMMON_WORDS, COMMON_BYTES = 500_000, 64
+SAMPLE = 4
+COMMON_WORDS, COMMON_BYTES = 1_000_000, 32
+#: Words that the library encodes at a time; it makes a large object of each.
+AT_ONCE = 10_000
 
-_PROBED = "doc_id long, hi long, lo long, found struct<packed:binary,missing:array<struct<pos:int,word:string>>>"
+_PROBED = "doc_id long, hi long, lo long, found binary"
 
 
 def load(path: str) -> str:
@@ -99,8 +101,9 @@ def split_by_library(t, added: list[str], text: str) -> list[str]:
 
 
 def _ids_of(t, distinct: list[str]) -> pa.ListArray:
-    ids = [e.ids for e in t.encode_batch(distinct, add_special_tokens=False)]
-    return pa.array(ids, pa.list_(pa.int32()))
+    kind = pa.list_(pa.int32())
+    blocks = [pa.array([e.ids for e in t.encode_batch(distinct[k : k + AT_ONCE], add_special_tokens=False)], kind) for k in range(0, len(distinct), AT_ONCE)]
+    return pa.concat_arrays(blocks) if blocks else pa.array([], kind)
 
 
 def _text_rows(docs: DataFrame) -> DataFrame:
@@ -109,15 +112,22 @@ def _text_rows(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"hi": F.xxhash64("text", "doc_id"), "lo": F.xxhash64(F.lit(1), "doc_id", "text")})
 
 
-def common_words(docs: DataFrame, spec: str) -> bytes:
-    """The most frequent words of the sample with their ids, as an Arrow stream."""
+def common_words(docs: DataFrame, spec: str, shared) -> bytes:
+    """The most frequent words of the sample with their ids, as an Arrow stream; the most frequent first."""
     rows = _text_rows(docs).where(F.pmod("lo", F.lit(SAMPLE)) == 0)
     seen = rows.select(F.explode(words(F.col("text"), _added(spec))).alias("word")).where(F.octet_length("word") <= COMMON_BYTES)
-    best = seen.groupBy("word").count().orderBy(F.desc("count"), "word").limit(COMMON_WORDS).select("word").toArrow()
-    distinct = best.column(0).cast(pa.string()).combine_chunks()
-    ids = _ids_of(_tokenizer(spec), distinct.to_pylist())
+    best = seen.groupBy("word").count().orderBy(F.desc("count"), "word").limit(COMMON_WORDS).repartition("word")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _tokenizer(shared.value)
+        for batch in batches:
+            found = batch.column(0).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([found, batch.column(1), _ids_of(t, found.to_pylist())], names=["word", "count", "ids"])
+
+    met = best.mapInArrow(run, "word string, count long, ids array<int>").toArrow()
+    met = met.sort_by([("count", "descending"), ("word", "ascending")]).select(["word", "ids"])
+    batch = pa.RecordBatch.from_arrays([c.combine_chunks() for c in met.columns], names=["word", "ids"])
     sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays([distinct, ids], names=["word", "ids"])
     with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
@@ -127,8 +137,20 @@ def _open(stream: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(pa.py_buffer(stream)).read_next_batch()
 
 
-def _pack(ids: np.ndarray) -> bytes:
-    return zstandard.compress(ids.astype("<i4").tobytes(), 1)
+def _pack(numbers: np.ndarray, missing: list[bytes]) -> bytes:
+    """Numbers of words in the common table, -1 where a word isn't there, and these
+    words. Numbers are stored by byte, the highest bytes being nearly always zero."""
+    head = np.r_[len(missing), list(map(len, missing)), numbers + 1].astype("<u4")
+    head = zstandard.compress(head.view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+    return len(head).to_bytes(4, "little") + head + b"".join(missing)
+
+
+def _unpack(found: bytes) -> tuple[np.ndarray, list[str]]:
+    end = 4 + int.from_bytes(found[:4], "little")
+    head = np.frombuffer(zstandard.decompress(found[4:end]), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+    n = int(head[0])
+    ends = (end + np.cumsum(head[1 : n + 1])).tolist()
+    return head[n + 1 :] - 1, [found[a:b].decode() for a, b in zip([end, *ends], ends)]
 
 
 def _probe(spec, common):
@@ -147,15 +169,28 @@ def _probe(spec, common):
         at = known[codes] if len(codes) else np.zeros(0, np.int32)
         starts = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))].astype(np.int64)
         holes = np.flatnonzero(at < 0)
-        lost = flat.dictionary.take(pa.array(codes[holes])).to_pylist()
+        lost = flat.dictionary.cast(pa.binary()).take(pa.array(codes[holes])).to_pylist()
         cuts = np.searchsorted(holes, starts)
-        found = []
-        for k in range(len(lists)):
-            a, b = starts[k], starts[k + 1]
-            missing = [{"pos": int(p - a), "word": w} for p, w in zip(holes[cuts[k] : cuts[k + 1]].tolist(), lost[cuts[k] : cuts[k + 1]])]
-            found.append({"packed": _pack(at[a:b]), "missing": missing})
-        kind = pa.struct([("packed", pa.binary()), ("missing", pa.list_(pa.struct([("pos", pa.int32()), ("word", pa.string())])))])
-        return {"doc_id": batch.column(0), "hi": batch.column(1), "lo": batch.column(2), "found": pa.array(found, kind)}
+        found = [_pack(at[starts[k] : starts[k + 1]], lost[cuts[k] : cuts[k + 1]]) for k in range(len(lists))]
+        return {"doc_id": batch.column(0), "hi": batch.column(1), "lo": batch.column(2), "found": found}
+
+    return run
+
+
+def _missing():
+    """A row for each place of a word that isn't in the common table. Equal documents
+    are in one partition: only the first of them asks."""
+    asked: set[tuple[int, int]] = set()
+
+    def run(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"hi": [], "lo": [], "pos": [], "word": []}
+        for hi, lo, found in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+            if (hi, lo) not in asked:
+                asked.add((hi, lo))
+                numbers, lost = _unpack(found)
+                for values, more in zip(out.values(), ([hi] * len(lost), [lo] * len(lost), np.flatnonzero(numbers < 0).tolist(), lost)):
+                    values += more
+        return out
 
     return run
 
@@ -186,8 +221,8 @@ def _fill(common):
     def run(batch: pa.RecordBatch) -> dict:
         if not state:
             state["ids"] = _open(common.value).column(1)
-        packed = [np.frombuffer(zstandard.decompress(p), "<i4") for p in batch.column(1).to_pylist()]
-        at = np.concatenate(packed) if packed else np.zeros(0, np.int32)
+        packed = [_unpack(x)[0] for x in batch.column(1).to_pylist()]
+        at = np.concatenate(packed)
         # what returned, by position: one list for each hole, in the order of the holes
         places = batch.column(2)
         inner = places.flatten()
@@ -195,7 +230,7 @@ def _fill(common):
         sort = np.lexsort((inner.field("pos").to_numpy(), rows))
         lists = pa.concat_arrays([state["ids"], inner.field("ids").cast(state["ids"].type).take(pa.array(sort))])
         holes = at < 0
-        index = at.astype(np.int64)
+        index = at.copy()
         index[holes] = len(state["ids"]) + np.arange(int(holes.sum()))
         taken = lists.take(pa.array(index))
         sizes = np.r_[0, np.cumsum(pc.list_value_length(taken).to_numpy(zero_copy_only=False))]
@@ -209,17 +244,18 @@ def _fill(common):
 def encode(docs: DataFrame, spec: str) -> DataFrame:
     """(doc_id, ids array<int>) of each document; spec as load() returns it."""
     context = docs.sparkSession.sparkContext
-    shared, common = context.broadcast(spec), context.broadcast(common_words(docs, spec))
+    shared = context.broadcast(spec)
+    common = context.broadcast(common_words(docs, spec, shared))
     rows = _text_rows(docs)
     odd = F.rlike("text", F.lit(r"\p{Cn}"))
     split = rows.select("doc_id", "hi", "lo", F.when(~odd, words(F.col("text"), _added(spec))).alias("words"), F.when(odd, F.col("text")).alias("text"))
-    # both readers of this exchange use all of `found`, so it is written once and read twice
+    # both readers take every column of this exchange, so it is written once and read twice
     probed = map_batches(split, _probe(shared, common), _PROBED, "words").repartition("hi", "lo")
-    rare = probed.select("hi", "lo", F.explode("found.missing").alias("m")).select("hi", "lo", "m.pos", "m.word").distinct()
+    rare = map_batches(probed, _missing(), "hi long, lo long, pos int, word string", "found", 1 << 20)
     encoded = rare.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_runs(shared), "hi long, lo long, pos int, ids array<int>")
     places = encoded.groupBy("hi", "lo").agg(F.collect_list(F.struct("pos", "ids")).alias("places"))
-    met = probed.join(places, ["hi", "lo"], "left").select("doc_id", F.col("found.packed").alias("packed"), "places")
-    return map_batches(met, _fill(common), "doc_id long, ids array<int>", "packed", 2 << 20)
+    met = probed.join(places, ["hi", "lo"], "left").select("doc_id", "found", "places")
+    return map_batches(met, _fill(common), "doc_id long, ids array<int>", "found", 1 << 20)
 
 
 def pieces(spec: str) -> list[bytes]:
