@@ -195,6 +195,25 @@ def _missing():
     return run
 
 
+def _places(pos: pa.Array, lists: pa.ListArray) -> pa.Array:
+    """A position and the ids there as one binary, four bytes each."""
+    sizes = pc.list_value_length(lists).to_numpy()
+    ends = np.cumsum(sizes + 1)
+    data = np.empty(int(ends[-1]), "<i4")
+    first = ends - sizes - 1
+    data[first] = pos.to_numpy()
+    data[np.delete(np.arange(len(data)), first)] = lists.flatten().to_numpy()
+    return pa.Array.from_buffers(pa.binary(), len(pos), [None, pa.py_buffer(np.r_[0, 4 * ends].astype(np.int32)), pa.py_buffer(data)])
+
+
+def _read_places(places: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
+    sizes = pc.binary_length(places).to_numpy().astype(np.int64) // 4
+    data = np.frombuffer(b"".join(places.to_pylist()), "<i4")
+    first = np.cumsum(sizes) - sizes
+    ids = pa.array(np.delete(data, first), pa.int32())
+    return data[first], pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes - 1)], pa.int32()), ids)
+
+
 def _encode_runs(spec):
     """Rows sorted by word: each word is encoded where its run begins."""
 
@@ -210,7 +229,7 @@ def _encode_runs(spec):
                 lists = pa.concat_arrays([ids, lists])
             last, ids = distinct[-1], lists.slice(len(lists) - 1)
             each = np.repeat(np.arange(len(distinct)), np.diff(np.r_[0, runs.run_ends.to_numpy()]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists.take(pa.array(each))], names=["hi", "lo", "pos", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], _places(batch.column(2), lists.take(pa.array(each)))], names=["hi", "lo", "place"])
 
     return run
 
@@ -225,10 +244,9 @@ def _fill(common):
         at = np.concatenate(packed)
         # what returned, by position: one list for each hole, in the order of the holes
         places = batch.column(2)
-        inner = places.flatten()
+        pos, back = _read_places(places.flatten())
         rows = np.repeat(np.arange(len(places)), pc.list_value_length(places).fill_null(0).to_numpy(zero_copy_only=False))
-        sort = np.lexsort((inner.field("pos").to_numpy(), rows))
-        lists = pa.concat_arrays([state["ids"], inner.field("ids").cast(state["ids"].type).take(pa.array(sort))])
+        lists = pa.concat_arrays([state["ids"], back.cast(state["ids"].type).take(pa.array(np.lexsort((pos, rows))))])
         holes = at < 0
         index = at.copy()
         index[holes] = len(state["ids"]) + np.arange(int(holes.sum()))
@@ -252,8 +270,8 @@ def encode(docs: DataFrame, spec: str) -> DataFrame:
     # both readers take every column of this exchange, so it is written once and read twice
     probed = map_batches(split, _probe(shared, common), _PROBED, "words").repartition("hi", "lo")
     rare = map_batches(probed, _missing(), "hi long, lo long, pos int, word string", "found", 1 << 20)
-    encoded = rare.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_runs(shared), "hi long, lo long, pos int, ids array<int>")
-    places = encoded.groupBy("hi", "lo").agg(F.collect_list(F.struct("pos", "ids")).alias("places"))
+    encoded = rare.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_runs(shared), "hi long, lo long, place binary")
+    places = encoded.groupBy("hi", "lo").agg(F.collect_list("place").alias("places"))
     met = probed.join(places, ["hi", "lo"], "left").select("doc_id", "found", "places")
     return map_batches(met, _fill(common), "doc_id long, ids array<int>", "found", 1 << 20)
 
