@@ -110,3 +110,11 @@ def _array(values, kind: pa.DataType) -> pa.Array:
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts as UTF-8 bytes; null becomes the empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def training_text(text: Column, limit: int) -> Column:
+    """A text for a model to learn from: whole up to `limit` bytes; of a longer one as many
+    code points as surely fit, from a place that its hash chooses."""
+    chars = limit // 4
+    place = F.pmod(F.xxhash64(text), F.greatest(F.lit(1), F.length(text) - chars + 1)).cast("int")
+    return F.when(F.octet_length(text) <= limit, text).otherwise(F.substr(text, place + 1, F.lit(chars)))

@@ -11,7 +11,8 @@ for all languages side by side. Scoring a text is then a table look-up for each
 of its bytes: whole texts, in numpy.
 
 Training uses at most TRAIN_DOCS texts per language of at most TRAIN_BYTES each,
-chosen by a hash of their id. lang, source and doc_id play no part in scoring.
+chosen by a hash of their id; a longer text teaches a stretch from anywhere in it, and
+an id with several rows one of its texts. lang, source and doc_id play no part in scoring.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; a
 tie goes to the alphabetically first language; rows with a null lang aren't
@@ -28,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, map_batches, small_or_shuffled, table
+from .common import held_out, map_batches, small_or_shuffled, table, training_text
 
 ORDER = 3
 TRAIN_DOCS = 400
@@ -149,7 +150,9 @@ def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang", F.xxhash64("doc_id").alias("hash"))
+    """At most train_docs texts of a language, one of each id, of TRAIN_BYTES at most, go to the driver."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.octet_length("text") > 0))
+    ids = rows.select("doc_id", "lang").distinct().withColumn("hash", F.xxhash64("doc_id"))
     # hashes below a bound that some four times as many meet: only these are ranked, whatever a language's size
     counts = ids.groupBy("lang").agg(F.count("*").alias("n"))
     bound = F.least(F.lit(1.0), F.lit(4.0 * train_docs) / F.col("n")) * 2.0**64 - 2.0**63
@@ -157,7 +160,9 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
     few = [(r.doc_id, r.lang) for r in near.withColumn("rank", rank).where(F.col("rank") <= train_docs).select("doc_id", "lang").collect()]
     chosen = docs.sparkSession.createDataFrame(few or [(None, None)], "doc_id long, lang string")
-    texts = docs.where(F.octet_length("text").between(1, TRAIN_BYTES)).join(F.broadcast(chosen), ["doc_id", "lang"])
+    met = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", training_text(F.col("text"), TRAIN_BYTES).alias("text"))
+    # a repeated id teaches one of its texts, chosen before anything is shuffled
+    texts = met.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     samples: dict[str, list[bytes]] = {}
     for r in sorted(texts.select("doc_id", "lang", "text").collect(), key=lambda r: r.doc_id):
         samples.setdefault(r.lang, []).append(r.text.encode("utf-8", "replace"))

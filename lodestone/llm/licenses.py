@@ -222,12 +222,15 @@ def match(index: Index, words: list[bytes]) -> dict[str, float]:
         for k, at in index.postings.get(w, ()):
             votes[k].append((place - at, w))
     out: dict[str, float] = {}
+    plain = b" " + b" ".join(words) + b" "
     for k, cast in votes.items():
         t, needed = index.templates[k], min(2, len(index.keys_of[k]))
+        if any(b" " + b" ".join(phrase) + b" " not in plain for _, phrase in t.mandatory):
+            continue
         slack = SHIFT + len(t.words) // 16
         cast.sort()
         here: dict[bytes, int] = defaultdict(int)  # keys of the votes from first to the current one
-        first = 0
+        first, done = 0, None
         for start, w in cast:
             here[w] += 1
             while cast[first][0] < start - slack:
@@ -236,10 +239,12 @@ def match(index: Index, words: list[bytes]) -> dict[str, float]:
                 if not here[old]:
                     del here[old]
                 first += 1
-            if len(here) >= needed:
-                score = _score(t, words, start)
+            if len(here) >= needed and start != done:
+                done, score = start, _score(t, words, start)
                 if score >= LEAST:
                     out[t.label] = max(score, out.get(t.label, 0.0))
+                if score == 1.0:
+                    break
     return out
 
 

@@ -10,12 +10,13 @@ dictionary, and short texts say little.
 
 Fitting uses at most TRAIN_DOCS labelled texts of each class, of at most
 TRAIN_BYTES each, chosen by a hash of their id: a bounded sample, the same at
-every size of input. Scoring reads every whole text.
+every size of input. A longer text teaches a stretch from anywhere in it, an id with
+several rows one of its texts. Scoring reads every whole text.
 
 Defined cases: null or empty text scores as a text of which nothing is known;
 labels that are null or whose document is missing aren't used; a document
-labelled differently by repeated rows counts with each; if either class has no
-labelled text, all scores are the share of good labels, smoothed; an empty
+labelled differently by repeated rows counts as bad; if either class has fewer than four
+labelled texts, all scores are the share of good labels, smoothed, and a pipeline's stage keeps all; an empty
 documents table gives no rows; lang, source and doc_id are never scored."""
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filter_batches, held_out, map_batches, table, utf8
+from .common import filter_batches, held_out, map_batches, table, training_text, utf8
 
 TRAIN_DOCS = 2000
 TRAIN_BYTES = 1 << 14
@@ -104,17 +105,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 3
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    """Labels come only from rows whose document is not held out."""
+    """Labels come only from rows whose document is not held out. At most train_docs texts of a class, one of
+    each id, of TRAIN_BYTES at most, go to the driver. An id with both labels belongs to the lower."""
     spark = docs.sparkSession
-    rows = labels.where(F.col("quality").isin(0, 1) & ~held_out() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
+    rows = labels.where(F.col("quality").isin(0, 1) & ~held_out() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     shares = {r.quality: r.n for r in rows.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     prior = (shares.get(1, 0) + 1) / (sum(shares.values()) + 2)
     order = F.xxhash64(F.col("doc_id"))
+    full = docs.where(F.octet_length("text") > 0).select("doc_id", "text")
+    rows = rows.join(full.select("doc_id"), "doc_id", "left_semi")
     texts: dict[int, list[bytes]] = {}
     for q in (0, 1):
         few = rows.where(F.col("quality") == q).select("doc_id").orderBy(order, "doc_id").limit(train_docs)
         ids = spark.createDataFrame([(r.doc_id,) for r in few.collect()] or [(None,)], "doc_id long")
-        found = docs.where(F.octet_length("text").between(1, TRAIN_BYTES)).join(F.broadcast(ids), "doc_id").select("doc_id", "text")
+        met = full.join(F.broadcast(ids), "doc_id").select("doc_id", training_text(F.col("text"), TRAIN_BYTES).alias("text"))
+        # a repeated id teaches one of its texts, chosen before anything is shuffled
+        found = met.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
         texts[q] = [r.text.encode("utf-8", "replace") for r in sorted(found.collect(), key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % 2**64))]
     if min(len(x) for x in texts.values()) < 4:
         return Model(b"", b"", (), (), (), prior)
@@ -148,7 +154,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
-    """The documents that score the cutoff or more, with all their columns."""
+    """The documents that score the cutoff or more, with all their columns; all of them where no classifier could be fitted."""
+    if not model.weights:
+        return docs
     text = docs.columns.index("text")
     return filter_batches(docs, lambda batch: scores(model, utf8(batch.column(text))) >= cutoff)
 
