@@ -8,9 +8,12 @@ found everywhere doesn't meet itself."""
 from __future__ import annotations
 
 import keyword
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lodestone.functions import text as T
 from lodestone.operators.graph import reachable
@@ -41,27 +44,67 @@ def _braces(content: Column) -> Column:
     return F.length(F.regexp_replace(content, "[^{]", "")) - F.length(F.regexp_replace(content, "[^}]", ""))
 
 
+_SPANS = "path string, kind string, name string, line int, end int"
+
+
+def _ends(most: int):
+    """Definitions with their last lines, in one pass over a file's lines in order; what is open is held, no more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, held, depth, last, out = None, [], 0, 0, []  # held: (kind, name, line, indent or depth before its braces)
+
+        def close() -> None:
+            # at the end of a file: Python's go to its last line, others have no end but their own line
+            out.extend((path, k, n, at, last if path.endswith(".py") else at) for k, n, at, _ in held)
+
+        for batch in batches:
+            for p, line, kind, name, indent, braces, full, opened in zip(*(batch.column(k).to_pylist() for k in range(8))):
+                if p != path:
+                    close() if path else None
+                    path, held, depth = p, [], 0
+                depth, last = depth + braces, line
+                if path.endswith(".py"):
+                    while full and held and held[-1][3] >= indent:
+                        k, n, at, _ = held.pop()
+                        out.append((path, k, n, at, line - 1))
+                    if name is not None:
+                        held.append((kind, name, line, indent))
+                else:
+                    ended = [h for h in held if depth <= h[3] or line >= h[2] + most]
+                    if ended:
+                        out.extend((path, k, n, at, line if line < at + most else at) for k, n, at, _ in ended)
+                        held = [h for h in held if not (depth <= h[3] or line >= h[2] + most)]
+                    if name is not None and opened:
+                        held.append((kind, name, line, depth - braces))
+                    elif name is not None:
+                        out.append((path, kind, name, line, line))
+            if len(out) > 10_000:
+                yield _rows(out)
+                out.clear()
+        close() if path else None
+        if out:
+            yield _rows(out)
+
+    return run
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["path", "kind", "name", "line", "end"])
+
+
 def symbols(lines: DataFrame, most: int = 200) -> DataFrame:
     """(path, kind, name, line, end). A Python symbol ends before the next line that is
     indented no deeper. Others end where the braces opened on their line are closed
     again, within `most` lines; without a brace they end on their own line, but for an
     arrow at its end, whose body is looked for on the next ones."""
     kind, name = kind_and_name(F.col("content"))
-    rows = lines.select("path", "line", "content", kind.alias("kind"), name.alias("name"), indent(F.col("content")).alias("indent"), _braces(F.col("content")).alias("braces"))
-    by_line = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"depth": F.sum("braces").over(by_line), "full": F.trim("content") != ""})
-    # a file's lines side by side: as many as one source file has
-    shape = F.struct("line", "indent", "depth", "full")
-    files = rows.groupBy("path").agg(F.sort_array(F.collect_list(shape)).alias("shapes"))
-    open_ended = (F.col("braces") > 0) | F.col("content").rlike(r"^[^{]*=>\s*$")
-    found = rows.where("name IS NOT NULL").select("path", "kind", "name", "line", F.col("indent").alias("own"), (F.col("depth") - F.col("braces")).alias("base"), open_ended.alias("open"))
-    met = found.join(files, "path")
-    dedented = F.array_min(F.transform(F.filter("shapes", lambda s: s["full"] & (s["line"] > F.col("line")) & (s["indent"] <= F.col("own"))), lambda s: s["line"]))
-    closed = F.array_min(
-        F.transform(F.filter("shapes", lambda s: (s["line"] > F.col("line")) & (s["line"] < F.col("line") + most) & (s["depth"] <= F.col("base"))), lambda s: s["line"])
-    )
-    end = F.when(F.col("path").endswith(".py"), F.coalesce(dedented - 1, F.size("shapes"))).when(F.col("open"), F.coalesce(closed, F.col("line"))).otherwise(F.col("line"))
-    return met.select("path", "kind", "name", "line", end.cast("int").alias("end"))
+    open_ended = (_braces(F.col("content")) > 0) | F.col("content").rlike(r"^[^{]*=>\s*$")
+    rows = lines.select(
+        "path", F.col("line").cast("int").alias("line"), kind.alias("kind"), name.alias("name"), indent(F.col("content")).alias("indent"), _braces(F.col("content")).alias("braces"),
+        (F.trim("content") != "").alias("full"), open_ended.alias("open"),
+    )
+    return rows.repartition("path").sortWithinPartitions("path", "line").mapInArrow(_ends(most), _SPANS)
 
 
 def call_sites(lines: DataFrame) -> DataFrame:
@@ -143,12 +186,32 @@ def call_edges(sites: DataFrame, symbols: DataFrame, imports: DataFrame) -> Data
     return enclosing(edges, symbols)
 
 
+def _callers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Points and symbols of a file in order of lines: the symbols that haven't ended are on a stack."""
+    path, stack = None, []
+    for batch in batches:
+        points, callers = [], []
+        for at, (p, line, end, name) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
+            if p != path:
+                path, stack = p, []
+            if end is not None:
+                stack.append((end, name))
+                continue
+            while stack and stack[-1][0] < line:
+                stack.pop()
+            points.append(at)
+            callers.append(stack[-1][1] if stack else None)
+        yield pa.RecordBatch.from_arrays([batch.column(4).take(pa.array(points, pa.int32())), pa.array(callers, pa.string())], names=["p", "caller"])
+
+
 def enclosing(points: DataFrame, symbols: DataFrame) -> DataFrame:
     """The rows (path, line, ...) with `caller`, the name of the last symbol by line that contains
-    the line. A file's symbols lie side by side, as many as one source file has."""
-    held = symbols.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "end", "name")), asc=False).alias("__held"))
-    inside = F.filter("__held", lambda s: (s["line"] <= F.col("line")) & (s["end"] >= F.col("line")))
-    return points.join(held, "path", "left").withColumn("caller", F.get(inside, F.lit(0))["name"]).drop("__held")
+    the line: one pass over both in order, with the open symbols on a stack."""
+    rows = points.select("path", F.col("line").cast("int").alias("line"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("string").alias("name"), F.struct(*points.columns).alias("p"))
+    spans = symbols.select("path", F.col("line").cast("int").alias("line"), F.col("end").cast("int").alias("end"), "name", F.lit(None).cast(rows.schema["p"].dataType).alias("p"))
+    both = spans.unionByName(rows).repartition("path").sortWithinPartitions("path", "line", F.col("end").asc_nulls_last(), "name")
+    kind = StructType([StructField("p", rows.schema["p"].dataType), StructField("caller", StringType())])
+    return both.mapInArrow(_callers, kind).select("p.*", "caller")
 
 
 def file_edges(imports: DataFrame, calls: DataFrame) -> DataFrame:
