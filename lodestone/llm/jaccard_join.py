@@ -35,7 +35,8 @@ Defined cases: null text and text without words give the empty set, linked with
 nothing; texts of fewer than five words are one shingle of all words; long texts
 are read whole, their words hashed in stretches of STRETCH bytes; ties, i.e.
 equal sets, are one class under its smallest doc_id; repeated rows of a doc_id
-count as one document and are returned once each; a null doc_id takes no part
+count as one document and are returned once each; where they differ in text, each
+text has its own class and links, and a row's component is that of its text; a null doc_id takes no part
 and keeps a null component; empty tables give no rows; columns other than doc_id
 and text are not read."""
 
@@ -196,12 +197,11 @@ def _heads(edges: np.ndarray) -> np.ndarray:
 def _signature(batch: pa.RecordBatch) -> dict:
     tokens, edges = shingle_sets(batch.column(1))
     n, full = np.diff(edges), edges[:-1] < edges[1:]
-    digest = [xxhash.xxh3_128_digest(tokens[a:b]) if b > a else b"\0" * 16 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
     low = np.zeros((len(n), MINHASHES), np.int64)
     if len(tokens):
         for k, (a, b) in enumerate(zip(*_SEEDS)):
             low[full, k] = (np.minimum.reduceat((tokens ^ a) * b, edges[:-1][full]) >> np.uint64(1)).astype(np.int64)
-    d = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+    d = _digests(tokens, edges)
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * MINHASHES), pa.array(low.ravel()))
     head = _heads(edges)
     return {"doc_id": batch.column(0), "n": n, "d1": d[:, 0], "d2": d[:, 1], "low": lists, "head": _binary(tokens[head], np.r_[0, np.cumsum(head)][edges])}
@@ -310,10 +310,17 @@ def _met_elsewhere(sets: DataFrame, tokens: int, whole: bool = True, own: bool =
     return counted.groupBy("share").applyInArrow(_summed, "d long, met long")
 
 
+def _digests(tokens: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    digest = [xxhash.xxh3_128_digest(tokens[a:b]) if b > a else b"\0" * 16 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+    return np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+
+
 def _sets(batch: pa.RecordBatch) -> dict:
-    names = batch.schema.names
-    out = {name: batch.column(i) for i, name in enumerate(names) if name != "text"}
-    return out | {"tokens": _binary(*shingle_sets(batch.column(names.index("text"))))}
+    """The sets of the texts whose digest is the one that is asked for."""
+    column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+    tokens, edges = shingle_sets(column["text"])
+    asked = pa.array(_digests(tokens, edges)[:, 0] == column["d1"].to_numpy(zero_copy_only=False))
+    return {"id": column["id"].filter(asked), "tokens": _binary(tokens, edges).filter(asked)}
 
 
 def _block(ids: list[np.ndarray], groups: list[np.ndarray], tokens: list[np.ndarray], sizes: list[np.ndarray]):
@@ -511,28 +518,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tokens = signed.agg(F.coalesce(F.sum(F.octet_length("head")), F.lit(0))).first()[0] // 8
     heads = known.select(F.col("d1").alias("d"), F.col("d1").alias("g"), F.col("head").alias("tokens"))
     met = _met_elsewhere(heads, tokens, own=True)
-    open_classes = cut(
-        classes.join(met.withColumnRenamed("d", "d1"), "d1").where(F.col("met") >= _least_met("n")).select(F.col("class_id").alias("id"), "n", "low")
-    )
-    ids = open_classes.select(F.col("id").alias("doc_id"))
-    found = texts.join(small_or_shuffled(ids, open_classes.count()), "doc_id")
-    opened = map_batches(found, _sets, "doc_id long, tokens binary", limit=SLICE).withColumnRenamed("doc_id", "id")
+    near = cut(classes.join(met.withColumnRenamed("d", "d1"), "d1").where(F.col("met") >= _least_met("n")).select("d1", "class_id", "n", "low"))
+    # a doc_id is the number of its class, or the digest where rows of one doc_id have several texts
+    several = near.groupBy("class_id").agg(F.count("*").alias("texts")).where("texts > 1")
+    numbered = near.join(small_or_shuffled(several, several.count()), "class_id", "left")
+    open_classes = numbered.select(F.when(F.col("texts").isNull(), F.col("class_id")).otherwise(F.col("d1")).alias("id"), "d1", "class_id", "n", "low")
+    asked = open_classes.select(F.col("class_id").alias("doc_id"), "d1", "id")
+    found = texts.join(small_or_shuffled(asked, near.count()), "doc_id").select("text", "d1", "id")
+    opened = map_batches(found, _sets, "id long, tokens binary", limit=SLICE)
     opened = cut(opened.dropDuplicates(["id"]))  # documents may have repeated rows
 
     # 3. groups by leaders
-    links = cut(verify(leader_pairs(open_classes), opened))
+    open_classes = open_classes.dropDuplicates(["id"])
+    links = cut(verify(leader_pairs(open_classes.select("id", "low")), opened))
     groups = connected_components(links)
 
     # 4. what may still link one group with another
-    known_groups = open_classes.dropDuplicates(["id"]).join(groups, "id", "left")
+    known_groups = open_classes.join(groups, "id", "left")
     members = known_groups.select("id", F.coalesce("component", "id").alias("g"), "n", F.col("component").isNull().alias("alone"), "low")
     more = cut(_residual(narrowed(opened, members.select("id", "g", "n")), members.drop("n")))
     if not more.isEmpty():
         groups = connected_components(links.unionByName(more))
 
-    named = classes.join(groups.withColumnRenamed("id", "class_id"), "class_id", "left").select(
-        "d1", "d2", F.col("n").alias("size"), "class_id", F.coalesce("component", "class_id").alias("component_id")
-    )
+    placed = groups.join(open_classes.select("id", "d1", "class_id"), "id").select("component", "d1", "class_id")
+    least = placed.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    placed = placed.join(least, "component").drop("component")
+    named = classes.join(placed, ["d1", "class_id"], "left").select("d1", "d2", F.col("n").alias("size"), "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
     same = (signed.d1 == named.d1) & (signed.d2 == named.d2) & (signed.n == named["size"]) & (signed.n > 0)
     return signed.join(named, same, "left").select(
         "doc_id",

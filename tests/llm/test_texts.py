@@ -242,6 +242,23 @@ def test_jaccard_join_keeps_one_of_each(spark):
     assert jaccard_join.near_duplicates(frame(spark, {1: None})).collect()[0].component_id == 1
 
 
+def test_jaccard_join_of_repeated_ids_with_other_texts(spark):
+    """Rows of one doc_id with several texts keep the links of each, in whatever order they come."""
+    a, b, c = (prose(k, 60).split() for k in (301, 302, 303))
+    near = lambda words, k: " ".join([*words[:30], f"edit{k}", *words[31:]])
+    rows = [(5, near(a, 0)), (5, near(b, 0)), (7, near(a, 1)), (9, near(b, 1)), (5, "one two"), (11, near(c, 0)), (12, near(c, 1)), (12, near(a, 2)), (5, near(a, 0)), (13, prose(9, 40)), (13, None)]
+    numbered = {k: t for k, (_, t) in enumerate(rows)}
+    found = components_plain(list(numbered.items()))
+    least = {}
+    for k, (d, _) in enumerate(rows):
+        least[found[k][1]] = min(d, least.get(found[k][1], d))
+    want = Counter((d, found[k][0], least[found[k][1]]) for k, (d, _) in enumerate(rows))
+    for seed in range(3):
+        mixed = random.Random(seed).sample(rows, len(rows))
+        got = jaccard_join.near_duplicates(frame(spark, mixed).repartition(3)).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
 def test_prefix_bound():
     """A linked pair shares the counted number of prefix tokens at every size."""
     r = random.Random(1)
