@@ -29,4 +29,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from lodestone.plans import chats, code, corpus, door, flow, funnels, graphs, histories, javatree, journal, learning, modules, rollups, rules, state, tables  # noqa: E402, F401
+from lodestone.plans import chats, code, corpus, door, exam, flow, funnels, graphs, histories, javatree, journal, learning, modules, rollups, rules, state, tables  # noqa: E402, F401
