@@ -1,4 +1,15 @@
-"""From raw documents to a training mix: five stages of the operators in lodestone.llm."""
+"""From raw documents to a training mix: five stages of the operators in lodestone.llm.
+
+Every stage works on all rows that the one before it kept, and all but the last return the
+columns of documents, whatever else these are; the last adds topic, n_tokens, prob and weight.
+
+Defined cases: null and empty texts pass all stages but the last, which has nothing to
+sample of them (the classifier judges an empty text like any other); rows with a null
+doc_id keep their lines, have no near-duplicates and are sampled like others; repeated rows are one
+document for counting and stay repeated; of rows of one doc_id with several texts near-dedup drops all
+if one of them is a copy of a smaller doc_id's; ties go to the smallest doc_id (lines: to the
+largest); long texts are read whole; without labels for either class nothing is dropped for
+quality, without benchmark items nothing for contamination; an empty table gives no rows."""
 
 from __future__ import annotations
 
