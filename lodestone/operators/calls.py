@@ -15,13 +15,12 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import extract, syntax
 
-#: Words before a bracket that call nothing.
+# Words before a bracket that call nothing; what a call, a declaration and a
+# declared name look like. They decide which calls count.
 NO_CALL = ("if", "for", "while", "switch", "catch", "function", "return", "typeof", "new", "require", "import")
 _SITE = r"\b(?:([A-Za-z_$][\w$]*)\s*\.\s*)?([A-Za-z_$][\w$]*)\s*\("
-#: Lines that declare a function, whatever the language; and Java's with modifiers.
 _DECLARES = r"^\s*(?:export\s+)?(?:async\s+)?function\b|^\s*(?:export\s+)?(?:const|let|var)\b.*=>|^\s*(?:async\s+)?def\b|^\s*func\b|^\s*(?:pub(?:\([^)]*\))?\s+)?(?:default\s+)?(?:unsafe\s+)?(?:async\s+)?fn\b"
 _DECLARES_JAVA = r"^\s*(?:@\w+\s*)?(?:(?:public|private|protected|static|final|abstract|synchronized|default|native)\s+)+[\w<>\[\],.?\s]+\("
-#: A name's declared type: fields, parameters, locals.
 _DECLARED = (
     r"^\s*(?:private|protected|public)\s+(?:static\s+|final\s+|transient\s+|volatile\s+)*([A-Z]\w*)(?:<[^>]*>)?\s+([a-z_]\w*)\s*[=;]",
     r"[(,]\s*([A-Z]\w*)(?:<[^>]*>)?\s+([a-z_]\w*)\s*(?=[,)])",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestone.operators.ranks import indexed
 
 MAX_NOTES = 12
-#: Terms that are looked for; all others only describe and never decide.
+# Terms that are looked for; all others only describe and never decide.
 RUNNABLE = ("sym", "mod", "text")
 
 
