@@ -203,10 +203,12 @@ def a22_funnel(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(*[F.count_if(F.col("event_type") == v).alias(k) for k, v in kinds.items()])
 
 
-@query("""SELECT event_type AS scene, count(*) AS calls FROM events e WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.event_type = 'purchase' AND x.user_id = e.user_id) GROUP BY 1""")
+@query("""WITH e AS (SELECT event_type || '-' || (user_id % 50) AS scene, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT scene, count(*) AS calls FROM e WHERE scene NOT IN (SELECT scene FROM e WHERE k < 5) GROUP BY 1""")
 def j17_without_inventory(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.join(e.where("event_type = 'purchase'").select("user_id").distinct(), "user_id", "left_anti").groupBy(F.col("event_type").alias("scene")).agg(F.count("*").alias("calls"))
+    """Scenes with calls of which none was taken into the inventory (k below 5)."""
+    e = usage(spark, sf_dir).select(F.concat_ws("-", "scene", F.col("user_id") % 50).alias("scene"), "k")
+    return e.join(e.where("k < 5").select("scene").distinct(), "scene", "left_anti").groupBy("scene").agg(F.count("*").alias("calls"))
 
 
 @query("""SELECT event_type AS scene, count(*) AS calls FROM events e WHERE EXISTS (SELECT 1 FROM events x WHERE x.event_type = 'signup' AND x.user_id = e.user_id) GROUP BY 1""")

@@ -197,13 +197,13 @@ def p05_unit_topics(spark, sf_dir):
     return table(spark, sf_dir, "events").select(i, R.is_live_unit(unit).alias("live"), F.coalesce(F.when(i % 2 == 0, "given"), R.topic_of_unit(unit)).alias("topic"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'u' || user_id WHEN event_id % 3 = 1 THEN 't' || user_id END AS unit, coalesce(CASE WHEN event_id % 4 = 0 THEN event_type END, 'unknown') AS kind FROM events WHERE event_type = 'purchase'""")
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'u' || user_id WHEN event_id % 3 = 1 THEN 't' || user_id END AS unit, coalesce(CASE WHEN event_id % 4 = 0 THEN event_type END, 'unknown') AS kind FROM events""")
 def p06_projection(spark, sf_dir):
     """unit_id, else target_unit_id; an unnamed kind is unknown."""
     i, m = F.col("event_id"), F.col("event_id") % 3
     u = F.col("user_id").cast("string")
     payload = F.create_map(F.lit("unit_id"), F.when(m == 0, F.concat(F.lit("u"), u)), F.lit("target_unit_id"), F.when(m < 2, F.concat(F.lit("t"), u)), F.lit("kind"), F.when(i % 4 == 0, F.col("event_type")))
-    rows = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(i, payload.alias("p"))
+    rows = table(spark, sf_dir, "events").select(i, payload.alias("p"))
     return rows.select(i, F.coalesce(F.col("p")["unit_id"], F.col("p")["target_unit_id"]).alias("unit"), F.coalesce(F.col("p")["kind"], F.lit("unknown")).alias("kind"))
 
 
