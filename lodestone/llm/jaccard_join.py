@@ -522,14 +522,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a doc_id is the number of its class, or the digest where rows of one doc_id have several texts
     several = near.groupBy("class_id").agg(F.count("*").alias("texts")).where("texts > 1")
     numbered = near.join(small_or_shuffled(several, several.count()), "class_id", "left")
-    open_classes = numbered.select(F.when(F.col("texts").isNull(), F.col("class_id")).otherwise(F.col("d1")).alias("id"), "d1", "class_id", "n", "low")
+    number = F.when(F.col("texts").isNull(), F.col("class_id")).otherwise(F.col("d1")).alias("id")
+    open_classes = cut(numbered.select(number, "d1", "class_id", "n", "low").dropDuplicates(["id"]))
     asked = open_classes.select(F.col("class_id").alias("doc_id"), "d1", "id")
     found = texts.join(small_or_shuffled(asked, near.count()), "doc_id").select("text", "d1", "id")
     opened = map_batches(found, _sets, "id long, tokens binary", limit=SLICE)
     opened = cut(opened.dropDuplicates(["id"]))  # documents may have repeated rows
 
     # 3. groups by leaders
-    open_classes = open_classes.dropDuplicates(["id"])
     links = cut(verify(leader_pairs(open_classes.select("id", "low")), opened))
     groups = connected_components(links)
 
