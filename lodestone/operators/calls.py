@@ -6,7 +6,10 @@ the syntax module, `imports` (src, dst). Java's types are known by the conventio
 a file is named after its type. What a file sees: the types it imports (a wildcard brings
 the package's), and those of its own package; inferred by package, a type must lie under
 the same source root (src/main or src/test). Where one simple name is seen
-twice, the own package wins, then the later import."""
+twice, the own package wins, then the later import.
+
+Both sides of these joins grow with the tree, and Spark's guess of their size knows nothing of
+exploded lines: it would send whole sides through the driver. So they ask for a merge."""
 
 from __future__ import annotations
 
@@ -57,7 +60,7 @@ def _imported(imports: DataFrame, types: DataFrame) -> DataFrame:
     single = imports.where("NOT wildcard").select("path", "line", "specifier")
     parts = F.split("specifier", r"\.")
     every = single.select("path", "line", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, 1, n), ".").alias("t")))).alias("x"))
-    met = every.join(types.select(F.col("type").alias("t"), F.col("path").alias("target"), "simple"), F.col("x.t") == F.col("t"))
+    met = every.join(types.select(F.col("type").alias("t"), F.col("path").alias("target"), "simple").hint("merge"), F.col("x.t") == F.col("t"))
     return met.groupBy("path", "line").agg(F.max_by(F.struct("target", "simple"), "x.n").alias("b")).select("path", "line", F.col("b.target").alias("target"), F.col("b.simple").alias("simple"))
 
 
@@ -70,8 +73,8 @@ def _mentions(lines: DataFrame) -> DataFrame:
 def _by_package(asked: DataFrame, types: DataFrame, words: DataFrame) -> DataFrame:
     """(path, line, target, simple): the types of a package (path, line, package) that the file mentions, under the file's
     source root. The words decide, so that a large package doesn't meet all files that import it."""
-    named = asked.withColumn("root", source_root(F.col("path"))).join(words, "path")
-    return named.join(types.select("package", "root", F.col("path").alias("target"), "simple"), ["package", "root", "simple"]).select("path", "line", "target", "simple")
+    named = asked.withColumn("root", source_root(F.col("path"))).join(words.hint("merge"), "path")
+    return named.join(types.select("package", "root", F.col("path").alias("target"), "simple").hint("merge"), ["package", "root", "simple"]).select("path", "line", "target", "simple")
 
 
 def wildcard_targets(lines: DataFrame, types: DataFrame) -> DataFrame:
@@ -101,8 +104,8 @@ def dispatch_edges(lines: DataFrame, types: DataFrame) -> DataFrame:
     relations = syntax.type_relations(lines.where(F.col("path").endswith(".java")))
     dotted = relations.where(F.instr("to", ".") > 0).select("path", "line", "kind", F.col("to").alias("specifier"), F.lit(False).alias("wildcard"))
     full = _imported(dotted.withColumn("line", F.struct("line", "kind", "specifier")), types).select("path", F.col("line.specifier").alias("to"), F.col("line.kind").alias("kind"), F.col("line.line").alias("line"), F.col("target").alias("named"))
-    met = relations.join(full, ["path", "to", "kind", "line"], "left").withColumn("simple", _simple(F.col("to")))
-    met = met.join(visible_types(lines, types), ["path", "simple"], "left")
+    met = relations.join(full.hint("merge"), ["path", "to", "kind", "line"], "left").withColumn("simple", _simple(F.col("to")))
+    met = met.join(visible_types(lines, types).hint("merge"), ["path", "simple"], "left")
     target = F.coalesce("named", "target")
     return met.where(target.isNotNull() & (target != F.col("path"))).groupBy("path", target.alias("target"), "kind").agg(F.min("line").alias("line"))
 
@@ -138,23 +141,23 @@ def call_edges(lines: DataFrame, imports: DataFrame, types: DataFrame | None = N
     types = java_types(lines) if types is None else types
     coded = syntax.code_lines(lines)
     symbols = syntax.symbols(lines).select("path", "name", "line", "id")
-    sites = call_sites(coded).join(syntax.scopes(lines).select("path", "line", F.col("name").alias("caller_name"), F.col("around").alias("caller_line")), ["path", "line"], "left")
+    sites = call_sites(coded).join(syntax.scopes(lines).select("path", "line", F.col("name").alias("caller_name"), F.col("around").alias("caller_line")).hint("merge"), ["path", "line"], "left")
     own_head = F.col("receiver").isNull() & (F.col("caller_line") == F.col("line")) & (F.col("caller_name") == F.col("name")) & ~F.col("inside")
     sites = sites.where(~F.coalesce(own_head, F.lit(False))).withColumn("java", F.col("path").endswith(".java"))
     named = F.col("receiver").rlike("^[A-Z]")
-    declared = sites.where(F.col("java") & F.col("receiver").isNotNull() & ~named).join(receiver_types(coded), ["path", "receiver"])
+    declared = sites.where(F.col("java") & F.col("receiver").isNotNull() & ~named).join(receiver_types(coded).hint("merge"), ["path", "receiver"])
     typed = declared.unionByName(sites.where(F.col("java") & named).withColumn("type", F.col("receiver")))
     seen = visible_types(lines, types).withColumnsRenamed({"simple": "type", "target": "callee_path"})
     callee = symbols.select(F.col("path").alias("callee_path"), "name", F.col("line").alias("callee_line"), F.col("id").alias("callee"))
     place = ["path", "line", "nth"]
     here = ["path", "line", "caller_name", "caller_line", "callee_path", "callee"]
-    by_type = typed.join(seen, ["path", "type"]).join(callee, ["callee_path", "name"]).select(*here)
-    plain = sites.join(typed.select(*place).distinct(), place, "left_anti")
+    by_type = typed.join(seen.hint("merge"), ["path", "type"]).join(callee.hint("merge"), ["callee_path", "name"]).select(*here)
+    plain = sites.join(typed.select(*place).distinct().hint("merge"), place, "left_anti")
     first = callee.groupBy("callee_path", "name").agg(F.min_by("callee", "callee_line").alias("callee"))
-    own = plain.join(first.withColumnRenamed("callee_path", "path"), ["path", "name"], "left")
+    own = plain.join(first.withColumnRenamed("callee_path", "path").hint("merge"), ["path", "name"], "left")
     local = own.where("callee IS NOT NULL").withColumn("callee_path", F.col("path")).select(*here)
     away = (
-        own.where("callee IS NULL").drop("callee").join(imports.select(F.col("src").alias("path"), F.col("dst").alias("callee_path")), "path").join(first, ["callee_path", "name"])
+        own.where("callee IS NULL").drop("callee").join(imports.select(F.col("src").alias("path"), F.col("dst").alias("callee_path")).hint("merge"), "path").join(first.hint("merge"), ["callee_path", "name"])
         .groupBy("path", "line", "nth", "caller_name", "caller_line").agg(F.min(F.struct("callee_path", "callee")).alias("b"))
         .select("path", "line", "caller_name", "caller_line", F.col("b.callee_path").alias("callee_path"), F.col("b.callee").alias("callee"))
     )

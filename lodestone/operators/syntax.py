@@ -5,7 +5,8 @@ indentation, in order, with the open definitions on a stack: so nothing in a com
 or string counts, and every symbol gets its last line and the symbol around it. Lines are brought together
 by path in one exchange; Spark's expressions do the matching of names between two
 narrow passes over the same sorted partitions. A task holds one batch of lines and
-the open definitions, whatever a file's length.
+the open definitions, whatever a file's length. Joins ask for a merge: Spark's guess of
+a side's size knows nothing of exploded lines and would send it through the driver.
 
 Languages: Python by indentation; Java, TypeScript and JavaScript by braces. What is
 a symbol: functions, methods (within a class), classes, types (interface, enum,
@@ -249,7 +250,7 @@ def type_relations(lines: DataFrame, most: int = 12) -> DataFrame:
     # a head's lines, put together in order: as many as `most`
     starts = coded.where(F.when(python, c.rlike(rf"^\s*class\s+{_NAME}")).otherwise(c.rlike(_TYPE)))
     heads = starts.select("path", F.col("line").alias("start"), F.explode(F.sequence("line", F.col("line") + most - 1)).alias("line"))
-    texts = heads.join(coded.select("path", "line", "code"), ["path", "line"]).groupBy("path", "start").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "code"))), lambda x: x["code"]), " ").alias("head"))
+    texts = heads.join(coded.select("path", "line", "code").hint("merge"), ["path", "line"]).groupBy("path", "start").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "code"))), lambda x: x["code"]), " ").alias("head"))
     head = _without_generics(F.regexp_extract("head", r"^([^{;]*)", 1))
     owner = F.when(python, F.regexp_extract("head", rf"\bclass\s+({_NAME})", 1)).otherwise(F.regexp_extract(head, rf"\b(?:class|interface|enum|record|type)\s+({_NAME})", 1))
     bases = F.when(python, F.regexp_extract("head", rf"\bclass\s+{_NAME}\s*\(([^)]*)\)\s*:", 1)).otherwise(F.regexp_extract(head, r"\bextends\b(.*?)(?:\bimplements\b|$)", 1))
@@ -267,7 +268,7 @@ def resolved_types(relations: DataFrame, symbols_: DataFrame) -> DataFrame:
     per = types.groupBy("name").agg(F.count_distinct("declared").alias("n"), F.min("declared").alias("only"))
     own = types.distinct().withColumn("here", F.lit(True))
     simple = relations.withColumn("simple", F.substring_index("to", ".", -1))
-    met = simple.join(per, simple["simple"] == per["name"], "left").drop("name").join(own, (F.col("simple") == own["name"]) & (F.col("path") == own["declared"]), "left").drop("name", "declared")
+    met = simple.join(per.hint("merge"), simple["simple"] == per["name"], "left").drop("name").join(own.hint("merge"), (F.col("simple") == own["name"]) & (F.col("path") == own["declared"]), "left").drop("name", "declared")
     file = F.when(F.col("here"), F.col("path")).when(F.col("n") == 1, F.col("only"))
     several = F.when(F.col("here").isNull() & (F.col("n") > 1), F.col("n"))
     return met.select("path", "owner", "line", "kind", "to", file.alias("to_file"), several.alias("ambiguous"))

@@ -70,3 +70,12 @@ def test_calls(spark):
 def test_empty(spark):
     every = lines(spark, {"x.java": ""})
     assert calls.call_edges(every, spark.createDataFrame([], "src string, dst string")).count() == 0
+
+
+def test_no_side_goes_through_the_driver(spark):
+    """Types, symbols and lines grow with the tree: however small Spark guesses them to be, no join broadcasts them."""
+    from lodestone.plans import javatree
+
+    for q in (javatree.j07_java_imports, javatree.x12_java_calls, javatree.x13_dispatch_edges, javatree.x17_type_relations):
+        plan = q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan, q.__name__
