@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lodestone.functions import text as T
-from lodestone.operators.graph import reachable
+from lodestone.operators.graph import reachable, settle
 
 #: Words before a bracket that call nothing: Python's keywords and the statements of the C family.
 STATEMENTS = frozenset(keyword.kwlist) | frozenset("catch do foreach function lock new require sizeof super switch synchronized throw typeof using".split())
@@ -167,23 +167,36 @@ def script_candidates(path: Column, specifier: Column) -> Column:
     return F.concat(F.array(base), rewritten, F.array(*ends))
 
 
+#: As many symbols of imported files are broadcast; more are met by a merge. It decides about speed only.
+FEW = 200_000
+
+
+def call_targets(sites: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """(path, name, callee_path, callee_line): what each name that a file calls means: the first symbol of
+    that name in the file, else the first in an imported one. Names that mean nothing are left out.
+    A name is looked up once a file, however often it is called."""
+    # kept, as several readers would each scan the lines again
+    first = settle(symbols.groupBy("path", "name").agg(F.min("line").alias("callee_line")))
+    imports = settle(imports.select(F.col("src").alias("path"), "dst").distinct())
+    there = first.join(imports.select(F.col("dst").alias("path")).distinct(), "path", "left_semi").withColumnsRenamed({"path": "dst", "callee_line": "there_line"})
+    there = settle(there)
+    there = F.broadcast(there) if there.count() <= FEW else there.hint("merge")
+    unmet = sites.select("path", "name").distinct().join(first, ["path", "name"], "left_anti")
+    away = unmet.join(imports, "path").join(there, ["dst", "name"]).groupBy("path", "name").agg(F.min(F.struct("dst", "there_line")).alias("hit"))
+    own = first.select("path", "name", F.col("path").alias("callee_path"), "callee_line")
+    return own.unionByName(away.select("path", "name", F.col("hit.dst").alias("callee_path"), F.col("hit.there_line").alias("callee_line")))
+
+
+def resolved_calls(sites: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """(path, line, nth, name, callee_path, callee_line): calls with the symbol that they mean. Calls that resolve to nothing are left out."""
+    met = sites.select("path", "line", "nth", "name").join(call_targets(sites, symbols, imports), ["path", "name"])
+    return met.select("path", "line", "nth", "name", "callee_path", "callee_line")
+
+
 def call_edges(sites: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """(path, line, nth, name, caller, callee_path, callee_line): the symbol of a call is the first of
-    that name in its own file, else the first in an imported one; the caller is the last symbol of
-    the file, by line, that contains the call. Calls that resolve to nothing are left out."""
-    first = symbols.groupBy("path", "name").agg(F.min("line").alias("callee_line"))
-    own = sites.join(first, ["path", "name"], "left")
-    there = first.withColumnsRenamed({"path": "dst", "callee_line": "there_line"})
-    away = (
-        own.where("callee_line IS NULL")
-        .join(imports.select(F.col("src").alias("path"), "dst"), "path")
-        .join(there, ["dst", "name"])
-        .groupBy("path", "line", "nth", "receiver", "name")
-        .agg(F.min(F.struct("dst", "there_line")).alias("hit"))
-    )
-    here = own.where("callee_line IS NOT NULL").select("path", "line", "nth", "name", F.col("path").alias("callee_path"), "callee_line")
-    edges = here.unionByName(away.select("path", "line", "nth", "name", F.col("hit.dst").alias("callee_path"), F.col("hit.there_line").alias("callee_line")))
-    return enclosing(edges, symbols)
+    """(path, line, nth, name, caller, callee_path, callee_line): resolved calls with the caller, the last symbol of
+    the file, by line, that contains the call."""
+    return enclosing(resolved_calls(sites, symbols, imports), symbols)
 
 
 def _callers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +228,7 @@ def enclosing(points: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def file_edges(imports: DataFrame, calls: DataFrame) -> DataFrame:
-    """(src, dst): distinct dependencies of files on others, by import or call."""
+    """(src, dst): distinct dependencies of files on others, by import or call (call edges or targets)."""
     called = calls.select(F.col("path").alias("src"), F.col("callee_path").alias("dst"))
     return imports.select("src", "dst").union(called).where("src <> dst").distinct()
 

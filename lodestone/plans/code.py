@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import code as C
+from lodestone.operators.graph import settle
 from lodestone.plans.registry import query, table
 
 _SRC = r"""WITH RECURSIVE src AS (SELECT 'pkg' || (l_suppkey % 20) || CASE WHEN l_suppkey % 13 = 0 THEN '/db' WHEN l_suppkey % 11 = 0 THEN '/tests/' ELSE '/' END || 'mod' || l_suppkey || '.py' AS path,
@@ -68,13 +69,19 @@ def _imports(spark, sf_dir):
     return _targets(spark, sf_dir).where("target IS NOT NULL").select(F.col("path").alias("src"), F.col("target").alias("dst")).distinct()
 
 
-def _calls(spark, sf_dir):
+def _calls(spark, sf_dir, find=C.call_edges):
     lines = _lines(spark, sf_dir)
-    return C.call_edges(C.call_sites(lines), C.symbols(lines), _imports(spark, sf_dir))
+    return find(C.call_sites(lines), C.symbols(lines), _imports(spark, sf_dir))
+
+
+def _called(spark, sf_dir):
+    """What the names that a file calls mean; own names that it never calls are no edge to another file."""
+    return _calls(spark, sf_dir, C.call_targets)
 
 
 def _edges(spark, sf_dir):
-    return C.file_edges(_imports(spark, sf_dir), _calls(spark, sf_dir))
+    """Kept, as its readers would each resolve all calls again."""
+    return settle(C.file_edges(_imports(spark, sf_dir), _called(spark, sf_dir)))
 
 
 @query(_SRC + "SELECT * FROM sym")
@@ -111,12 +118,12 @@ def j09_enclosing_symbols(spark, sf_dir):
 
 @query(_SRC + "SELECT src, dst FROM edge")
 def g01_file_edges(spark, sf_dir):
-    return _edges(spark, sf_dir)
+    return C.file_edges(_imports(spark, sf_dir), _called(spark, sf_dir))
 
 
 @query(_SRC + "SELECT path, count(*) FILTER (path <> callee_path) AS cross_file FROM call GROUP BY 1")
 def a48_cross_file_calls(spark, sf_dir):
-    return _calls(spark, sf_dir).groupBy("path").agg(F.count_if(F.col("path") != F.col("callee_path")).alias("cross_file"))
+    return _calls(spark, sf_dir, C.resolved_calls).groupBy("path").agg(F.count_if(F.col("path") != F.col("callee_path")).alias("cross_file"))
 
 
 @query(_SRC + """SELECT path, (SELECT count(DISTINCT dst) FROM edge WHERE src = path) AS calls_out, (SELECT count(DISTINCT src) FROM edge WHERE dst = path) AS calls_in FROM files""")

@@ -79,3 +79,16 @@ def test_no_side_goes_through_the_driver(spark):
     for q in (javatree.j07_java_imports, javatree.x12_java_calls, javatree.x13_dispatch_edges, javatree.x17_type_relations):
         plan = q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan and "SortMergeJoin" in plan, q.__name__
+
+
+def test_a_name_is_looked_up_once_a_file(spark):
+    """A file's own symbol comes first, then the first imported one; repeated calls share the look-up."""
+    from lodestone.operators import code
+
+    sites = spark.createDataFrame([("a.py", k, 0, None, n) for k, n in enumerate(["f", "f", "g", "g", "own", "none"], 10)], "path string, line int, nth int, receiver string, name string")
+    symbols = spark.createDataFrame([("a.py", "function", "own", 1, 9), ("b.py", "function", "own", 1, 2), ("c.py", "function", "f", 5, 6), ("b.py", "function", "f", 7, 8), ("b.py", "function", "f", 3, 4), ("d.py", "function", "g", 1, 2)], "path string, kind string, name string, line int, end int")
+    imports = spark.createDataFrame([("a.py", "c.py"), ("a.py", "b.py"), ("b.py", "d.py")], "src string, dst string")
+    asked = [tuple(r) for r in code.call_targets(sites, symbols, imports).where("path = 'a.py'").collect()]
+    assert sorted(asked) == [("a.py", "f", "b.py", 3), ("a.py", "own", "a.py", 1)]
+    got = {(r.line, r.name, r.callee_path, r.callee_line) for r in code.resolved_calls(sites, symbols, imports).collect()}
+    assert got == {(10, "f", "b.py", 3), (11, "f", "b.py", 3), (14, "own", "a.py", 1)}
