@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import token_hits
+from lodestone.operators.graph import settle
+
+#: Terms of text whose counts a partition holds, and rows of (query, term) that may be broadcast.
+TERMS_A_PART = 1 << 19
+BROADCAST_ROWS = 500_000
 
 
 def face_scores(corpus: DataFrame, tokens: list[str], faces: dict[str, int], test_cap: Column | None = None) -> DataFrame:
@@ -30,19 +41,42 @@ def exploded_terms(corpus: DataFrame, key: str, terms: Column) -> DataFrame:
     return corpus.select(key, F.explode(sized).alias("t")).select(key, "t.term", "t.length")
 
 
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, terms) -> (key, length, term, tf): each term of a document once, with its count."""
+    for batch in batches:
+        lists = batch.column(1)
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not lengths.sum():
+            continue
+        coded = lists.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        width = len(coded.dictionary)
+        met, tf = np.unique(row * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        row, term = met // width, met % width
+        columns = [batch.column(0).take(pa.array(row)), pa.array(lengths[row]), coded.dictionary.take(pa.array(term)), pa.array(tf.astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "length", "term", "tf"])
+
+
 def bm25(corpus: DataFrame, key: str, terms: Column, queries: DataFrame, query_key: str, query_terms: Column, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query, document, score) of all pairs that share a term. Only the queries' terms
-    are looked up: the term filter comes before the counts are shuffled."""
-    asked = queries.select(query_key, F.explode(F.array_distinct(query_terms)).alias("term"))
+    """(query, document, score) of all pairs that share a term. Terms are counted where the
+    document is read; counts of the queries' terms are dealt by document, TERMS_A_PART terms of text to a
+    partition, and stay there: pairs are summed, and may be ranked, without being shuffled. Rows
+    of one key with as many terms count as one document."""
     size = corpus.select(F.size(terms).alias("n")).where("n > 0").agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()
     docs, mean = size["docs"], size["mean"] or 1.0
-    words = exploded_terms(corpus, key, terms)
-    found = words.join(asked.select("term").distinct(), "term", "left_semi")
-    tf = found.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    asked = settle(queries.select(query_key, F.explode(F.array_distinct(query_terms)).alias("term")).distinct())
+    # the queries' own size decides whether they are broadcast
+    near = F.broadcast if asked.count() <= BROADCAST_ROWS else lambda df: df
+    kind = corpus.schema[key].dataType.simpleString()
+    counted = corpus.select(F.col(key).alias("key"), terms.alias("terms")).mapInArrow(_term_counts, f"key {kind}, length long, term string, tf long")
+    found = settle(counted.join(near(asked.select("term").distinct()), "term", "left_semi"))
+    parts = max(corpus.sparkSession.sparkContext.defaultParallelism, math.ceil(docs * mean / TERMS_A_PART))
+    tf = found.repartition(parts, "key").groupBy("key", "length", "term").agg(F.sum("tf").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    return tf.join(df, "term").join(asked, "term").groupBy(query_key, key).agg(F.sum(part).alias("score"))
+    weighed = asked.join(df, "term").select(query_key, "term", idf.alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
+    return tf.withColumnRenamed("key", key).join(near(weighed), "term").groupBy(query_key, key).agg(F.sum(part).alias("score"))
 
 
 def gated_tokens(df: DataFrame, documents: int, share: float = 0.12, least: int = 3) -> DataFrame:

@@ -74,5 +74,5 @@ def t06_bm25_recall(spark, sf_dir):
     docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: t != "")
     s = search.bm25(docs, "doc_id", words, asked, "item_id", words).withColumn("score", F.round("score", 6))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     return s.withColumn("rank", rank).where("rank <= 3 AND score >= 1.2")

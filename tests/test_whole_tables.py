@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 
+import duckdb
 import pytest
 
 from lodestone.plans import registry
@@ -88,3 +89,16 @@ def test_every_source_is_stamped(spark, tmp_path):
     files = spark.createDataFrame([("b", "2"), ("a", "1"), ("a!", "3")], "path string, content_hash string")
     assert [r.stamp for r in repository.fingerprint(files).collect()] == [stamp(["a!:3", "a:1", "b:2"])]
     assert [r.stamp for r in repository.fingerprint(files.limit(0)).collect()] == [stamp([])]
+
+
+def test_bm25_of_repeated_keys(spark, tmp_path):
+    """Rows of one doc_id: alike they are one document with doubled counts, of other lengths documents of their own, summed."""
+    rows = [(1, "tax law tax"), (1, "tax law tax"), (2, "tax"), (2, "law court tax"), (3, "boat"), (4, None), (None, "river")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "tax, law"), (8, "river boat")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.sql(f"CREATE VIEW {name} AS FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = {(*x[:2], round(x[2], 5), x[3]) for x in db.sql(registry.ORACLES["t06_bm25_recall"]).fetchall()}
+    got = {(r.item_id, r.doc_id, round(r.score, 5), r.rank) for r in registry.QUERIES["t06_bm25_recall"](spark, str(tmp_path)).collect()}
+    assert got == want and len(got) > 2
