@@ -7,10 +7,15 @@ offers a point is then a count of terms met, per group of its probes."""
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from lodestone.operators.graph import settle
 from lodestone.operators.ranks import indexed
 
 MAX_NOTES = 12
@@ -89,13 +94,32 @@ def judge(theme: str, concepts: dict[str, list[str]], points: DataFrame, tiers:
     return 0, enabled.groupBy("concept").agg(F.min("point").alias("first")).orderBy("first", "concept").limit(6).select("concept")
 
 
+def _held(clues: list[str]):
+    """Rows whose last column is a text -> those that hold any of the clues, with the clues that they hold instead.
+    Each stretch as long as a clue is looked up once, however many clues there are."""
+    by_length = {n: {c for c in clues if len(c) == n} for n in {len(c) for c in clues}}
+
+    def met(x: str) -> list[str]:
+        return [c for n, known in by_length.items() for c in known.intersection(x[at : at + n] for at in range(len(x) - n + 1))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = pa.array([met(x) if x is not None else [] for x in batch.columns[-1].to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], held], names=batch.schema.names).filter(pc.greater(pc.list_value_length(held), 0))
+
+    return run
+
+
 def block_ranks(blocks: DataFrame, clues: DataFrame, least: int = 2) -> DataFrame:
     """(path, start, matched, score): declaration blocks (path, start, declared, body) by the clues (clue) that they hold: each
     weighs the inverse of the number of blocks that hold it, and up to three declarations a hundredth each."""
     # as many as the clues of one task
     asked = [r.clue for r in clues.select("clue").distinct().orderBy("clue").collect()]
-    held = F.filter(F.array(*map(F.lit, asked)), lambda c: F.contains(F.lower("body"), c)) if asked else F.array().cast("array<string>")
-    rows = blocks.where(F.col("declared") >= least).select("path", "start", "declared", F.explode(held).alias("clue"))
+    # bodies are lowered and read once, for the counts and for the scores
+    known = blocks.where(F.col("declared") >= least).select("path", "start", "declared", F.lower("body").alias("held"))
+    kind = StructType([*known.schema.fields[:3], StructField("held", ArrayType(StringType()))])
+    found = settle(known.mapInArrow(_held([c for c in asked if c is not None]), kind))
+    rows = found.select("path", "start", "declared", F.explode("held").alias("clue"))
     df = rows.groupBy("clue").agg(F.count("*").alias("df"))
     scored = rows.join(F.broadcast(df), "clue").groupBy("path", "start", "declared").agg(F.count("*").alias("matched"), F.sum(1 / F.col("df")).alias("s"))
     return scored.select("path", "start", "matched", (F.col("s") + F.least("declared", F.lit(3)) / 100).alias("score"))

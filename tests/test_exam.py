@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lodestone.operators import code, exam
 
 TEXTS = {
@@ -52,6 +54,21 @@ def test_block_ranks(spark):
     assert got == {"a": (2, 1.52), "b": (1, 0.53)}
 
 
+def test_block_ranks_read_a_body_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def body(k):
+        read.add(1)
+        return None if k == 3 else f"Straße {k} of ΣΊΣΥΦΟΣ" if k % 2 else f"x{k} OF 𝒜{k}"
+
+    blocks = spark.range(8).select(F.col("id").cast("string").alias("path"), F.lit(1).alias("start"), F.lit(2).alias("declared"), F.udf(body)("id").alias("body"))
+    clues = spark.createDataFrame([("straße",), ("of",), ("𝒜6",), (None,), ("of",), ("x2 of",), ("nowhere at all in any of these",)], "clue string")
+    got = {r.path: (r.matched, round(r.score, 6)) for r in exam.block_ranks(blocks, clues).collect()}
+    assert got == {k: (n, round(s + 1 / 7 + 0.02, 6)) for k, n, s in [("0", 1, 0), ("1", 2, 1 / 3), ("2", 2, 1), ("4", 1, 0), ("5", 2, 1 / 3), ("6", 2, 1), ("7", 2, 1 / 3)]}
+    assert read.value == 8
+    assert exam.block_ranks(blocks, clues.limit(0)).count() == 0
+
+
 def test_notes_and_bank(spark):
     kind = "file string, hash string, ord long, point string, line int, level int"
     old = spark.createDataFrame([("f", "h1", 1, "p", 1, 0), ("f", "h1", 2, "q", 1, 2), ("g", "h0", 1, "p", 1, 1), ("z", "h", 1, "p", 1, 1)], kind)
