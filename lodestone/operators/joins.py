@@ -38,11 +38,13 @@ def containing_interval(points: DataFrame, spans: DataFrame, keys: list[str], at
     dealt = leveled.withColumn("__cell", F.explode(F.array_distinct(F.array(place(F.col(start), level), place(F.col(end), level)))))
     # at most one number for each power of two
     sizes = sorted(r[0] for r in leveled.select("__level").distinct().collect()) or [0]
-    rows = points.withColumn("__row", F.monotonically_increasing_id())
-    asked = rows.select(*keys, "__row", at, F.explode(F.array(*map(F.lit, sizes))).alias("__level")).withColumn("__cell", place(F.col(at), level))
+    # points in one place have one answer; what holds a point is reduced to one row where it is met
+    places = points.select(*keys, at).distinct()
+    asked = places.select(*keys, at, F.explode(F.array(*map(F.lit, sizes))).alias("__level")).withColumn("__cell", place(F.col(at), level))
     met = asked.join(dealt, [*keys, "__level", "__cell"]).where(F.col(at).between(F.col(start), F.col(end)))
-    best = best_match(met, ["__row"], F.col(end) - F.col(start), F.desc(start)).drop("__cell", "__level", at, *keys)
-    return rows.join(best, "__row", "left").drop("__row")
+    more = [c for c in spans.columns if c not in keys]
+    best = met.groupBy(*keys, at).agg(F.min_by(F.struct(*more), F.struct(F.col(end) - F.col(start), -F.col(start))).alias("__best"))
+    return points.join(best, [*keys, at], "left").select(*points.columns, *[F.col(f"__best.{c}").alias(c) for c in more])
 
 
 def suffix_join(paths: DataFrame, path: str, specs: DataFrame, spec: str) -> DataFrame:

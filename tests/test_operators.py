@@ -324,3 +324,18 @@ def test_streaming_contributions(spark, tmp_path):
     run.awaitTermination(120)
     rows = spark.sql("SELECT * FROM reviews").collect()
     assert [(r.exercise_id, r.repetitions, r.interval) for r in rows] == [("e", 2, 6)]
+
+
+def test_containing_interval_asks_each_place_once(spark):
+    """Uses of one place share an answer, found without ordering all pairs; nulls are met by nothing."""
+    spans = [(f, s, s + n) for f in (1, 2) for s in range(0, 90, 7) for n in (3, 40, 200)] + [(None, 0, 99)]
+    points = [(k, f, at) for k, (f, at) in enumerate([(1, 50), (1, 50), (2, 89), (2, 300), (3, 5), (None, 5), (1, None)] * 5)]
+    got = joins.containing_interval(spark.createDataFrame(points, "k int, f int, at long"), spark.createDataFrame(spans, "f int, start long, end long"), ["f"], "at", "start", "end")
+    assert got.columns == ["k", "f", "at", "start", "end"]
+
+    def best(f, at):
+        held = [(e - s, -s, s, e) for g, s, e in spans if None not in (f, at) and g == f and s <= at <= e]
+        return min(held)[2:] if held else (None, None)
+
+    assert {r.k: (r.start, r.end) for r in got.collect()} == {k: best(f, at) for k, f, at in points}
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
