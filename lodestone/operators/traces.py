@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.graph import settle
+
 # What the scenes in a journal are called in a history.
 SCENES = {
     "teach": "teaching.turn", "map_chat": "map.chat", "practice_chat": "practice.chat",
@@ -120,6 +122,21 @@ def trace_steps(journal: DataFrame, runs: DataFrame) -> DataFrame:
     return every.select(*keys, seq.alias("seq"), "kind", "status", "tool", "at")
 
 
+def numbered_starts(marks: DataFrame) -> DataFrame:
+    """marks (repository_id, at, ord, starts, ...) with `segment`, the number of a repository's starts up to a mark.
+    Marks are dealt to ranges of time, counted within each range and moved on by the starts of the ranges before."""
+    ranged = marks.repartitionByRange("repository_id", "at", "ord").withColumn("__part", F.spark_partition_id())
+    # kept, so that ranges drawn twice can't differ
+    within = Window.partitionBy("repository_id", "__part").orderBy("at", "ord").rowsBetween(Window.unboundedPreceding, 0)
+    rows = settle(ranged.withColumn("segment", F.sum(F.col("starts").cast("long")).over(within)))
+    counts = rows.groupBy("repository_id", "__part").agg(F.max("segment").alias("n"))
+    earlier = Window.partitionBy("repository_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("repository_id").alias("__of"), F.col("__part").alias("__at"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+    # a row for each repository and range
+    moved = rows.join(F.broadcast(before), (F.col("__part") == F.col("__at")) & F.col("repository_id").eqNullSafe(F.col("__of")))
+    return moved.select(*marks.columns, (F.col("segment") + F.col("__before")).alias("segment"))
+
+
 def settle_orphans(journal: DataFrame, now: Column, active: DataFrame | None = None, calls: DataFrame | None = None) -> DataFrame:
     """Journal rows that end what was interrupted: exercise_aborted, and token_usage where the
     log of model calls (trace_id, scene, model, input, output) knows what was used and the journal doesn't.
@@ -128,18 +145,20 @@ def settle_orphans(journal: DataFrame, now: Column, active: DataFrame | None = N
     them, and if its job isn't `active` (job_id), it was interrupted. Older traces have no start: those with a
     model reply but neither start nor ending are settled when their first reply is 30 minutes old."""
     kind = F.col("type")
-    order = Window.partitionBy("repository_id").orderBy("at", "ord")
-    marks = journal.where(kind.isin("exercise_started", *ENDINGS, "token_usage"))
-    segment = F.sum((kind == "exercise_started").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    start = lambda value: F.min_by(value, F.when(kind == "exercise_started", F.struct("at", "ord")))
-    runs = marks.withColumn("segment", segment).where("segment > 0").groupBy("repository_id", "segment").agg(
-        F.bool_or(kind.isin(*ENDINGS)).alias("ended"), F.bool_or(kind == "token_usage").alias("used"),
-        start(F.col("trace_id")).alias("trace_id"), start(_p("job_id")).alias("job_id"), F.coalesce(start(_p("tag")), F.lit("")).alias("tag"), start(F.col("at")).alias("started_at"),
+    starts, ends = kind == "exercise_started", kind.isin(*ENDINGS)
+    marks = journal.where(starts | ends | (kind == "token_usage")).select(
+        "repository_id", "at", "ord", starts.alias("starts"), ends.alias("ends"), *[F.when(starts, c).alias(n) for n, c in {"trace_id": F.col("trace_id"), "job_id": _p("job_id"), "tag": _p("tag")}.items()]
+    )
+    start = lambda value: F.min_by(value, F.when(F.col("starts"), F.struct("at", "ord")))
+    runs = numbered_starts(marks).where("segment > 0").groupBy("repository_id", "segment").agg(
+        F.bool_or("ends").alias("ended"), F.bool_or(~F.col("starts") & ~F.col("ends")).alias("used"),
+        start(F.col("trace_id")).alias("trace_id"), start(F.col("job_id")).alias("job_id"), F.coalesce(start(F.col("tag")), F.lit("")).alias("tag"), start(F.col("at")).alias("started_at"),
     ).where("NOT ended")
     if active is not None:
         runs = runs.join(active.select("job_id").distinct(), "job_id", "left_anti")
     columns = ["repository_id", "trace_id", "job_id", "tag", "started_at", "used"]
-    replies = journal.where("trace_id IS NOT NULL").groupBy("repository_id", "trace_id").agg(
+    known = kind.isin("exercise_model_reply", "exercise_started", *ENDINGS, "token_usage")
+    replies = journal.where(F.col("trace_id").isNotNull() & known).groupBy("repository_id", "trace_id").agg(
         F.min(F.when(kind == "exercise_model_reply", F.col("at"))).alias("started_at"), F.bool_or(kind.isin("exercise_started", *ENDINGS)).alias("known"), F.bool_or(kind == "token_usage").alias("used"),
     )
     quiet = F.col("started_at") <= now - F.expr(f"INTERVAL {QUIET_MINUTES} MINUTES")

@@ -64,3 +64,18 @@ def test_orphans(spark):
     # the ending of `done` falls into the last start's stretch, which is live anyway
     assert got == {("exercise_aborted", "a", "j1", None, None), ("exercise_aborted", "c", "j3", None, None), ("exercise_aborted", "old", None, None, None), ("token_usage", "a", None, "12", "m")}
     assert traces.settle_orphans(journal(spark, [])  , now).count() == 0
+
+
+def test_orphans_of_one_long_repository(spark):
+    """Starts are counted by ranges of time, and rows are dealt without their payloads."""
+    kinds = ("exercise_started", "exercise_generated", "exercise_model_reply", "exercise_started", "token_usage", "exercise_started")
+    rows = [(kinds[(k * k + k // 6) % 6], k // 3, None, f"t{k}", {"job_id": f"j{k}", "tag": None if k % 2 else "t", "question": "x" * 50}) for k in range(300)]
+    j = journal(spark, rows)
+    marks = [(k, kind) for k, (kind, *_) in enumerate(rows) if kind != "exercise_model_reply"]
+    starts = [i for i, (_, kind) in enumerate(marks) if kind == "exercise_started"]
+    want = {f"j{marks[i][0]}" for i, end in zip(starts, [*starts[1:], len(marks)]) if not any(kind == "exercise_generated" for _, kind in marks[i:end])}
+    got = traces.settle_orphans(j, F.lit(T0)).collect()
+    assert {r.payload["job_id"] for r in got} == want and len(got) == len(want) > 9
+    numbered = traces.numbered_starts(j.select("repository_id", "at", "ord", (F.col("type") == "exercise_started").alias("starts")))
+    held = {k: sum(kinds[(x * x + x // 6) % 6] == "exercise_started" for x in range(k + 1)) for k in range(300)}
+    assert {r.ord: r.segment for r in numbered.collect()} == held
