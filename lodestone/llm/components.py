@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Every round takes the smallest label among the neighbours and then follows
     the label's own label once, so that long chains halve. Rounds end with a
-    checkpoint and one number goes to the driver: how many labels changed.
+    checkpoint and the driver learns whether any label changed.
     Ids joined by many edges are no problem: labels are minima, combined before
     the shuffle. An empty edge table gives an empty result."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
@@ -27,7 +27,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         hooked = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "c").alias("c"))
         jump = labels.select(F.col("id").alias("c"), F.col("component").alias("further"))
         new = cut(hooked.join(jump, "c", "left").select("id", "was", F.least("c", "further").alias("component")))
-        changed = new.where("component <> was").count()
         labels = new.select("id", "component")
-        if not changed:
+        if new.where("component <> was").isEmpty():
             return labels
+
+
+def connected_further(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (id, component) with more edges (a, b): only what the edges join is connected, each
+    component as one node under its smallest id. Ids of edges may be new."""
+    node = lambda end: groups.select(F.col("id").alias(end), F.col("component").alias(f"{end}_in"))
+    named = edges.join(node("a"), "a", "left").join(node("b"), "b", "left")
+    joined = connected_components(named.select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")))
+    moved = joined.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    known = groups.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return known.unionByName(joined.join(groups.select("id"), "id", "left_anti").select("id", "component"))

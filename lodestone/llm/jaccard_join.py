@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_batches, small_or_shuffled, table
-from .components import connected_components
+from .components import connected_components, connected_further
 
 WORDS = 5
 THRESHOLD = 75  # per cent
@@ -538,7 +538,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = known_groups.select("id", F.coalesce("component", "id").alias("g"), "n", F.col("component").isNull().alias("alone"), "low")
     more = cut(_residual(narrowed(opened, members.select("id", "g", "n")), members.drop("n")))
     if not more.isEmpty():
-        groups = connected_components(links.unionByName(more))
+        groups = cut(connected_further(groups, more))
 
     placed = groups.join(open_classes.select("id", "d1", "class_id"), "id").select("component", "d1", "class_id")
     least = placed.groupBy("component").agg(F.min("class_id").alias("component_id"))

@@ -586,3 +586,16 @@ def test_quality_score_is_the_plain_difference_of_sizes(spark):
         z = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], x, model.mean, model.scale))
         assert row.score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-6)
     assert all(x.score > 0.5 for x in quality.score(docs, model).collect() if x.doc_id is not None and x.doc_id < 60)
+
+
+def test_components_connected_further(spark):
+    """More edges join components under their smallest id, as if all edges had been there at once."""
+    from lodestone.llm.components import connected_components, connected_further
+
+    pairs = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    first, more = [(1, 2), (2, 3), (10, 11), (20, 21), (30, 31)], [(3, 11), (21, 40), (40, 5), (50, 51), (1, 2), (7, 7)]
+    groups = connected_components(pairs(first))
+    got = {r.id: r.component for r in connected_further(groups, pairs(more)).collect()}
+    want = {r.id: r.component for r in connected_components(pairs(first + more)).collect()}
+    assert got == want and got[11] == 1 and got[20] == 5 and got[51] == 50 and got[31] == 30
+    assert {r.id: r.component for r in connected_further(groups, pairs([(2, 1), (9, 9)])).collect()} == {r.id: r.component for r in groups.collect()}
