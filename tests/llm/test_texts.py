@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from lodestone.llm import decontamination, jaccard_join, language_id, licenses, line_dedup, mixing, quality, secrets
@@ -599,3 +600,25 @@ def test_components_connected_further(spark):
     want = {r.id: r.component for r in connected_components(pairs(first + more)).collect()}
     assert got == want and got[11] == 1 and got[20] == 5 and got[51] == 50 and got[31] == 30
     assert {r.id: r.component for r in connected_further(groups, pairs([(2, 1), (9, 9)])).collect()} == {r.id: r.component for r in groups.collect()}
+
+
+def test_components_of_a_load_need_one_round(spark, monkeypatch):
+    """What lies in one load is connected in its task: a long chain takes one round, and few jobs. Small
+    loads leave the rest to the rounds, with the same result."""
+    from lodestone.llm import components
+
+    r = random.Random(3)
+    chain = list(range(60))
+    r.shuffle(chain)
+    edges = [(x, y) if r.random() < 0.5 else (y, x) for x, y in zip(chain, chain[1:])] + [(1000, 1001), (1001, 1000), (1002, 1002), (None, 5)]
+    want = {x: 0 for x in chain} | {1000: 1000, 1001: 1000}
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    cuts = []
+    monkeypatch.setattr(components, "cut", lambda df, f=components.cut: cuts.append(df) or f(df))
+    got = components.connected_components(frame).collect()
+    assert len(got) == len(want) and {x.id: x.component for x in got} == want
+    assert len(cuts) == 3  # edges, labels and a round in which nothing changes
+    monkeypatch.setattr(components, "LOAD_EDGES", 20)
+    assert {x.id: x.component for x in components.connected_components(frame).collect()} == want
+    ids, least = components.forest(*np.array(edges[:59]).T)
+    assert ids.tolist() == sorted(chain) and not least.any()
