@@ -257,8 +257,8 @@ def _packed(ranges: int, whole: bool, own: bool):
 
 
 def _by_class(d: np.ndarray, met: np.ndarray, shares: int) -> pa.Table:
-    """Counts met of classes d, packed by share of the classes."""
-    which = ((d >> np.int64(33)) + (1 << 30)) * shares >> np.int64(31)
+    """Counts met of classes d, packed by share of the classes; d may be a small number, so its hash decides."""
+    which = ((_mixed(d.astype(np.uint64)) >> np.uint64(33)) * np.uint64(shares) >> np.uint64(31)).astype(np.int64)
     order = np.argsort(which, kind="stable")
     which, d, met = which[order], d[order], met[order]
     at = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else np.empty(0, np.int64)

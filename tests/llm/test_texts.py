@@ -217,6 +217,14 @@ def test_jaccard_join_large_group(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == components_plain(docs)
 
 
+def test_jaccard_join_deals_small_ids():
+    """Counts are dealt over all shares, and a class to one share, whether classes are numbers of documents or digests."""
+    for d in (np.arange(20_000), np.arange(20_000) * -(1 << 48)):
+        of = [(share, np.frombuffer(x, np.int64)) for load in (d, d[::-1]) for share, x in jaccard_join._by_class(load, np.ones(len(d), np.int64), 16).select(["share", "d"]).to_pandas().itertuples(index=False)]
+        assert {share for share, _ in of} == set(range(16)) and max(len(x) for _, x in of) < 1600
+        assert len({(share, k) for share, x in of for k in x.tolist()}) == len(d)
+
+
 def test_jaccard_join_words(spark):
     """Words across stretches, long words, and letters in either case."""
     import pyarrow as pa
