@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import extract, syntax
+from lodestone.operators.graph import settle
 
 # Words before a bracket that call nothing; what a call, a declaration and a
 # declared name look like. They decide which calls count.
@@ -139,11 +140,13 @@ def call_edges(lines: DataFrame, imports: DataFrame, types: DataFrame | None = N
     others mean the first symbol of their name in their own file, else the first, by path
     and line, in an imported one. A symbol's own declaration is no call of itself."""
     types = java_types(lines) if types is None else types
-    coded = syntax.code_lines(lines)
-    symbols = syntax.symbols(lines).select("path", "name", "line", "id")
-    sites = call_sites(coded).join(syntax.scopes(lines).select("path", "line", F.col("name").alias("caller_name"), F.col("around").alias("caller_line")).hint("merge"), ["path", "line"], "left")
+    # masked and scanned once: what both give is read several times
+    coded = settle(syntax.code_lines(lines))
+    spanned = settle(syntax.spans(coded))
+    symbols = syntax.symbols_of(spanned).select("path", "name", "line", "id")
+    sites = call_sites(coded).join(syntax.scopes_of(spanned).select("path", "line", F.col("name").alias("caller_name"), F.col("around").alias("caller_line")).hint("merge"), ["path", "line"], "left")
     own_head = F.col("receiver").isNull() & (F.col("caller_line") == F.col("line")) & (F.col("caller_name") == F.col("name")) & ~F.col("inside")
-    sites = sites.where(~F.coalesce(own_head, F.lit(False))).withColumn("java", F.col("path").endswith(".java"))
+    sites = settle(sites.where(~F.coalesce(own_head, F.lit(False))).withColumn("java", F.col("path").endswith(".java")))
     named = F.col("receiver").rlike("^[A-Z]")
     declared = sites.where(F.col("java") & F.col("receiver").isNotNull() & ~named).join(receiver_types(coded).hint("merge"), ["path", "receiver"])
     typed = declared.unionByName(sites.where(F.col("java") & named).withColumn("type", F.col("receiver")))

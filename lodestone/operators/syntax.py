@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -102,22 +104,31 @@ _PYTHON = rf"^\s*(?:async\s+)?(def|class)\s+({_NAME})"
 _NO_METHOD = ("if", "for", "while", "switch", "catch", "return", "new", "throw", "else", "do", "try", "super", "this", "function", "synchronized", "await", "typeof", "assert")
 
 
-def _found(code: Column, path: Column) -> Column:
-    """What a line may define: struct(kind, name), or null. A method counts only directly in a class."""
-    one = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
-    get = lambda pattern, k: F.regexp_extract(code, pattern, k)
-    python = F.when(get(_PYTHON, 1) == "def", one("function", get(_PYTHON, 2))).when(get(_PYTHON, 1) == "class", one("class", get(_PYTHON, 2)))
-    script = path.rlike(SCRIPTS)
-    word = get(_TYPE, 1)
-    kind = F.when(word.isin("class", "record"), one("class", get(_TYPE, 2))).when((word != "") & ((word != "type") | script), one("type", get(_TYPE, 2)))
-    method = F.when(script, get(_METHOD_JS, 1)).otherwise(get(_METHOD_JAVA, 1))
-    braces = F.coalesce(
-        kind,
-        F.when(script & (get(_FUNCTION, 1) != ""), one("function", get(_FUNCTION, 1))),
-        F.when(script & (get(_BOUND, 1) != ""), one("function", get(_BOUND, 1))),
-        F.when((method != "") & ~method.isin(*_NO_METHOD), one("method", method)),
-    )
-    return F.when(path.endswith(".py"), python).otherwise(braces)
+def _found(coded: DataFrame) -> DataFrame:
+    """What a line may define, as columns `what` and `name`, or null. A method counts only directly in a class.
+
+    Each pattern runs once, in a column of its own, and only over lines that hold what it can't do without."""
+    path, code = F.col("path"), F.col("code")
+    script, python = path.rlike(SCRIPTS), path.endswith(".py")
+    group = lambda pattern, k: F.regexp_extract(code, pattern, k)
+    both = lambda pattern: F.struct(group(pattern, 1).alias("word"), group(pattern, 2).alias("name"))
+    holds = lambda *words: reduce(or_, (F.contains(code, F.lit(w)) for w in words))
+    bracket = holds("(")
+    rows = coded.withColumns({
+        "py": F.when(python & holds("def", "class"), both(_PYTHON)),
+        "type": F.when(~python & holds("class", "interface", "enum", "record", "type"), both(_TYPE)),
+        "function": F.when(script & holds("function"), group(_FUNCTION, 1)),
+        "bound": F.when(script & holds("="), group(_BOUND, 1)),
+        "method": F.when(~python & bracket, F.when(script, group(_METHOD_JS, 1)).otherwise(group(_METHOD_JAVA, 1))),
+    })
+    word, method = F.col("type.word"), F.col("method")
+    kind = F.when(word.isin("class", "record"), "class").when((word != "") & ((word != "type") | script), "type")
+    braces = F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.col("type.name").alias("name")))
+    for column, is_one in (("function", F.col("function") != ""), ("bound", F.col("bound") != ""), ("method", (method != "") & ~method.isin(*_NO_METHOD))):
+        braces = braces.when(is_one, F.struct(F.lit("method" if column == "method" else "function").alias("kind"), F.col(column).alias("name")))
+    of_python = F.when(F.col("py.word") == "def", "function").when(F.col("py.word") == "class", "class")
+    found = F.when(python, F.when(of_python.isNotNull(), F.struct(of_python.alias("kind"), F.col("py.name").alias("name")))).otherwise(braces)
+    return rows.withColumn("found", found).select("*", F.col("found.kind").alias("what"), F.col("found.name").alias("name"))
 
 
 class _Open:
@@ -206,19 +217,22 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _scanned(coded: DataFrame) -> DataFrame:
-    found = _found(F.col("code"), F.col("path"))
     marks = F.regexp_replace(F.translate("code", "[]", "()"), r"[^{};()]", "")
     python = F.regexp_replace(F.translate("code", "[]{}", "()()"), r"[^()]", "")
-    return coded.select(
+    return _found(coded).select(
         "path", "line", (F.length("code") - F.length(F.ltrim("code"))).alias("indent"), (F.trim("content") == "").alias("blank"),
         F.when(F.col("path").endswith(".py"), python).otherwise(F.when(F.col("path").rlike(SCRIPTS), F.regexp_replace("code", r"[^{};()]", "")).otherwise(marks)).alias("marks"),
-        F.col("code").rlike(r"=>\s*[^\s{(]").alias("arrow"), found["kind"].alias("what"), found["name"].alias("name"),
+        F.col("code").rlike(r"=>\s*[^\s{(]").alias("arrow"), "what", "name",
     )
 
 
 def symbols(lines: DataFrame) -> DataFrame:
     """(path, kind, name, line, end, around, id): symbols of lines (path, line, content) with the line of the symbol around each."""
-    return _spanned(code_lines(lines)).where("kind <> 'scope'").withColumn("id", symbol_id("path", "name", "line"))
+    return symbols_of(spans(code_lines(lines)))
+
+
+def symbols_of(spanned: DataFrame) -> DataFrame:
+    return spanned.where("kind <> 'scope'").withColumn("id", symbol_id("path", "name", "line"))
 
 
 def symbol_id(path: str, name: str, line: str) -> Column:
@@ -227,10 +241,15 @@ def symbol_id(path: str, name: str, line: str) -> Column:
 
 def scopes(lines: DataFrame) -> DataFrame:
     """(path, line, name, around): the innermost symbol that contains each line with a bracket, and where it begins."""
-    return _spanned(code_lines(lines)).where("kind = 'scope'").select("path", "line", "name", "around")
+    return scopes_of(spans(code_lines(lines)))
+
+
+def scopes_of(spanned: DataFrame) -> DataFrame:
+    return spanned.where("kind = 'scope'").select("path", "line", "name", "around")
 
 
-def _spanned(coded: DataFrame) -> DataFrame:
+def spans(coded: DataFrame) -> DataFrame:
+    """Symbols and scopes of code_lines, in one pass, for those who need both."""
     return _scanned(coded).mapInArrow(_spans, _SPANS)
 
 

@@ -81,6 +81,17 @@ def test_no_side_goes_through_the_driver(spark):
         assert "Broadcast" not in plan and "SortMergeJoin" in plan, q.__name__
 
 
+def test_lines_are_masked_and_scanned_once(spark, monkeypatch):
+    """Calls, receivers, symbols and scopes come from one masking and one scan, both kept: the query's plan runs neither again."""
+    from lodestone.plans import javatree
+
+    runs = []
+    for name in ("code_lines", "_found"):
+        monkeypatch.setattr(calls.syntax, name, lambda df, f=getattr(calls.syntax, name), name=name: runs.append(name) or f(df))
+    plan = javatree.x12_java_calls(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert sorted(runs) == ["_found", "code_lines"] and "MapInArrow" not in plan
+
+
 def test_a_name_is_looked_up_once_a_file(spark):
     """A file's own symbol comes first, then the first imported one; repeated calls share the look-up."""
     from lodestone.operators import code
