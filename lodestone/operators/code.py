j09_enclosing_symbols: lines are read once for symbols and callers

Symptom: the query wrote and read 61 MB of shuffle over 600,000 order lines; the numbered lines were built twice, once for the symbols and once as the points to look up, and points went through the second exchange with path and line twice.
Evidence: the profiler, quick run, starting code: 61 MB written and read, 0.06 GB of disk, 2,486 CPU seconds a GB; in the event log the lines' own window dealt 25.3 MB for the symbols and another 15.4 MB for the points, then 8.3 and 12.0 MB by path.
Fix: the pass that finds the symbols' ends can give the lines, too, batch by batch as they are, and the callers are found from those rows; path and line are copied into the returned struct after the exchange. Sorting the rows again without an exchange would have saved another 8 MB, but held two sorts in one task (168 MB in place of 84 over eight times the lines), so it was not done. 25.3 of the 41.3 MB left are the numbering of the lines.
Effect: at 1 GB of input CPU 1739 -> 1681 s, shuffle 4.06 -> 2.69 GB, spill 0.00 -> 0.00 GB, read 0.96 -> 0.48 GB, longest task 54 -> 50 s, most memory of a task 604 -> 470 MB; at 6 GB of input CPU 8396 -> 7882 s, shuffle 25.88 -> 16.74 GB, spill 0.00 -> 0.00 GB, read 7.26 -> 3.63 GB, longest task 47 -> 58 s, most memory of a task 604 -> 671 MB.

@@ -47,7 +47,7 @@ def _braces(content: Column) -> Column:
 _SPANS = "path string, kind string, name string, line int, end int"
 
 
-def _ends(most: int):
+def _ends(most: int, with_lines: bool):
     """Definitions with their last lines, in one pass over a file's lines in order; what is open is held, no more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,6 +78,9 @@ def _ends(most: int):
                         held.append((kind, name, line, depth - braces))
                     elif name is not None:
                         out.append((path, kind, name, line, line))
+            if with_lines:
+                none = pa.nulls(len(batch), pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0), none, none, batch.column(1), none.cast(pa.int32())], names=["path", "kind", "name", "line", "end"])
             if len(out) > 10_000:
                 yield _rows(out)
                 out.clear()
@@ -93,18 +96,19 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["path", "kind", "name", "line", "end"])
 
 
-def symbols(lines: DataFrame, most: int = 200) -> DataFrame:
+def symbols(lines: DataFrame, most: int = 200, with_lines: bool = False) -> DataFrame:
     """(path, kind, name, line, end). A Python symbol ends before the next line that is
     indented no deeper. Others end where the braces opened on their line are closed
     again, within `most` lines; without a brace they end on their own line, but for an
-    arrow at its end, whose body is looked for on the next ones."""
+    arrow at its end, whose body is looked for on the next ones. With_lines gives each
+    line, too, as a row without kind, name and end: for those who need both, from one reading."""
     kind, name = kind_and_name(F.col("content"))
     open_ended = (_braces(F.col("content")) > 0) | F.col("content").rlike(r"^[^{]*=>\s*$")
     rows = lines.select(
         "path", F.col("line").cast("int").alias("line"), kind.alias("kind"), name.alias("name"), indent(F.col("content")).alias("indent"), _braces(F.col("content")).alias("braces"),
         (F.trim("content") != "").alias("full"), open_ended.alias("open"),
     )
-    return rows.repartition("path").sortWithinPartitions("path", "line").mapInArrow(_ends(most), _SPANS)
+    return rows.repartition("path").sortWithinPartitions("path", "line").mapInArrow(_ends(most, with_lines), _SPANS)
 
 
 def call_sites(lines: DataFrame) -> DataFrame:
@@ -217,13 +221,18 @@ def _callers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(4).take(pa.array(points, pa.int32())), pa.array(callers, pa.string())], names=["p", "caller"])
 
 
-def enclosing(points: DataFrame, symbols: DataFrame) -> DataFrame:
+def enclosing(points: DataFrame | None, symbols: DataFrame) -> DataFrame:
     """The rows (path, line, ...) with `caller`, the name of the last symbol by line that contains
-    the line: one pass over both in order, with the open symbols on a stack."""
-    rows = points.select("path", F.col("line").cast("int").alias("line"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("string").alias("name"), F.struct(*points.columns).alias("p"))
-    spans = symbols.select("path", F.col("line").cast("int").alias("line"), F.col("end").cast("int").alias("end"), "name", F.lit(None).cast(rows.schema["p"].dataType).alias("p"))
-    both = spans.unionByName(rows).repartition("path").sortWithinPartitions("path", "line", F.col("end").asc_nulls_last(), "name")
-    kind = StructType([StructField("p", rows.schema["p"].dataType), StructField("caller", StringType())])
+    the line: one pass over both in order, with the open symbols on a stack. Without points they are
+    the lines that came with the symbols."""
+    in_order = lambda rows: rows.repartition("path").sortWithinPartitions("path", "line", F.col("end").asc_nulls_last(), "name")
+    spans = symbols.select("path", F.col("line").cast("int").alias("line"), F.col("end").cast("int").alias("end"), "name")
+    if points is None:
+        both = in_order(spans).withColumn("p", F.struct("path", "line"))
+    else:
+        rows = points.select("path", F.col("line").cast("int").alias("line"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("string").alias("name"), F.struct(*points.columns).alias("p"))
+        both = in_order(spans.withColumn("p", F.lit(None).cast(rows.schema["p"].dataType)).unionByName(rows))
+    kind = StructType([StructField("p", both.schema["p"].dataType), StructField("caller", StringType())])
     return both.mapInArrow(_callers, kind).select("p.*", "caller")
 
 

@@ -112,8 +112,7 @@ def j01_call_edges(spark, sf_dir):
 
 @query(_SRC + """SELECT s.path, s.line, arg_max(y.name, y.line) AS caller FROM src s LEFT JOIN sym y ON y.path = s.path AND y.line <= s.line AND y."end" >= s.line GROUP BY 1, 2""")
 def j09_enclosing_symbols(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    return C.enclosing(lines.select("path", "line"), C.symbols(lines))
+    return C.enclosing(None, C.symbols(_lines(spark, sf_dir), with_lines=True))
 
 
 @query(_SRC + "SELECT src, dst FROM edge")

@@ -339,3 +339,24 @@ def test_containing_interval_asks_each_place_once(spark):
 
     assert {r.k: (r.start, r.end) for r in got.collect()} == {k: best(f, at) for k, f, at in points}
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_come_with_their_symbols(spark):
+    """Each line's caller is the same from one reading as from two: rows that come twice, blank lines, bodies without an end or longer than allowed."""
+    python = ["def a():", "", "    x = 1", "    def b():", "        return 1", "x = 2", "", "class C:", "    pass", ""]
+    script = ["function f() {", "  g(1);", "}", "const h = (x) =>", "  x + 1", "function far() {", *["  y();"] * 6, "}", "function open() {", "  z();"]
+    rows = [(p, k, t) for p, text in (("m.py", python), ("s.ts", script), ("none.py", [""])) for k, t in enumerate(text, 1)]
+    rows += [("m.py", 5, "        return 1"), ("m.py", 4, "    def b():"), ("s.ts", 2, "  g(1);")]
+    lines = spark.createDataFrame(rows, "path string, line int, content string").repartition(3)
+    once = code.enclosing(None, code.symbols(lines, most=5, with_lines=True))
+    twice = code.enclosing(lines.select("path", "line"), code.symbols(lines, most=5))
+    assert once.dtypes == twice.dtypes
+    got = sorted(map(tuple, once.collect()), key=str)
+    assert got == sorted(map(tuple, twice.collect()), key=str) and len(got) == len(rows)
+    assert {x for x in got if x[0] == "m.py"} == {("m.py", k, c) for k, c in enumerate(["a", "a", "a", "b", "b", None, None, "C", "C", "C"], 1)}
+
+
+def test_lines_are_read_once_for_their_symbols(spark):
+    """One scan, and each line dealt once for the symbols and once, with their spans, for the callers."""
+    plan = registry.QUERIES["j09_enclosing_symbols"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning(path") == 2
