@@ -360,3 +360,37 @@ def test_lines_are_read_once_for_their_symbols(spark):
     """One scan, and each line dealt once for the symbols and once, with their spans, for the callers."""
     plan = registry.QUERIES["j09_enclosing_symbols"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning(path") == 2
+
+
+REACH = [("a", "b"), ("a", "b"), ("a", None), ("b", None), ("b", "c"), (None, "a"), ("c", "c"), ("c", "b"), ("d", "e")]
+
+
+@pytest.mark.parametrize("seeds", ["abcde", "a", "ad", "x", "", ["a", "a", None], ["e", None]])
+def test_reachable_of_odd_edges(spark, seeds):
+    """Loops, cycles, repeated edges and seeds. A null is reached, once each time it is met anew, and leads nowhere."""
+    edges = spark.createDataFrame(REACH, "src string, dst string")
+    out = {}
+    for s, d in dict.fromkeys(REACH):
+        out.setdefault(s, []).append(d)
+    want = []
+    for seed in dict.fromkeys(seeds):
+        seen, frontier = [seed], [seed]
+        while frontier:
+            step = dict.fromkeys(d for n in frontier if n is not None for d in out.get(n, ()))
+            frontier = [d for d in step if d is None or d not in seen]
+            seen += frontier
+        want += [(seed, n) for n in seen]
+    got = graph.reachable(edges, spark.createDataFrame([(s,) for s in seeds], "node string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_first_hops_are_the_edges(spark, monkeypatch):
+    """With every source a seed no pair is joined where nothing leads on; with few seeds one join finds their edges."""
+    plans = []
+    monkeypatch.setattr(graph, "settle", lambda df, f=graph.settle: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or f(df))
+    edges = spark.createDataFrame([(f"s{k % 5}", f"p{k % 7}") for k in range(40)], "src string, dst string")
+    assert graph.reachable(edges, edges.selectExpr("explode(array(src, dst)) AS node")).count() == 12 + 35
+    assert not any("Join" in p for p in plans)
+    plans.clear()
+    assert graph.reachable(edges, spark.createDataFrame([("s1",)], "node string")).count() == 8
+    assert sum(p.count("Join") for p in plans) == 1
